@@ -58,7 +58,7 @@ class Tokens(dict):
         if len(self) > WORD_MEMORY:
             self.clear()
             self.letters.clear()
-        new = chunks.difference(self)
+        new = [c for c in chunks if c not in self]
         plain = {c: m for c in new if (m := self.PLAIN.fullmatch(c))}
         unknown = list({m[1].lower() for m in plain.values()}.difference(self.letters))
         self.letters.update(zip(unknown, self.encoded(unknown)))
