@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spanwright.llm import packing, quality_rules, topk_search
+from spanwright.llm import packing, pii, quality_rules, topk_search
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": topk_search.op1_topk_search,
+        "op4_pii": pii.op4_pii,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
