@@ -167,7 +167,7 @@ def _pack(length: int):
     def pack(bucket: pd.DataFrame) -> pd.DataFrame:
         bucket = bucket.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         sequence, offset = best_two_fit(bucket["length"].to_numpy(), length)
-        return bucket.assign(sequence_id=sequence + (bucket["bucket"].astype("int64") << 32), offset=offset).drop(columns="bucket")
+        return bucket.assign(sequence_id=sequence + bucket["bucket"].astype("int64") * 2**32, offset=offset).drop(columns="bucket")
 
     return pack
 
