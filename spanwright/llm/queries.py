@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from spanwright.llm import packing, pii, quality_rules, topk_search
+from spanwright.llm import line_dedup, mixing, packing, pii, quality_rules, topk_search
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": topk_search.op1_topk_search,
         "op4_pii": pii.op4_pii,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_topk_search": topk_search.SQL,
+        "op5_line_dedup": line_dedup.sql(),
         "op9_quality_rules": quality_rules.sql(),
+        "op10_mixing": mixing.sql(),
     }
