@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanwright.llm import line_dedup, mixing, packing, pii, quality_rules, topk_search
+from spanwright.llm import html_extract, line_dedup, mixing, packing, pii, quality_rules, topk_search
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_pii": pii.op4_pii,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_html_extraction": html_extract.op7_html_extraction,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
     }
