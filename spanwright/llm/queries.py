@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spanwright.llm import html_extract, line_dedup, mixing, packing, pii, quality_rules, topk_search
+from spanwright.llm import html_extract, line_dedup, mixing, packing, pii, quality_rules, topk_search, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": topk_search.op1_topk_search,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_pii": pii.op4_pii,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
