@@ -31,8 +31,10 @@ from spanwright.llm.common import no_text, table
 SEQUENCE = 2048
 #: Bytes of text that one bucket answers for, and so about how many pieces a task packs.
 BUCKET_BYTES = 24 << 20
-#: Tokenised words that a task remembers; beyond that it starts afresh.
+#: Tokenised words of a generation; a worker remembers two.
 WORD_MEMORY = 400_000
+#: Texts whose new words are tokenised together.
+TEXTS = 256
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,32 +50,36 @@ class Tokens(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.letters = Tokenizer.from_file(path), {}
+        self.tokenizer, self.letters, self.older = Tokenizer.from_file(path), {}, ({}, {})
         self.marks = {m: self.encoded([m])[0] if m else b"" for m in ("", ".", ",")}
 
     def encoded(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self) > WORD_MEMORY:
+        if len(self) > WORD_MEMORY:  # what is still in use comes back from the older generation
+            self.older = dict(self), self.letters
+            self.letters = {}
             self.clear()
-            self.letters.clear()
+        before, letters_before = self.older
         new = [c for c in chunks if c not in self]
+        self.update((c, before[c]) for c in new if c in before)
+        new = [c for c in new if c not in before]
         plain = {c: m for c in new if (m := self.PLAIN.fullmatch(c))}
-        unknown = list({m[1].lower() for m in plain.values()}.difference(self.letters))
-        self.letters.update(zip(unknown, self.encoded(unknown)))
+        runs = {r for m in plain.values() if (r := m[1].lower()) not in self.letters}
+        self.letters.update((r, letters_before[r]) for r in runs if r in letters_before)
+        runs = [r for r in runs if r not in letters_before]
+        self.letters.update(zip(runs, self.encoded(runs)))
         for c, m in plain.items():
             self[c] = self.letters[m[1].lower()] + self.marks[m[2]]
         odd = [c for c in new if c not in plain]
         self.update(zip(odd, self.encoded(odd)))
 
-    def of(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            self.learn(set(chunks))
-            return b"".join(map(self.__getitem__, chunks))
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*chunks))
+        return [b"".join(map(self.__getitem__, c)) for c in chunks]
 
 
 @cache
@@ -87,8 +93,10 @@ def _cut(path: str, length: int, with_ids: bool):
         tokens = tokens_of(path)
         for batch in batches:
             out = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = tokens.of(text) + b"\0\0\0\0"
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            coded = (ids for at in range(0, len(texts), TEXTS) for ids in tokens.of(texts[at : at + TEXTS]))
+            for doc_id, ids in zip(doc_ids, coded):
+                ids += b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     for name, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)):
