@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanwright.llm import html_extract, line_dedup, mixing, packing, pii, quality_rules, topk_search, toxicity
+from spanwright.llm import html_extract, line_dedup, mixing, near_dup, packing, pii, quality_rules, topk_search, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": topk_search.op1_topk_search,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_near_dup": near_dup.op3_near_dup,
         "op4_pii": pii.op4_pii,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
