@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -38,42 +37,58 @@ TEXTS = 256
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> str:
+    """The character that stands for each byte in the vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return "".join(chr(i) if i in plain else chr(256 + i - sum(j < i for j in plain)) for i in range(256))
+
+
 class Tokens(dict):
     """Little-endian 32-bit ids by blank-free chunk of text. Neither normalising nor merging crosses a blank.
 
-    A chunk of plain letters and closing marks is two pre-tokens, so its letters are kept once for any case and mark.
+    Letters up to U+00FF with a closing mark are two pre-tokens that normalising only lowers, so they go to
+    the tokenizer's model directly and are kept once for any case and mark; other chunks take the whole way.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.letters, self.older = Tokenizer.from_file(path), {}, ({}, {})
-        self.marks = {m: self.encoded([m])[0] if m else b"" for m in ("", ".", ",")}
+        self.model, self.bytes = self.tokenizer.model, dict(enumerate(_byte_letters()))
+        self.marks = {m: self.encoded([m])[0] for m in ".,"}
 
     def encoded(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def run(self, run: str) -> bytes:
+        """The ids of lower-case letters up to U+00FF."""
+        if (known := self.letters.get(run)) is None:
+            known = self.older[1].get(run)
+            if known is None:
+                byte_text = run if run.isascii() else run.encode().decode("latin-1").translate(self.bytes)
+                known = array("I", [t.id for t in self.model.tokenize(byte_text)]).tobytes()
+            self.letters[run] = known
+        return known
+
     def learn(self, chunks: set[str]) -> None:
         if len(self) > WORD_MEMORY:  # what is still in use comes back from the older generation
             self.older = dict(self), self.letters
             self.letters = {}
             self.clear()
-        before, letters_before = self.older
-        new = [c for c in chunks if c not in self]
-        self.update((c, before[c]) for c in new if c in before)
-        new = [c for c in new if c not in before]
-        plain = {c: m for c in new if (m := self.PLAIN.fullmatch(c))}
-        runs = {r for m in plain.values() if (r := m[1].lower()) not in self.letters}
-        self.letters.update((r, letters_before[r]) for r in runs if r in letters_before)
-        runs = [r for r in runs if r not in letters_before]
-        self.letters.update(zip(runs, self.encoded(runs)))
-        for c, m in plain.items():
-            self[c] = self.letters[m[1].lower()] + self.marks[m[2]]
-        odd = [c for c in new if c not in plain]
-        self.update(zip(odd, self.encoded(odd)))
+        before, odd = self.older[0], []
+        for c in chunks:
+            if c not in self:
+                if c in before:
+                    self[c] = before[c]
+                    continue
+                bare, mark = (c[:-1], c[-1]) if c[-1:] in self.marks else (c, None)
+                if bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ"):
+                    self[c] = self.run(bare.lower()) + self.marks[mark] if mark else self.run(bare.lower())
+                else:
+                    odd.append(c)
+        if odd:
+            self.update(zip(odd, self.encoded(odd)))
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
