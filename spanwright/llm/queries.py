@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanwright.llm import html_extract, line_dedup, mixing, near_dup, packing, pii, quality_rules, topk_search, toxicity
+from spanwright.llm import html_extract, line_dedup, lm_scoring, mixing, near_dup, packing, pii, quality_rules, topk_search, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_html_extraction": html_extract.op7_html_extraction,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
     }
