@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from spanwright.llm import html_extract, line_dedup, lm_scoring, mixing, near_dup, packing, pii, quality_rules, topk_search, toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
