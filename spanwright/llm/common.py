@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,3 +34,15 @@ def let(value: Column, body) -> Column:
 def no_text(column: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Actions inside hand at most `n` rows to Python at once, where rows are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
