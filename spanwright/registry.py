@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of the catalog, each with a list `Q` of queries.
-FAMILIES = ("intervals", "aggregates")
+FAMILIES = ("intervals", "aggregates", "search", "spatial")
 
 
 def all_queries() -> list:
