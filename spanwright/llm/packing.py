@@ -32,6 +32,8 @@ SEQUENCE = 2048
 BUCKET_BYTES = 24 << 20
 #: Tokenised words of a generation; a worker remembers two.
 WORD_MEMORY = 400_000
+#: Characters of a run of marks; apostrophes are none, since contractions have pre-tokens of their own.
+MARKS = ".,;:!?#$%&*|+-/()"
 #: Texts whose new words are tokenised together.
 TEXTS = 256
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,8 +48,9 @@ def _byte_letters() -> str:
 class Tokens(dict):
     """Little-endian 32-bit ids by blank-free chunk of text. Neither normalising nor merging crosses a blank.
 
-    Letters up to U+00FF with a closing mark are two pre-tokens that normalising only lowers, so they go to
-    the tokenizer's model directly and are kept once for any case and mark; other chunks take the whole way.
+    Letters up to U+00FF and a run of marks after them are two pre-tokens that normalising only lowers, so the
+    letters go to the tokenizer's model directly and are kept once for any case and marks; other chunks take
+    the whole way.
     """
 
     def __init__(self, path: str):
@@ -56,11 +59,19 @@ class Tokens(dict):
 
         self.tokenizer, self.letters, self.older = Tokenizer.from_file(path), {}, ({}, {})
         self.model, self.bytes = self.tokenizer.model, dict(enumerate(_byte_letters()))
-        self.marks = {m: self.encoded([m])[0] for m in ".,"}
+        self.closing, self.letters[""] = {"": b""}, b""
 
     def encoded(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def marks(self, marks: str) -> bytes:
+        """The ids of a run of marks, which is one pre-token."""
+        if (known := self.closing.get(marks)) is None:
+            if len(self.closing) > WORD_MEMORY:
+                self.closing = {"": b""}
+            known = self.closing[marks] = self.encoded([marks])[0]
+        return known
+
     def run(self, run: str) -> bytes:
         """The ids of lower-case letters up to U+00FF."""
         if (known := self.letters.get(run)) is None:
@@ -74,7 +85,7 @@ class Tokens(dict):
     def learn(self, chunks: set[str]) -> None:
         if len(self) > WORD_MEMORY:  # what is still in use comes back from the older generation
             self.older = dict(self), self.letters
-            self.letters = {}
+            self.letters = {"": b""}
             self.clear()
         before, odd = self.older[0], []
         for c in chunks:
@@ -82,9 +93,9 @@ class Tokens(dict):
                 if c in before:
                     self[c] = before[c]
                     continue
-                bare, mark = (c[:-1], c[-1]) if c[-1:] in self.marks else (c, None)
-                if bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ"):
-                    self[c] = self.run(bare.lower()) + self.marks[mark] if mark else self.run(bare.lower())
+                bare = c.rstrip(MARKS)
+                if not bare or bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ"):
+                    self[c] = self.run(bare.lower()) + self.marks(c[len(bare) :])
                 else:
                     odd.append(c)
         if odd:
