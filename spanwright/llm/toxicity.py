@@ -33,9 +33,9 @@ from spanwright.llm.common import no_text, table
 class Sample:
     """Bounds of the training sample: documents of each class, and code points of a document in it."""
 
-    toxic: int = 1500
-    clean: int = 2500
-    chars: int = 30_000
+    toxic: int = 1000
+    clean: int = 1600
+    chars: int = 20_000
 
 
 WINDOW, STRIDE = 32, 24
@@ -63,7 +63,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         there = codes[:, n - 1 :] > 0
         grams.append((h % np.uint64(BUCKETS - 1) + np.uint64(1)) * there)
         valid.append(there.sum(axis=1))
-    return own, np.concatenate(grams, axis=1).astype(np.int64), np.maximum(1, np.sum(valid, axis=0))
+    return own, np.concatenate([g.astype(np.int32) for g in grams], axis=1), np.maximum(1, np.sum(valid, axis=0))
 
 
 def normal(chunk: str) -> list[str]:
@@ -187,7 +187,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 256,
     for epoch in range(epochs):
         best = np.array([at[i] + int(np.argmax(score[at[i] : at[i + 1]])) for i in range(len(ids))])
         negatives = np.flatnonzero(y[owner] == 0)
-        chosen = np.concatenate([best[y == 1], best[y == 0], rng.choice(negatives, min(len(negatives), 2 * int(np.sum(y == 1)) + 1), replace=False)])
+        chosen = np.concatenate([best[y == 1], best[y == 0], rng.choice(negatives, min(len(negatives), 3 * int(np.sum(y == 1)) + 1), replace=False)])
         rng.shuffle(chosen)
         for i in range(0, len(chosen), batch):
             part, step = chosen[i : i + batch], step + 1
