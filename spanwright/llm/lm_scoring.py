@@ -35,7 +35,7 @@ OFFSETS = (-2, -1, 1, 2)
 MASKED, ROUNDS, RATE, BATCH = 0.1, 2, 0.15, 2048
 #: Lengths and letters (code points modulo the number) of unknown words.
 LENGTHS, LETTERS = 64, 512
-#: Distinct words that a task counts or remembers at once, and words of a slab of texts.
+#: Distinct words that a task counts at once, and words of a slab of texts.
 WORD_MEMORY, SLAB = 400_000, 60_000
 UNKNOWN = 1
 
@@ -139,44 +139,33 @@ class Trainer:
             self._descend("context", (j, ids[order][starts]), np.add.reduceat(dh[order], starts, axis=0))
 
 
-class Words(dict):
-    """Row number by word; rows hold its token and, for unknown words, the log-probability of its spelling."""
+class Words:
+    """Tokens of texts and, for unknown words, the log-probabilities of their spelling."""
 
     def __init__(self, vocabulary: list[str], lengths: np.ndarray, letters: np.ndarray):
         self.tokens = {w: i + 2 for i, w in enumerate(vocabulary)}
         self.lengths, self.letters = lengths, letters
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.token, self.spelled = np.zeros(0, np.int64), np.zeros(0, np.float32)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > WORD_MEMORY:
-            self.forget()
-        new = [w for w in words if w not in self]
-        size, letter, owner = spelling(new)
-        spelled = self.lengths[size] + np.bincount(owner, self.letters[letter], len(new))
-        token = np.array([self.tokens.get(w, UNKNOWN) for w in new], dtype=np.int64)
-        self.update(zip(new, range(len(self), len(self) + len(new))))
-        self.token = np.concatenate([self.token, token])
-        self.spelled = np.concatenate([self.spelled, np.where(token == UNKNOWN, spelled, 0).astype(np.float32)])
-
-    def slabs(self, texts: list[str]):
-        """(tokens with padding around each text, positions of real ones, spelling of these, words of each text)."""
-        pad, i = np.zeros(2, np.int64), 0
+
+    def spelled(self, words: list[str]) -> float:
+        """The summed log-probability of the spelling of some words."""
+        size, letter, _ = spelling(words)
+        return float(np.bincount(size, minlength=LENGTHS) @ self.lengths + np.bincount(letter, minlength=LETTERS) @ self.letters)
+
+    def slabs(self, texts: list[str], spell: bool = False):
+        """(tokens with padding around each text, positions of real ones, words of each text, spelling of each text)."""
+        pad, i, get = np.zeros(2, np.int64), 0, self.tokens.get
         while i < len(texts):
-            split, n = [], 0
+            rows, spelled, n = [], [], 0
             while i < len(texts) and n < SLAB:
-                split.append(texts[i].lower().split())
-                n += len(split[-1])
+                words = texts[i].lower().split()
+                ids = [get(w, UNKNOWN) for w in words]
+                rows.append(np.array(ids, dtype=np.int64))
+                spelled.append(self.spelled([w for w, t in zip(words, ids) if t == UNKNOWN]) if spell else 0.0)
+                n += len(words)
                 i += 1
-            self.learn(set().union(*split))
-            rows = [np.fromiter(map(self.__getitem__, s), dtype=np.int64, count=len(s)) for s in split]
-            seq = np.concatenate([pad, *[x for r in rows for x in (self.token[r], pad)]])
             sizes = np.array([len(r) for r in rows])
             at = np.arange(n) + np.repeat(2 * np.arange(len(rows)) + 2, sizes)
-            yield seq, at, self.spelled[np.concatenate(rows)], sizes
+            yield np.concatenate([pad, *[x for r in rows for x in (r, pad)]]), at, sizes, np.array(spelled)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -257,9 +246,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         words, p = Words(*model.value[0]), model.value[1]
         for batch in batches:
             sums, counts = [], []
-            for seq, at, spelled, sizes in words.slabs(batch.column(1).to_pylist()):
-                lp = log_probabilities(p, seq, at).astype(np.float64) + spelled
-                sums.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), lp, len(sizes)))
+            for seq, at, sizes, spelled in words.slabs(batch.column(1).to_pylist(), spell=True):
+                lp = log_probabilities(p, seq, at).astype(np.float64)
+                sums.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), lp, len(sizes)) + spelled)
                 counts.append(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(np.concatenate(sums) if sums else [], pa.float64())], names=["doc_id", "n_tokens", "log_probability"])
 
