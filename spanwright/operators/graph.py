@@ -55,6 +55,7 @@ def recipe_costs(recipes: DataFrame, known: DataFrame) -> DataFrame:
 
     Rounds relax all recipes against the costs of the round before until none improves.
     """
+    recipes = checkpointed(recipes.select("x", "y", "result"))
     costs = checkpointed(known.select("item", F.lit(0).cast("long").alias("cost")))
     while True:
         x, y = costs.select(F.col("item").alias("x"), F.col("cost").alias("cx")), costs.select(F.col("item").alias("y"), F.col("cost").alias("cy"))
