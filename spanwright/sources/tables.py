@@ -57,7 +57,7 @@ def read_feature_collection(spark: SparkSession, path: str, schema: str) -> Data
 
 def read_front_matter(spark: SparkSession, path: str) -> DataFrame:
     """(path, head, body) of Markdown files: the block between the first two lines of three dashes, and the rest."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("path", F.col("_metadata.file_path"))
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     pattern = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
     return raw.select("path", F.regexp_extract("value", pattern, 1).alias("head"), F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 2)).otherwise(F.col("value")).alias("body"))
 
