@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,3 +47,8 @@ def arrow_rows(spark: SparkSession, n: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def fitted(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+    """`df` in as many partitions as its number of rows asks for, so that short tables don't make a file for each of many tasks."""
+    return df.coalesce(max(1, math.ceil(rows / each)))
