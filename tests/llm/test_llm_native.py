@@ -1,0 +1,156 @@
+"""Operators that SQL expresses, and personal data against regular expressions in Python."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+from compare import connection, same
+from pyspark.sql import functions as F
+
+from spanwright.llm import line_dedup, mixing, pii, quality_rules, queries, topk_search
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "The quick brown fox jumps over the lazy dog and runs to the end of the field with its friends. " * 3
+ODD = [
+    (1, None, "en", "a", 0),
+    (2, "", None, "b", 0),
+    (3, " \t\n ", "en", None, 4),
+    (4, LONG, "en", "a", 1),
+    (4, LONG, "en", "a", 1),
+    (None, "x " * 40_000, "de", "c", 80_000),
+    (5, "é😀 line\nline\nline\n\n" * 9, "fr", "a", 1),
+    (6, "a b c d e f g h " * 5 + "\nend\x0b\x0cx", "en", "a", 2),
+]
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connection(SF)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, con, name):
+    same(queries.queries()[name](spark, SF), con, queries.oracle_sql()[name])
+
+
+def against_sql(spark, rows, df_of, sql):
+    import duckdb
+
+    df = spark.createDataFrame(rows, DOCS)
+    con = duckdb.connect()
+    con.register("t", df.toArrow())
+    con.sql("CREATE TABLE documents AS SELECT * FROM t")
+    same(df_of(df), con, sql)
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_quality_edges(spark, rows):
+    failed, kept = quality_rules.verdict()
+    against_sql(spark, rows, lambda d: quality_rules.measured(d, keep=["doc_id"]).select("doc_id", *quality_rules.COUNTS, failed.alias("base_failed"), kept.alias("kept")), quality_rules.sql())
+
+
+def test_quality_by_hand(spark):
+    row = quality_rules.quality_report(spark.createDataFrame([(7, "a b c d e f g h i a b c d e f g h j")], "doc_id long, text string")).first()
+    assert (row.n_words, row.n_repeat_words, row.base_failed) == (18, 16, True)
+
+
+def test_apply_rules_keeps_columns(spark):
+    df = spark.createDataFrame([(1, LONG, 5, 6), (2, "too short", 5, 6)], "doc_id long, text string, n_words int, __x int")
+    out = quality_rules.apply_rules(df)
+    assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [1]
+
+
+@pytest.mark.parametrize("rows", [ODD + [(100 + i, f"shared line of all\nown words of {i} that stay where they are", "en", f"s{i}", 1) for i in range(12)], []])
+def test_line_dedup_edges(spark, rows):
+    against_sql(spark, rows, lambda d: line_dedup.remove_boilerplate(d, n_removed="n_removed").select("doc_id", "text", "n_removed"), line_dedup.sql())
+
+
+def test_line_dedup_by_hand(spark):
+    rows = [(i, f"Shared  Line\nown words of number {i} that stay", f"s{i}", i) for i in range(8)] + [(9, "seven sites only", None, 0)]
+    out = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed int"), n_removed="gone")
+    got = {r.doc_id: (r.text, r.n_removed, r.gone) for r in out.collect()}
+    assert got[3] == ("own words of number 3 that stay", 3, 1) and got[9] == ("seven sites only", 0, 0)
+    whole = line_dedup.remove_boilerplate(spark.createDataFrame([(i, "copied page", f"s{i}") for i in range(9)], "doc_id long, text string, source string"))
+    assert {r.text for r in whole.collect()} == {"copied page"}
+
+
+@pytest.mark.parametrize("rows", [[(i, f"word {'x ' * (i % 17)}", ["en", "de", None][i % 3], f"s{i * i % 5}", 1) for i in range(300)] + ODD])
+def test_mixing_edges(spark, rows):
+    against_sql(
+        spark, rows, lambda d: mixing.mix(d, details=True).select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability")), mixing.sql()
+    )
+
+
+def test_mixing_meets_its_targets(spark):
+    docs = spark.createDataFrame([(i, "w " * 50, "en" if i % 3 else "de", "hot" if i % 4 else f"s{i % 3}") for i in range(4000)], "doc_id long, text string, lang string, source string")
+    out = mixing.mix(docs, details=True)
+    assert mixing.mix(docs.limit(0)).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
+    kept = out.count()
+    assert abs(kept / 4000 - mixing.BUDGET) < 0.03
+    shares = {r.source: r.n / kept for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert shares["hot"] < 0.75  # three quarters before
+
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text: str) -> list[tuple]:
+    def passes(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
+            return 14 <= len(digits) <= 19 and total % 10 == 0
+        return kind != "phone" or 10 <= len(digits) <= 15
+
+    return sorted((m.start(), i, m.end(), k) for i, (k, p) in enumerate(KINDS.items()) for m in re.finditer(p, text) if passes(k, m.group()))
+
+
+def test_pii_against_python(spark):
+    odd = "+1 2 3.4.5.6.7 300.1.2.3.4 4111 1111 1111 1111 a.b@c.d_e@f.g +1 (222) 333-4444+55 1234-5678 90123456789012345678901234567890 4111-1111-1111-1111. é😀 x@y.z 1.2.3.4.5.6.7.8 a@b.c-a@b.c"
+    rows = [(-1, odd), (-2, None), (-3, ""), (-4, "1 2 " * 5000), (-5, "9" * 5000), (-6, odd), (None, "call 1@2.3")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = pii.find_pii(docs).select("doc_id", "text", pii._digest(F.col("base")).alias("base"), pii._digest(F.col("found")).alias("found"))
+    for r in found.collect():
+        expected = ",".join(f"{k}:{a}:{z}" for a, _, z, k in base_spans(r.text))
+        assert r.base == expected
+        assert set(filter(None, expected.split(","))) <= set(r.found.split(","))
+
+
+def test_pii_query(spark):
+    row = queries.queries()["op4_pii"](spark, SF).filter("n_email = 0 AND n_ip = 0 AND n_card = 0 AND n_phone = 0").first()
+    assert row.base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_em_learns_from_agreement():
+    counts = [((4, 1, 0, 0, 1, 1, 0), 50), ((4, -1, 0, 0, -1, -1, 0), 80), ((4, 1, 0, 0, -1, -1, 0), 3)]
+    belief = pii.expectation_maximisation(counts)
+    assert belief[counts[0][0]] > 0.9 > 0.1 > belief[counts[1][0]]
+    weights, bias = pii.classifier(counts, belief)
+    score = lambda v: bias[v[0]] + sum(w * x for w, x in zip(weights, v[1:-1]))
+    assert score(counts[0][0]) > 0 > score(counts[1][0])
+
+
+def test_top_k_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.5, -0.25, 0.0]), (100, [0.5, 0.5]), (100, [0.5, 0.5]), (1, None), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, []), *[(i, [0.25, 0.25, 0.125]) for i in range(6, 40)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = lambda x: [int((1024 * v) // 1) for v in x]
+    good = {i: q(x) for i, x in rows if i is not None and x and all(v is not None and abs(v) < inf for v in x)}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    expected = {(i, r + 1, j, s) for i in (0, 100) for r, (s, j) in enumerate((s, j) for s, j in sorted(((dot(good[i], good[j]), j) for j in good if j != i), key=lambda t: (-t[0], t[1]))[:10])}
+    assert {tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 100 == 0).collect()} == expected
+    assert topk_search.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_top_k_blocks_agree(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    whole = {tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", 60)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 3)
+    assert {tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()} == whole
