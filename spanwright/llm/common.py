@@ -32,6 +32,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns in one struct, so that columns put beside it cannot clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+
+
 def no_text(column: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

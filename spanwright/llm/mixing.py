@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanwright.llm.common import checkpointed, no_text, table
+from spanwright.llm.common import as_row, checkpointed, no_text, table
 
 #: Powers of the shares that become target marginals, rounds of raking and of calibration, and the budget.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -106,11 +106,11 @@ def calibrated(cells: DataFrame, budget: float, rounds: int = CALIBRATIONS) -> f
 def mix(docs: DataFrame, budget: float = BUDGET, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", details: bool = False) -> DataFrame:
     """The drawn rows of `docs`; with `details` also __topic, __tokens and __probability."""
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    tagged = docs.select("*", value(source).alias("__source"), value(lang).alias("__lang"), topic_of(no_text(text)).alias("__topic"), n_tokens(no_text(text)).alias("__tokens"))
+    tagged = docs.select(as_row(docs), F.col(doc_id).alias("__id"), F.col(text).alias("__text"), value(source).alias("__source"), value(lang).alias("__lang"), topic_of(no_text(text)).alias("__topic"), n_tokens(no_text(text)).alias("__tokens"))
     cells = checkpointed(tagged.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("x")))
     extra = ["__topic", "__tokens", "__probability"] if details else []
     if cells.isEmpty():
-        return tagged.withColumn("__probability", F.lit(1.0)).select(*docs.columns, *extra)
+        return tagged.withColumn("__probability", F.lit(1.0)).select("__row.*", *extra)
     a, b, c = rake(cells)
     a = checkpointed(a)
     g = lambda l, t: F.col("a") * _lookup(b, F.col(l)) * _lookup(c, F.col(t))
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, budget: float = BUDGET, doc_id: str = "doc_id", text: s
     few = a.count() <= BROADCAST_SOURCES
     factors = a.select(F.col("source").alias("__source"), "a")
     drawn = tagged.join(F.broadcast(factors) if few else factors, "__source").withColumn("__probability", F.least(F.lit(1.0), F.lit(scale) * g("__lang", "__topic")))
-    return drawn.filter(draw(F.col(doc_id), F.col(text)) < F.col("__probability")).select(*[F.col(f"`{x}`") for x in docs.columns], *extra)
+    return drawn.filter(draw(F.col("__id"), F.col("__text")) < F.col("__probability")).select("__row.*", *extra)
 
 
 def op10_mixing(spark, sf_dir):

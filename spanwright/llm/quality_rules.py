@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import let, no_text
+from spanwright.llm.common import as_row, let, no_text
 
 #: What separates words, as characters and as a class.
 BLANKS = " \t\n\x0b\f\r"
@@ -88,12 +88,10 @@ def measures(text: Column) -> dict[str, Column]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, text: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (all by default) and every measure, each name with `prefix`."""
-    kept = docs.columns if keep is None else keep
-    m = measures(no_text(text))
-    p = lambda name: F.col(f"`{prefix}{name}`")
-    counted = docs.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(prefix + n) for n, c in m.items() if n != "words"])
+def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns of `keep` and every measure."""
+    m, p = measures(no_text(text)), F.col
+    counted = docs.select(*keep, *[c.alias(n) for n, c in m.items() if n != "words"])
     per_word, per_line = F.greatest(p("n_words"), F.lit(1)), F.greatest(p("n_lines"), F.lit(1))
     ratios = {
         "mean_word_chars": p("word_chars") / per_word,
@@ -103,12 +101,12 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "", keep: list[s
         "dup_line_ratio": p("n_dup_lines") / per_line,
         "ellipsis_line_ratio": p("n_ellipsis_lines") / per_line,
     }
-    return counted.select("*", *[c.alias(prefix + n) for n, c in ratios.items()])
+    return counted.select("*", *[c.alias(n) for n, c in ratios.items()])
 
 
-def verdict(prefix: str = "", thresholds=THRESHOLDS) -> tuple[Column, Column]:
+def verdict(thresholds=THRESHOLDS) -> tuple[Column, Column]:
     """(base_failed, kept) over the columns of `measured`."""
-    p = lambda name: F.col(f"`{prefix}{name}`")
+    p = F.col
     failed = (p("n_words") < 20) | (100 * p("n_repeat_words") > 30 * p("n_words"))
     fine = ~failed
     for name, least, most in thresholds:
@@ -120,22 +118,21 @@ def verdict(prefix: str = "", thresholds=THRESHOLDS) -> tuple[Column, Column]:
 def quality_report(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """doc_id, the counts, the ratios, base_failed and kept for each row."""
     failed, kept = verdict(thresholds=thresholds)
-    out = measured(docs, text, keep=["doc_id"])
+    out = measured(docs, ["doc_id"], text)
     return out.select("doc_id", *COUNTS, failed.alias("base_failed"), kept.alias("kept"), *[n for n, _, _ in thresholds if n not in COUNTS])
 
 
 def apply_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows that the rules keep, with the columns they came with."""
-    prefix = "__rule_"
-    _, kept = verdict(prefix, thresholds)
-    return measured(docs, text, prefix).filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, kept = verdict(thresholds=thresholds)
+    return measured(docs.select(as_row(docs), F.col(text).alias("text")), keep=["__row"]).filter(kept).select("__row.*")
 
 
 def op9_quality_rules(spark, sf_dir):
     from spanwright.llm.common import table
 
     failed, kept = verdict()
-    return measured(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", *COUNTS, failed.alias("base_failed"), kept.alias("kept"))
+    return measured(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *COUNTS, failed.alias("base_failed"), kept.alias("kept"))
 
 
 def _words_sql(text: str) -> str:

@@ -273,7 +273,9 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     import corpus_pipeline as C
 
     rows = [(i, t, "en", "s", 1) for i, t in ODD]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("__tokens", F.lit("kept")).withColumn("class_id", F.lit(0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("__tokens", "class_id", "__row", "__hit_lines", "__gone", "n_words", "__id"):
+        df = df.withColumn(name, F.lit("kept"))
     for some in (df, df.limit(0)):
         docs = some
         for name, stage in C.STAGES:

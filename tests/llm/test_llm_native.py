@@ -49,7 +49,7 @@ def against_sql(spark, rows, df_of, sql):
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_quality_edges(spark, rows):
     failed, kept = quality_rules.verdict()
-    against_sql(spark, rows, lambda d: quality_rules.measured(d, keep=["doc_id"]).select("doc_id", *quality_rules.COUNTS, failed.alias("base_failed"), kept.alias("kept")), quality_rules.sql())
+    against_sql(spark, rows, lambda d: quality_rules.measured(d, ["doc_id"]).select("doc_id", *quality_rules.COUNTS, failed.alias("base_failed"), kept.alias("kept")), quality_rules.sql())
 
 
 def test_quality_by_hand(spark):
@@ -58,7 +58,7 @@ def test_quality_by_hand(spark):
 
 
 def test_apply_rules_keeps_columns(spark):
-    df = spark.createDataFrame([(1, LONG, 5, 6), (2, "too short", 5, 6)], "doc_id long, text string, n_words int, __x int")
+    df = spark.createDataFrame([(1, LONG[:96] + "where they all sit down to eat in peace until night", 5, 6), (2, "too short", 5, 6)], "doc_id long, text string, n_words int, __x int")
     out = quality_rules.apply_rules(df)
     assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [1]
 
