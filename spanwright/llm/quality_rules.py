@@ -36,6 +36,7 @@ THRESHOLDS = (
     ("symbols_per_word", None, 0.15),
     ("stop_word_ratio", 0.02, None),
     ("shout_ratio", None, 0.3),
+    ("echo_ratio", None, 0.3),
     ("dup_line_ratio", None, 0.5),
     ("ellipsis_line_ratio", None, 0.5),
 )
@@ -80,6 +81,7 @@ def measures(text: Column) -> dict[str, Column]:
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_ellipsis_lines": F.regexp_count(text, F.lit(r"(?:\.\.\.|…)[ \t]*(?:\n|\z)")).cast("long"),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stops))).cast("long"),
+        "n_echoes": let(words, lambda ws: F.size(F.filter(ws, lambda w, i: w == F.get(ws, i - 1)))).cast("long"),
         "n_shouts": F.regexp_count(text, F.lit(r"!!")).cast("long"),
         "n_repeat_words": _repeated_words(words),
     }
@@ -98,6 +100,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         "symbols_per_word": p("n_symbols") / per_word,
         "stop_word_ratio": p("n_stop_words") / per_word,
         "shout_ratio": p("n_shouts") / per_word,
+        "echo_ratio": p("n_echoes") / per_word,
         "dup_line_ratio": p("n_dup_lines") / per_line,
         "ellipsis_line_ratio": p("n_ellipsis_lines") / per_line,
     }
@@ -155,10 +158,11 @@ c AS (SELECT rid, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         len(regexp_extract_all(body, '(?:\.\.\.|…)[ \t]*(?:\n|\z)'))::BIGINT AS n_ellipsis_lines,
         len(list_filter(words, lambda x: lower(x) IN ({stops})))::BIGINT AS n_stop_words,
+        len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))::BIGINT AS n_echoes,
         len(regexp_extract_all(body, '!!'))::BIGINT AS n_shouts FROM w),
 m AS (SELECT c.*, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
         word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbols_per_word,
-        n_stop_words / greatest(n_words, 1) AS stop_word_ratio, n_shouts / greatest(n_words, 1) AS shout_ratio,
+        n_stop_words / greatest(n_words, 1) AS stop_word_ratio, n_shouts / greatest(n_words, 1) AS shout_ratio, n_echoes / greatest(n_words, 1) AS echo_ratio,
         n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_ellipsis_lines / greatest(n_lines, 1) AS ellipsis_line_ratio
       FROM c LEFT JOIN cov USING (rid)),
 v AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m)
