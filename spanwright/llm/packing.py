@@ -31,11 +31,9 @@ SEQUENCE = 2048
 #: Bytes of text that one bucket answers for, and so about how many pieces a task packs.
 BUCKET_BYTES = 24 << 20
 #: Tokenised words of a generation; a worker remembers two.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 350_000
 #: Characters of a run of marks; apostrophes are none, since contractions have pre-tokens of their own.
 MARKS = ".,;:!?#$%&*|+-/()"
-#: Texts whose new words are tokenised together.
-TEXTS = 256
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -82,30 +80,25 @@ class Tokens(dict):
             self.letters[run] = known
         return known
 
-    def learn(self, chunks: set[str]) -> None:
+    def __missing__(self, c: str) -> bytes:
         if len(self) > WORD_MEMORY:  # what is still in use comes back from the older generation
             self.older = dict(self), self.letters
             self.letters = {"": b""}
             self.clear()
-        before, odd = self.older[0], []
-        for c in chunks:
-            if c not in self:
-                if c in before:
-                    self[c] = before[c]
-                    continue
-                bare = c.rstrip(MARKS)
-                if not bare or bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ"):
-                    self[c] = self.run(bare.lower()) + self.marks(c[len(bare) :])
-                else:
-                    odd.append(c)
-        if odd:
-            self.update(zip(odd, self.encoded(odd)))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*chunks))
-        return [b"".join(map(self.__getitem__, c)) for c in chunks]
+        if (known := self.older[0].get(c)) is None:
+            bare = c.rstrip(MARKS)
+            if not bare or bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ"):
+                known = self.run(bare.lower())
+                if len(bare) < len(c):
+                    known += self.marks(c[len(bare) :])
+            else:
+                known = self.encoded([c])[0]
+        self[c] = known
+        return known
+
+    def of(self, text: str) -> bytes:
+        """The ids of a text."""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @cache
@@ -120,9 +113,8 @@ def _cut(path: str, length: int, with_ids: bool):
         for batch in batches:
             out = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            coded = (ids for at in range(0, len(texts), TEXTS) for ids in tokens.of(texts[at : at + TEXTS]))
-            for doc_id, ids in zip(doc_ids, coded):
-                ids += b"\0\0\0\0"
+            for doc_id, text in zip(doc_ids, texts):
+                ids = tokens.of(text) + b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     for name, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)):
