@@ -221,6 +221,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(set(got.values())) == len(set(expected.values())) and got == expected
 
 
+def test_large_spread_group_loses_no_link(spark):
+    """Near copies on both sides of the threshold, far more than a small bucket holds."""
+    docs = texts(spark, list(enumerate(varied(8, 160, 10)))).repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    expected = brute_classes(spark, docs)
+    assert 20 < len(set(expected.values())) < 150 and got == expected
+
+
 def test_near_duplicates_hot_group(spark):
     docs = texts(spark, [(i, t) for i, t in enumerate(["the same text over and over again today"] * 400 + varied(3, 200, 1))])
     got = near_dup.near_duplicates(docs)
