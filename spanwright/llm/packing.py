@@ -30,7 +30,7 @@ from spanwright.llm.common import no_text, table
 SEQUENCE = 2048
 #: Bytes of text that one bucket answers for, and so about how many pieces a task packs.
 BUCKET_BYTES = 24 << 20
-#: Tokenised words of a generation; a worker remembers two.
+#: Tokenised words that a worker remembers; beyond that it keeps a generation of their letters.
 WORD_MEMORY = 350_000
 #: Characters of a run of marks; apostrophes are none, since contractions have pre-tokens of their own.
 MARKS = ".,;:!?#$%&*|+-/()"
@@ -55,7 +55,7 @@ class Tokens(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.letters, self.older = Tokenizer.from_file(path), {}, ({}, {})
+        self.tokenizer, self.letters, self.older = Tokenizer.from_file(path), {}, {}
         self.model, self.bytes = self.tokenizer.model, dict(enumerate(_byte_letters()))
         self.closing, self.letters[""] = {"": b""}, b""
 
@@ -73,7 +73,7 @@ class Tokens(dict):
     def run(self, run: str) -> bytes:
         """The ids of lower-case letters up to U+00FF."""
         if (known := self.letters.get(run)) is None:
-            known = self.older[1].get(run)
+            known = self.older.get(run)
             if known is None:
                 byte_text = run if run.isascii() else run.encode().decode("latin-1").translate(self.bytes)
                 known = array("I", [t.id for t in self.model.tokenize(byte_text)]).tobytes()
@@ -81,18 +81,16 @@ class Tokens(dict):
         return known
 
     def __missing__(self, c: str) -> bytes:
-        if len(self) > WORD_MEMORY:  # what is still in use comes back from the older generation
-            self.older = dict(self), self.letters
-            self.letters = {"": b""}
+        if len(self) > WORD_MEMORY:  # letters still in use come back from the older generation
+            self.older, self.letters = self.letters, {"": b""}
             self.clear()
-        if (known := self.older[0].get(c)) is None:
-            bare = c.rstrip(MARKS)
-            if not bare or bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ"):
-                known = self.run(bare.lower())
-                if len(bare) < len(c):
-                    known += self.marks(c[len(bare) :])
-            else:
-                known = self.encoded([c])[0]
+        bare = c.rstrip(MARKS)
+        if not bare or bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ"):
+            known = self.run(bare.lower())
+            if len(bare) < len(c):
+                known += self.marks(c[len(bare) :])
+        else:
+            known = self.encoded([c])[0]
         self[c] = known
         return known
 
