@@ -32,6 +32,8 @@ SEQUENCE = 2048
 BUCKET_BYTES = 24 << 20
 #: Tokenised words that a worker remembers; beyond that it keeps a generation of their letters.
 WORD_MEMORY = 350_000
+#: Longer words are tokenised each time, so that the memory is bounded in bytes too.
+LONGEST = 64
 #: Characters of a run of marks; apostrophes are none, since contractions have pre-tokens of their own.
 MARKS = ".,;:!?#$%&*|+-/()"
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -67,7 +69,9 @@ class Tokens(dict):
         if (known := self.closing.get(marks)) is None:
             if len(self.closing) > WORD_MEMORY:
                 self.closing = {"": b""}
-            known = self.closing[marks] = self.encoded([marks])[0]
+            known = self.encoded([marks])[0]
+            if len(marks) <= LONGEST:
+                self.closing[marks] = known
         return known
 
     def run(self, run: str) -> bytes:
@@ -77,7 +81,8 @@ class Tokens(dict):
             if known is None:
                 byte_text = run if run.isascii() else run.encode().decode("latin-1").translate(self.bytes)
                 known = array("I", [t.id for t in self.model.tokenize(byte_text)]).tobytes()
-            self.letters[run] = known
+            if len(run) <= LONGEST:
+                self.letters[run] = known
         return known
 
     def __missing__(self, c: str) -> bytes:
@@ -91,7 +96,8 @@ class Tokens(dict):
                 known += self.marks(c[len(bare) :])
         else:
             known = self.encoded([c])[0]
-        self[c] = known
+        if len(c) <= LONGEST:
+            self[c] = known
         return known
 
     def of(self, text: str) -> bytes:
