@@ -54,16 +54,16 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str
     lines = docs.select(F.col(doc_id).alias("id"), F.col(site).alias("site"), F.explode(_lines(no_text(text))).alias("line")).filter(_has_word(F.col("line")))
     lines = checkpointed(lines.select("id", "site", line_key(F.col("line")).alias("key")).distinct())
     hits = lines.join(widespread(lines, min_sites), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("__hit_lines")).withColumnRenamed("id", "__hit_id")
-    rows = docs.select(as_row(docs), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    joined = rows.join(hits, F.col("__id").eqNullSafe(F.col("__hit_id")), "left")
+    body = F.col(f"__row.`{text}`")
+    joined = docs.select(as_row(docs), F.col(doc_id).alias("__id")).join(hits, F.col("__id").eqNullSafe(F.col("__hit_id")), "left")
 
     def cleaned(parts: Column) -> Column:
         kept = F.filter(parts, lambda x: ~(_has_word(x) & F.array_contains(F.col("__hit_lines"), line_key(x))))
         whole = F.length(F.array_join(parts, ""))
         return let(kept, lambda k: F.struct(F.when(2 * F.length(F.array_join(k, "")) >= whole, F.array_join(k, "\n")).alias("text"), (F.size(parts) - F.size(k)).alias("n")))
 
-    done = joined.withColumn("__clean", F.when(F.col("__hit_lines").isNotNull() & F.col("__text").isNotNull(), let(_lines(F.col("__text")), cleaned)))
-    columns = [F.coalesce(F.col("__clean.text"), F.col("__text")).alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    done = joined.withColumn("__clean", F.when(F.col("__hit_lines").isNotNull() & body.isNotNull(), let(_lines(body), cleaned)))
+    columns = [F.coalesce(F.col("__clean.text"), body).alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
     removed = F.when(F.col("__clean.text").isNotNull(), F.col("__clean.n")).otherwise(0).cast("long")
     return done.select(*columns, *([removed.alias(n_removed)] if n_removed else []))
 
