@@ -240,10 +240,9 @@ class Words(dict):
         except KeyError:
             self.learn(set(chunks))
             out = [self[c] for c in chunks]
-        try:
-            return np.array(out, dtype=np.int32)
-        except (TypeError, ValueError):  # long words have several numbers
-            return np.array([n for x in out for n in (x if isinstance(x, tuple) else (x,))], dtype=np.int32)
+        if tuple in set(map(type, out)):  # long words have several numbers
+            out = [n for x in out for n in (x if isinstance(x, tuple) else (x,))]
+        return np.array(out, dtype=np.int32)
 
 
 def score_texts(net: Network, words: Words, texts: list[str]) -> np.ndarray:

@@ -175,6 +175,15 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(texts(spark, []), labels).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x" * 25, "https://example.org/" + "a1b2" * 40, "漢字" * 500, "y" * 30 + " " + "z" * 40])
+def test_toxicity_of_long_words_alone(text):
+    """Chunks that all have the same number of parts, two or more."""
+    net = toxicity.Network(3)
+    got = toxicity.score_texts(net, toxicity.Words(net), [text, "kind friend"])
+    parts = " ".join(w for c in text.split() for w in toxicity.normal(c))
+    assert np.allclose(got, toxicity.score_texts(net, toxicity.Words(net), [parts, "kind friend"]))
+
+
 # near duplicates
 
 
