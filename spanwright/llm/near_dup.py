@@ -9,8 +9,10 @@
 3. Texts that share a band's samples meet in that bucket. The leader of a bucket, the text whose buckets are
    the fullest, is compared with the others: pairs grow with the members, not with their square. Weighted
    Jaccard similarity of the whole shingle vectors decides; connected texts form a class.
-4. Members that are not in one class with the leader go on: in buckets of at most `SMALL` texts every pair of
-   different classes is compared, in larger ones the next fullest text leads, for `ROUNDS` rounds.
+4. Rounds go on until no bucket holds texts of two classes that were never compared. Texts that have led are
+   done with their bucket. In buckets of at most `SMALL` texts left every pair of different classes is
+   compared; in larger ones the fullest texts of each class lead, from one up to `LEADERS` together, against
+   blocks of the members, so that a member's vector moves once a round and not once a pair.
 
 Defined results: a text of fewer than five words is one shingle of all its words; null texts and texts
 without a word are in no class but their own; repeated rows share a class; rows with a null id have a null
@@ -24,9 +26,10 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import arrow_rows, checkpointed, fitted, no_text, table
@@ -36,7 +39,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8^3)^10 = 0.9992.
 BANDS, ROWS = 10, 3
 COMMON = 0.001
-SMALL, ROUNDS = 12, 3
+#: Texts of a bucket whose pairs are listed, and in larger ones those that lead at once and that form a block.
+SMALL, LEADERS, BLOCK = 12, 128, 128
 #: Words that a task remembers, and texts hashed together.
 WORD_MEMORY, TEXTS = 250_000, 64
 #: Rows that Python gets at once: a long text's vector is as large as the text.
@@ -179,6 +183,21 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([a, b, pa.array([of(i) for i in range(batch.num_rows)], pa.float64())], names=["a", "b", "similarity"])
 
 
+def _led(threshold: float):
+    """Similar (a, b) of different classes among a bucket's leaders and a block of its members."""
+
+    def read(rows: pd.DataFrame) -> list[tuple]:
+        return [(n, c, np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)) for n, c, h, w in zip(rows["node"], rows["component"], rows["h"], rows["w"])]
+
+    def run(leaders: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        found, block = [], read(members)
+        for a, own, ha, wa in read(leaders):
+            found += [(a, b) for b, other, hb, wb in block if own != other and weighted_jaccard(ha, wa, hb, wb) >= threshold]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def word_idf(docs: DataFrame) -> Idf:
     """Counted over all documents; what comes to the driver is bounded by `COMMON`."""
     n = docs.count()
@@ -238,24 +257,31 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
     leaders = met.groupBy("bucket").agg(F.max(standing).alias("top"))
     pairs = met.join(leaders, "bucket").select((-F.col("top.minus")).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     links = checkpointed(similar(fitted(pairs, rows)))
-    for done in range(ROUNDS):
-        classes = components(links)
-        placed = met.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-        placed = checkpointed(fitted(placed.join(mixed, "bucket", "left_semi"), rows))
+    waiting = met.join(leaders, "bucket").filter(F.col("node") != -F.col("top.minus")).select("bucket", "node", "fill")
+    share = 1
+    while True:
+        placed = waiting.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", "n")
+        placed = checkpointed(fitted(placed.join(mixed, "bucket"), rows))
         if placed.isEmpty():
             break
-        large = placed.filter(F.col("n") > SMALL)
-        after = large.join(leaders, "bucket").filter(standing < F.col("top")).groupBy("bucket").agg(F.max(F.struct(standing.alias("standing"), F.col("component"))).alias("next"))
-        after = checkpointed(fitted(after, rows))
-        leaders = after.select("bucket", F.col("next.standing").alias("top"))
-        turn = after.select("bucket", (-F.col("next.standing.minus")).alias("a"), F.col("next.component").alias("own"))
-        pairs = large.join(turn, "bucket").filter("component <> own").select("a", F.col("node").alias("b"))
-        if done == 0:
-            few = placed.filter(F.col("n") <= SMALL).select("bucket", "node", "component")
-            other = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("own"))
-            pairs = pairs.unionByName(few.join(other, "bucket").filter("a < node AND component <> own").select("a", F.col("node").alias("b")))
-        links = checkpointed(fitted(links.unionByName(similar(fitted(pairs.distinct(), rows))).distinct(), rows))
+        few, large = placed.filter(F.col("n") <= SMALL).select("bucket", "node", "component"), placed.filter(F.col("n") > SMALL)
+        other = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("own"))
+        pairs = few.join(other, "bucket").filter("a < node AND component <> own").select("a", F.col("node").alias("b"))
+        found = links.unionByName(similar(fitted(pairs.distinct(), rows)))
+        turn = large.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "component").orderBy(standing.desc()))).filter(F.col("turn") <= share)
+        turn = turn.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", standing.desc()))).filter(F.col("place") <= LEADERS)
+        turn = checkpointed(fitted(turn.select("bucket", "node", "component", "n"), rows))
+        if not turn.isEmpty():
+            blocks = F.ceil(F.col("n") / BLOCK)
+            members = large.join(vectors, "node").select("bucket", F.pmod(F.xxhash64("node"), blocks).alias("block"), *[F.col(c).alias(c) for c in ("node", "component", "h", "w")])
+            first, last = F.lit(0).cast("long"), blocks.cast("long") - 1
+            heads = turn.join(vectors, "node").select(F.col("bucket").alias("of"), F.explode(F.sequence(first, last)).alias("part"), *[F.col(c).alias(c) for c in ("node", "component", "h", "w")])
+            led = heads.groupBy("of", "part").cogroup(members.groupBy("bucket", "block")).applyInPandas(_led(threshold), "a long, b long")
+            found = found.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links = checkpointed(fitted(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows))
+        waiting = checkpointed(fitted(large.join(turn, ["bucket", "node"], "left_anti").select("bucket", "node", "fill"), rows))
+        share = min(LEADERS, 4 * share)
     classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     per_text = exact.join(classes, "node", "left").join(degree, "node", "left").select("key", F.coalesce("component", "node").alias("__class"), F.coalesce("links", F.lit(0)).cast("long").alias("__links"))

@@ -238,6 +238,19 @@ def test_large_spread_group_loses_no_link(spark):
     assert 20 < len(set(expected.values())) < 150 and got == expected
 
 
+def test_pairs_that_meet_only_in_large_buckets(spark):
+    """Texts that share a long passage and have a short end of their own, each with one copy edited in its end."""
+    rng = np.random.default_rng(5)
+    passage, rows = [f"w{x}" for x in rng.integers(0, 400, 120)], []
+    for i in range(90):
+        end = [f"t{i}x{x}" for x in rng.integers(0, 10**6, 5)]
+        rows += [" ".join(passage + end[:3] + [f"e{i}y{j}"] + end[4:]) for j in range(2)]
+    docs = texts(spark, list(enumerate(rows))).repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    expected = brute_classes(spark, docs)
+    assert len(set(expected.values())) == 90 and got == expected
+
+
 def test_near_duplicates_hot_group(spark):
     docs = texts(spark, [(i, t) for i, t in enumerate(["the same text over and over again today"] * 400 + varied(3, 200, 1))])
     got = near_dup.near_duplicates(docs)
