@@ -2,12 +2,12 @@
 
 Each page is handled whole in one task. Markup is stripped in one pass: scripts, styles, comments and the
 head go with their content, as do elements that carry no main text by their name (menus, footers, sidebars,
-forms) or by a word of their class, id or role (adverts, notices, reader comments); block tags end a line,
+forms), by a word of their class, id or role (adverts, notices, reader comments) or as hidden; block tags end a line,
 inline tags end nothing. Each element that went leaves one empty line behind. On the remaining lines, text lengths are
 summed over a sliding window: a window whose sum surges past `surge` after empty ones opens the main text
 and an empty window (the dive) closes it; the non-empty lines between both are kept, in page order. If no
-window surges, the part with the largest sum is kept. Where a page has an article or main element with text,
-lines outside it count as empty; elsewhere so do lines that are mostly links.
+window surges, the part with the largest sum is kept; lines that are mostly links count as empty. Where a page
+has an article or main element with text, all lines inside it are kept, and none outside.
 
 Defined results: null or empty html, and html without text, give the empty text; a repeated row gives a
 repeated result; null ids and urls are passed on; an element that is never closed drops no text, except
@@ -45,15 +45,19 @@ MARKS = set(
     "nav navbar navigation footer widget pagination pager toolbar masthead complementary contentinfo".split()
 )
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 
 
 def _marked(attributes: str) -> bool:
-    if not attributes:
-        return False
-    words = {w for m in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())}
-    return bool(words & MARKS) or bool(HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", lambda m: m[0] if ":" in m[0] else '""', attributes)))
+    """Whether an element is hidden or its class, id or role names what is no main text."""
+    for m in ATTRIBUTE.finditer(attributes or ""):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in ("class", "id", "role") and MARKS.intersection(re.split(r"[^a-z]+", value)):
+            return True
+        if name == "hidden" and value.strip() != "false" or name == "aria-hidden" and value.strip() == "true" or name == "style" and UNSHOWN.search(value):
+            return True
+    return False
 
 
 def _closed(html: str) -> tuple[list[re.Match], dict[int, int]]:
@@ -120,9 +124,8 @@ def lines_of(html: str) -> list[tuple[str, float, bool]]:
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE, link_share: float = LINK_SHARE) -> str:
     lines = lines_of(html)
     if any(inside and text for text, _, inside in lines):
-        texts = [text if inside else "" for text, _, inside in lines]
-    else:
-        texts = [text if share <= link_share else "" for text, share, _ in lines]
+        return "\n".join(text for text, _, inside in lines if inside and text)
+    texts = [text if share <= link_share else "" for text, share, _ in lines]
     sizes = [len(t) for t in texts]
     sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
     parts, start = [], None  # runs of windows that hold text: (largest sum, first line, last line)

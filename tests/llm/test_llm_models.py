@@ -81,6 +81,22 @@ def test_html_by_distribution():
     assert html_extract.main_text(soup).split("\n")[0] == "Title here" and "Home" not in html_extract.main_text(soup)
 
 
+@pytest.mark.parametrize("attribute", ['style="overflow:hidden"', 'aria-hidden="false"', 'title="a: hidden b"', "style='max-display:none'", 'data-hidden=""'])
+def test_html_keeps_what_is_shown(attribute):
+    assert html_extract.main_text(f"<div {attribute}><article><p>Some text.</p></article></div>") == "Some text."
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display : none"', "class='x ad'"])
+def test_html_drops_what_is_hidden(attribute):
+    assert html_extract.main_text(f"<article><p>Some text.</p><div {attribute}>Not shown.</div></article>") == "Some text."
+
+
+def test_html_keeps_links_and_short_ends():
+    assert html_extract.main_text('<article><p>See <a href="https://x.org/hidden-gems">these gems</a> now.</p></article>') == "See these gems now."
+    advert = '<div class="ad">Buy now</div>'
+    assert html_extract.main_text(f"<article><p>{'long text ' * 20}</p>{advert * 3}<p>The end.</p></article>").split("\n")[1:] == ["The end."]
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", ""), (3, "v", "")], "page_id long, url string, html string")
     got = html_extract.extract(pages).collect()
