@@ -45,6 +45,13 @@ def recipe_route(spark, d):
     return graph.recipe_costs(recipes, known)
 
 
+def recipe_route_all(spark, d):
+    """All parts as recipes: k is made of k / 2 and k / 3, starting from the items up to 2."""
+    k = F.col("p_partkey")
+    recipes = table(spark, d, "part").filter("p_partkey > 2").select(F.floor(k / 2).alias("x"), F.floor(k / 3).alias("y"), k.alias("result"))
+    return graph.recipe_costs(recipes, table(spark, d, "part").filter("p_partkey <= 2").select(k.alias("item")))
+
+
 def greedy_chunks(spark, d):
     """Decades packed into chunks of at most 1200 records and 30 decades, with a break at the year 1."""
     decade = F.floor(to_astronomical(F.col("from_year")) / 10).cast("int")
@@ -100,6 +107,7 @@ Q = [
     Query("order_components", "D15 D29", order_components, None),
     Query("recipe_route", "K36", recipe_route, """WITH RECURSIVE c AS (SELECT 2 AS k, [0, 0]::BIGINT[] AS cost UNION ALL SELECT k + 1, list_append(cost, 1 + cost[k] + CASE WHEN k = (k + 1) // 2 THEN 0 ELSE cost[(k + 1) // 2] END) FROM c WHERE k < 12)
         SELECT unnest(range(1, 13))::BIGINT AS item, unnest(cost) AS cost FROM c WHERE k = 12"""),
+    Query("recipe_route_all", "K36", recipe_route_all, None),
     Query("greedy_chunks", "F16 F17 O1", greedy_chunks, f"""WITH RECURSIVE {RECORDS_SQL}, c AS (SELECT decade, n, row_number() OVER (ORDER BY decade) AS i FROM (SELECT floor({ASTRO.format("from_year")} / 10.0)::INT AS decade, count(*) AS n FROM recs GROUP BY 1)),
         b AS (SELECT min(i) AS i FROM c WHERE decade >= 0),
         w AS (SELECT i, decade, n, 0 AS chunk, n AS total, 1 AS len FROM c WHERE i = 1 UNION ALL

@@ -134,3 +134,14 @@ def test_plans():
     assert furthest_within([1] * 4, 4, 10, measure=lambda a, z: 2.0 * (z - a + 1)) == [(0, 1), (2, 3)]
     blocks = near_equal_blocks([1] * 100, 5)
     assert blocks == sorted(blocks) and max(map(blocks.count, set(blocks))) <= 21
+
+
+def test_recipe_route_of_all_parts(spark):
+    from spanwright import registry
+
+    sf = "/root/testdata/sf0.001"
+    keys = sorted(r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").collect())
+    cost = {}
+    for k in keys:
+        cost[k] = 0 if k <= 2 else 1 + cost[k // 2] + (cost[k // 3] if k // 3 != k // 2 else 0)
+    assert len(keys) > 12 and {r.item: r.cost for r in registry.queries()["recipe_route_all"](spark, sf).collect()} == cost
