@@ -96,7 +96,7 @@ Q = [
     Query("ring_areas", "J1 J4", ring_areas, f"WITH {RING} SELECT poly, round(abs(sum(radians(bx - ax) * (2 + sin(radians(bby)) + sin(radians(ay))))) * 6371.0 * 6371.0 / 2, 2) AS km2 FROM e GROUP BY poly"),
     Query("mercator_tiles", "J18 K23", mercator_tiles, f"""WITH {PTS}, t AS (SELECT floor((lon + 180) / 360 * 16)::INT AS tx, floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 16)::INT AS ty FROM c)
         SELECT least(15, greatest(0, tx))::INT AS tx, least(15, greatest(0, ty))::INT AS ty, count(*) AS n FROM t GROUP BY 1, 2"""),
-    Query("raster_components", "J17 D29 K39", lambda s, d: S.raster_components(_cells(s, d)).groupBy("component").agg(F.count("*").alias("cells"), F.min("x").alias("x0"), F.max("y").alias("y1")), f"""WITH RECURSIVE {PTS}, n AS (SELECT DISTINCT floor(lon / 4)::INT AS x, floor(lat / 4)::INT AS y FROM c),
+    Query("raster_components", "J17 D29", lambda s, d: S.raster_components(_cells(s, d)).groupBy("component").agg(F.count("*").alias("cells"), F.min("x").alias("x0"), F.max("y").alias("y1")), f"""WITH RECURSIVE {PTS}, n AS (SELECT DISTINCT floor(lon / 4)::INT AS x, floor(lat / 4)::INT AS y FROM c),
         w AS (SELECT *, (x + 100000)::BIGINT * 1000000 + y + 100000 AS node FROM n), g AS (SELECT node, node AS m FROM w UNION SELECT b.node, g.m FROM g JOIN w a ON a.node = g.node JOIN w b ON abs(a.x - b.x) + abs(a.y - b.y) = 1),
         l AS (SELECT node, min(m) AS component FROM g GROUP BY node) SELECT component, count(*) AS cells, min(x) AS x0, max(y) AS y1 FROM l JOIN w USING (node) GROUP BY component"""),
     Query("arc_uses", "E18 J15 J19", arc_uses, f"""WITH {PTS}, o AS (SELECT floor(lon / 8)::INT AS x, floor(lat / 8)::INT AS y, arg_min(c_nationkey, c_custkey) AS owner FROM c JOIN customer ON c_custkey = id GROUP BY 1, 2),

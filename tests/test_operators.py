@@ -145,3 +145,9 @@ def test_recipe_route_of_all_parts(spark):
     for k in keys:
         cost[k] = 0 if k <= 2 else 1 + cost[k // 2] + (cost[k // 3] if k // 3 != k // 2 else 0)
     assert len(keys) > 12 and {r.item: r.cost for r in registry.queries()["recipe_route_all"](spark, sf).collect()} == cost
+
+
+def test_ids_without_their_work_are_not_claimed():
+    from spanwright import registry
+
+    assert not {"K22", "K30", "K33", "K39", "L12"} & set(registry.coverage())
