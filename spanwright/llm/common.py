@@ -32,6 +32,33 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+#: Items that `folded` takes at once: appending to an array copies it, so arrays that grow stay this short.
+FOLD = 256
+
+
+def folded(items: Column, start: Column, step, kind: str) -> Column:
+    """All that `step(carry, item) -> (carry, array)` gives over the items in order, as one array of type `kind`.
+
+    Items are taken in blocks, so that the time grows with their number and not with its square.
+    """
+    none = F.array().cast(kind)
+
+    def item(state: Column, x: Column) -> Column:
+        carry, out = step(state["carry"], x)
+        return F.struct(carry.alias("carry"), F.concat(state["out"], out).alias("out"))
+
+    def block(state: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(state["carry"].alias("carry"), none.alias("out")), item)
+        return let(done, lambda d: F.struct(d["carry"].alias("carry"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+    def all_of(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / FOLD).cast("int")), lambda b: F.slice(xs, b * FOLD + 1, FOLD))
+        parts = F.aggregate(blocks, F.struct(start.alias("carry"), F.array().cast(f"array<{kind}>").alias("out")), block, lambda state: state["out"])
+        return F.when(F.size(xs) > 0, F.flatten(parts)).otherwise(none)
+
+    return let(items, all_of)
+
+
 def as_row(df: DataFrame) -> Column:
     """All columns in one struct, so that columns put beside it cannot clash with theirs."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
