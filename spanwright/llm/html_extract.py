@@ -1,13 +1,22 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
-Each page is handled whole in one task. Markup is stripped in one pass: scripts, styles, comments and the
-head go with their content, as do elements that carry no main text by their name (menus, footers, sidebars,
-forms), by a word of their class, id or role (adverts, notices, reader comments) or as hidden; block tags end a line,
-inline tags end nothing. Each element that went leaves one empty line behind. On the remaining lines, text lengths are
-summed over a sliding window: a window whose sum surges past `surge` after empty ones opens the main text
-and an empty window (the dive) closes it; the non-empty lines between both are kept, in page order. If no
-window surges, the part with the largest sum is kept; lines that are mostly links count as empty. Where a page
-has an article or main element with text, all lines inside it are kept, and none outside.
+Each page is handled whole in one task, in two steps.
+
+1. Markup is stripped in one pass: scripts, styles and comments go with their content, as do elements that
+   carry no main text by their name (head, menus, footers, sidebars, forms), by their class, id or role (adverts,
+   notices, reader comments) or as hidden. Block tags end a line, inline tags end nothing. Where a page has an
+   article or main element with text, what stands outside it is stripped too.
+2. The lines left are weighed: a line counts the characters it has outside links, or none if most of it is
+   links, unless it stands in an article. An element that went outside an article leaves `window` lines without weight
+   behind, except adverts, notices and the like, which may stand inside a text. Weights are summed over a
+   sliding window of `window` lines. A stretch of windows with a weight rises at its first line of weight and
+   dives behind its last one; if a window in it reaches `surge` characters (or the largest sum of the page,
+   where none does), it is a surge. All text between the first surge and the last dive of one is kept,
+   short lines and short stretches among it too; only lines inside a dive (menus) are not.
+
+Lines of an article leave no gap, so an article is one surge and is kept whole. Both steps take time in
+proportion to the page: a tag is read forwards without a second try, and since each kind of quote swaps two of a
+reader's three states (outside, in one kind, in the other), at most three tags that never end are read on at once.
 
 Defined results: null or empty html, and html without text, give the empty text; a repeated row gives a
 repeated result; null ids and urls are passed on; an element that is never closed drops no text, except
@@ -19,6 +28,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,38 +36,54 @@ from pyspark.sql import functions as F
 
 from spanwright.llm.common import table
 
-#: Lines of a window, and the characters in a window that open the main text.
+#: Lines of a window, and the characters in a window that make a stretch a surge.
 WINDOW, SURGE = 3, 86
-#: A line outside an article is a menu if more than this share of its text is inside links.
-LINK_SHARE = 0.5
 
-SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|noscript|svg|iframe|object|math|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))|<title\b[^>]*>.*?</title\s*>", re.I | re.S)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>")
+INSIDE_TAG = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
+SILENT = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|noscript|iframe)\b{INSIDE_TAG}>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE_TAG})>|<[!?][^<>]*>")
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-DROPPED = set("nav footer aside form menu dialog button fieldset label input".split())
-#: Words of a class, id or role that mark what is no main text.
-MARKS = set(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments disqus cookie cookies "
-    "consent notice notices popup modal newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs menu "
-    "nav navbar navigation footer widget pagination pager toolbar masthead complementary contentinfo".split()
+DROPPED = set("head title nav footer aside form menu dialog button fieldset label select svg object math".split())
+#: Words that mark what is no main text if a class, id or role is made of them and of `FILLERS` alone;
+#: `ASIDE` are those of parts that may stand inside a text.
+ASIDE = set("ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion popup modal notice notices cookie cookies consent gdpr newsletter subscribe subscription signup share sharing social".split())
+MARKS = ASIDE | set(
+    "sidebar comment comments disqus replies related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation footer "
+    "widget widgets pagination pager toolbar masthead complementary contentinfo search skip".split()
 )
+FILLERS = set(
+    "box wrap wrapper container block section area list item items bar inner outer slot unit top bottom left right main primary secondary site page "
+    "global user reader visitor form header title heading body content links link buttons button icons post posts article story message text js".split()
+)
+#: Elements whose id tells their heading's words rather than their part of the page.
+NAMED = set("h1 h2 h3 h4 h5 h6 p a span li dt dd td th".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
 UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 
 
-def _marked(attributes: str) -> bool:
-    """Whether an element is hidden or its class, id or role names what is no main text."""
+class Line(NamedTuple):
+    text: str
+    weight: int
+    inside: bool
+
+
+def _mark(name: str, attributes: str) -> str | None:
+    """'hidden', or the word for which an element's class, id or role makes it no main text."""
     for m in ATTRIBUTE.finditer(attributes or ""):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role") and MARKS.intersection(re.split(r"[^a-z]+", value)):
-            return True
-        if name == "hidden" and value.strip() != "false" or name == "aria-hidden" and value.strip() == "true" or name == "style" and UNSHOWN.search(value):
-            return True
-    return False
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "role") or key == "id" and name not in NAMED:
+            for token in value.split():
+                words = [w for w in re.split(r"[^a-z]+", token) if w]
+                marks = MARKS.intersection(words)
+                if marks and marks.union(FILLERS).issuperset(words):
+                    return min(marks)
+        if key == "hidden" and value.strip() != "false" or key == "aria-hidden" and value.strip() == "true" or key == "style" and UNSHOWN.search(value):
+            return "hidden"
+    return None
 
 
 def _closed(html: str) -> tuple[list[re.Match], dict[int, int]]:
@@ -70,75 +96,101 @@ def _closed(html: str) -> tuple[list[re.Match], dict[int, int]]:
                 open_by.setdefault(name, []).append(i)
             elif open_by.get(name):
                 partner[open_by[name].pop()] = i
+        if name == "body" and not m[1]:
+            for head in open_by.pop("head", []):  # a head ends where the body begins
+                partner[head] = i - 1
     return tags, partner
 
 
-def lines_of(html: str) -> list[tuple[str, float, bool]]:
-    """(text, share of it in links, whether in an article or main element) for each line, with empty ones."""
-    html = SILENT.sub(lambda m: "\n" if m[0][:4].lower() in ("<hea", "<tit") else "", html)
+def lines_of(html: str, window: int = WINDOW) -> list[Line]:
+    """The lines of a page and the gaps that stripped elements leave."""
+    html = SILENT.sub("", html)
     tags, partner = _closed(html)
-    lines, parts, linked, in_link, inside = [], [], 0, 0, 0
-    ends: set[int] = set()
+    mains = [i for i, m in enumerate(tags) if m[2] and m[2].lower() == "main" and not m[1]]
+    lines: list[Line] = []
+    parts: list[str] = []
+    plain: list[str] = []
+    in_link, inside, ends, at_main = False, 0, set(), 0
+
+    def add(text: str) -> None:
+        parts.append(text)
+        if not in_link:
+            plain.append(text)
 
     def end_line() -> None:
-        nonlocal parts, linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append((text, linked / max(1, len(text)), inside > 0))
-        parts, linked = [], 0
+            free = len(" ".join(unescape("".join(plain)).split()))
+            lines.append(Line(text, len(text) if inside else free if 2 * free >= len(text) else 0, inside > 0))
+        parts.clear()
+        plain.clear()
 
     at, i = 0, 0
     while i < len(tags):
         m = tags[i]
         if m.start() > at:
-            parts.append(html[at : m.start()])
-            linked += (m.start() - at) if in_link else 0
+            add(html[at : m.start()])
         at = m.end()
         name, closing = (m[2] or "").lower(), bool(m[1])
-        drop = not closing and (name in DROPPED or name == "header" and not inside or name not in ("body", "html", "article", "main") and _marked(m[3]))
+        mark = None if closing or name in ("body", "html", "main", "") else _mark(name, m[3])
+        drop = not closing and (name in DROPPED or name == "header" and not inside or mark)
         if drop and i in partner:
-            end_line()
-            lines.append(("", 0.0, inside > 0))
-            i = partner[i]
+            while at_main < len(mains) and mains[at_main] <= i:
+                at_main += 1
+            drop = name in DROPPED or not (at_main < len(mains) and mains[at_main] < partner[i])  # what holds the main element stays
+        if drop and i in partner:
+            if name in BLOCKS:
+                end_line()
+            if not inside and mark not in ASIDE and mark != "hidden":
+                lines += [Line("", 0, False)] * window
+            i = max(i, partner[i])
             at = tags[i].end()
         elif name == "a":
-            in_link = max(0, in_link + (-1 if closing else 1))
+            in_link = not closing  # links don't nest
         elif name in ("article", "main"):
             end_line()
-            if not closing and i in partner:
-                inside += 1
-                ends.add(partner[i])
-            elif not closing:
+            if not closing:
                 inside += 1
+                if i in partner:
+                    ends.add(partner[i])
             elif i in ends:
                 inside -= 1
         elif name in BLOCKS:
             end_line()
         i += 1
     if at < len(html):
-        parts.append(html[at:])
+        add(html[at:])
     end_line()
     return lines
 
 
-def main_text(html: str, window: int = WINDOW, surge: int = SURGE, link_share: float = LINK_SHARE) -> str:
-    lines = lines_of(html)
-    if any(inside and text for text, _, inside in lines):
-        return "\n".join(text for text, _, inside in lines if inside and text)
-    texts = [text if share <= link_share else "" for text, share, _ in lines]
-    sizes = [len(t) for t in texts]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    parts, start = [], None  # runs of windows that hold text: (largest sum, first line, last line)
+def between_surges(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """Ranges of lines from the first surge to the last dive, without the lines inside dives."""
+    sums, total = [], 0
+    for i, w in enumerate(weights):
+        total += w - (weights[i - window] if i >= window else 0)
+        sums.append(total)
+    need = min(surge, max(sums, default=0))
+    stretches, start, peak = [], None, 0  # (first line of weight, line behind the last one, largest sum)
     for i, s in enumerate([*sums, 0]):
         if s and start is None:
-            start = i
-        elif not s and start is not None:
-            parts.append((max(sums[start:i]), start, i))
+            start, peak = i, s
+        elif s:
+            peak = max(peak, s)
+        elif start is not None:
+            last = next(j for j in range(i - 1, start - 1, -1) if weights[j])
+            stretches.append((start, last + 1, peak))
             start = None
-    if not parts:
-        return ""
-    surged = [p for p in parts if p[0] >= surge] or [max(parts, key=lambda p: (p[0], -p[1]))]
-    return "\n".join(t for _, a, z in surged for t in texts[a:z] if t)
+    surged = [k for k, (_, _, peak) in enumerate(stretches) if peak >= need]
+    return [(a, z) for a, z, _ in stretches[surged[0] : surged[-1] + 1]] if surged else []
+
+
+def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
+    lines = lines_of(html, window)
+    if any(line.inside for line in lines):
+        lines = [line for line in lines if line.inside]
+    kept = between_surges([line.weight for line in lines], window, surge)
+    return "\n".join(line.text for a, z in kept for line in lines[a:z] if line.text)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

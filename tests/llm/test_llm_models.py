@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import math
+import time
 import zlib
 
 import numpy as np
@@ -97,6 +98,64 @@ def test_html_keeps_links_and_short_ends():
     assert html_extract.main_text(f"<article><p>{'long text ' * 20}</p>{advert * 3}<p>The end.</p></article>").split("\n")[1:] == ["The end."]
 
 
+LONG_LINE = "This sentence stands in the text of the article, which is long enough to be a surge of its own."
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ('<article><p>Text.</p><article class="comment"><p>I disagree.</p></article></article>', "Text."),
+        ('<article><p>Text.</p></article><article class="comment user"><p>I disagree.</p></article>', "Text."),
+        ('<article><h2 id="related-work">Related work</h2><section id="related-work-2"><p>A paragraph.</p></section></article>', "Related work\nA paragraph."),
+        ('<article><div class="share-price">It rose.</div><p class="notice-of-motion">Moved.</p></article>', "It rose.\nMoved."),
+        (f'<div><p>{LONG_LINE}</p>{"<div class=ad>Buy</div>" * 3}<p>The end.</p></div>', f"{LONG_LINE}\nThe end."),
+        (f"<article><p>{LONG_LINE}</p></article><article><p>Short.</p></article>", f"{LONG_LINE}\nShort."),
+        (f'<div><p>{LONG_LINE}</p><p><a href="x">A linked paragraph</a></p><p>{LONG_LINE}</p></div>', f"{LONG_LINE}\nA linked paragraph\n{LONG_LINE}"),
+        ('<article><p>Text.</p><p><a href="x">Linked.</a></p></article>', "Text.\nLinked."),
+        (f'<div class="site-header">Site</div><nav>Menu</nav><div>{LONG_LINE}</div><div class="comments-section"><p>{LONG_LINE}</p></div>', LONG_LINE),
+        (f'<div class="sidebar"><main><p>Text.</p></main></div><div class="sidebar">{LONG_LINE}</div>', "Text."),
+        (f'{"<p><a href=x>Home page</a></p>" * 5}<p>Title</p><p>{LONG_LINE}</p>{"<p><a href=x>Next page</a></p>" * 5}', f"Title\n{LONG_LINE}"),
+        ("<head><title>T</title><body><p>Text.", "Text."),
+        ("<p>a <b>bold</b>&nbsp;word &lt;p&gt;<br>next", "a bold word <p>\nnext"),
+    ],
+)
+def test_html_by_hand(page, expected):
+    assert html_extract.main_text(page) == expected
+
+
+def test_html_surges_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(600):
+        window, surge = int(rng.integers(1, 5)), int(rng.integers(1, 120))
+        weights = (rng.integers(0, 60, rng.integers(0, 25)) * (rng.random() < rng.random(1))).tolist()
+        weights = [w if rng.random() < 0.6 else 0 for w in weights]
+        groups: list[list[int]] = []
+        for i, w in enumerate(weights):
+            if w and groups and i - groups[-1][-1] <= window:
+                groups[-1].append(i)
+            elif w:
+                groups.append([i])
+        peaks = [max(sum(weights[k] for k in g if t - window < k <= t) for t in g) for g in groups]
+        need = min([surge, *([max(peaks)] if peaks else [])])
+        high = [k for k, peak in enumerate(peaks) if peak >= need]
+        expected = [(g[0], g[-1] + 1) for k, g in enumerate(groups) if high and high[0] <= k <= high[-1]]
+        assert html_extract.between_surges(weights, window, surge) == expected
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '\"'\"", "<!", "<script ", "<head>", "<title>", "<div class=ad>x", "</script", "<li><a href=x>y</a>", "<", "&", "<div class=ad><main></main></div>"])
+def test_html_takes_long_pages_in_their_stride(part):
+    began = time.time()
+    html_extract.main_text(part * (1_000_000 // len(part)))
+    assert time.time() - began < 20  # a quadratic reader takes hours
+
+
+def test_html_without_article_tags_by_distribution(spark):
+    """The lines' distribution alone finds what the article element holds."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").filter("html IS NOT NULL").collect():
+        bare = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_extract.main_text(bare) == html_extract.main_text(r.html)
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", ""), (3, "v", "")], "page_id long, url string, html string")
     got = html_extract.extract(pages).collect()
