@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -183,19 +184,26 @@ def test_folded_is_a_running_sum(spark, n):
 
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [0.5, -0.25, 0.0]), (100, [0.5, 0.5]), (100, [0.5, 0.5]), (1, None), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, []), *[(i, [0.25, 0.25, 0.125]) for i in range(6, 40)]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(0, [0.5, -0.25, 0.0]), (100, [0.5, 0.5]), (100, [0.5, 0.5]), (100, [-0.5]), (1, None), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, []), (200, [])]
+    rows += [(50, [0.5, 0.5])] * 30 + [(i, [0.25, 0.25, 0.125]) for i in range(6, 40)]
     q = lambda x: [int((1024 * v) // 1) for v in x]
-    good = {i: q(x) for i, x in rows if i is not None and x and all(v is not None and abs(v) < inf for v in x)}
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
-    expected = {(i, r + 1, j, s) for i in (0, 100) for r, (s, j) in enumerate((s, j) for s, j in sorted(((dot(good[i], good[j]), j) for j in good if j != i), key=lambda t: (-t[0], t[1]))[:10])}
-    assert {tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 100 == 0).collect()} == expected
+    for some in (rows, rows[:4] + rows[9:11], rows[:1], rows[1:3]):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<float>")
+        good = [(i, q(x)) for i, x in some if i is not None and x is not None and all(v is not None and abs(v) < inf for v in x)]
+        expected = collections.Counter()
+        for at, (i, v) in enumerate(good):
+            if i % 100 == 0:
+                ranked = sorted(((-dot(v, w), j) for b, (j, w) in enumerate(good) if b != at))[:10]
+                expected.update((i, r + 1, j, -s) for r, (s, j) in enumerate(ranked))
+        assert collections.Counter(tuple(r)[:4] for r in topk_search.top_k(df, F.col("vec_id") % 100 == 0).collect()) == expected
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
 def test_top_k_blocks_agree(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     whole = {tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()}
-    monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", 60)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk_search, "CANDIDATE_CELLS", 4000)
+    monkeypatch.setattr(topk_search, "QUERY_CELLS", 200)
+    monkeypatch.setattr(topk_search, "SLAB_SCORES", 150)
     assert {tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()} == whole
