@@ -81,6 +81,20 @@ def test_line_dedup_by_hand(spark):
     assert {r.text for r in whole.collect()} == {"copied page"}
 
 
+def test_line_dedup_spares_no_document(spark, monkeypatch):
+    """Widespread lines go even where little else is left; copies of one text count as one text."""
+    rows = [(i, f"Boilerplate of all sites that is longer than the rest\nown {i}", f"s{i}") for i in range(8)]
+    rows += [(20, "boilerplate of all sites that is longer than the rest", "s1"), (None, "Boilerplate of all sites that is longer than the rest\nx", None), (None, "y\nno boilerplate", None)]
+    rows += [(30 + i, "a page that was copied whole\nwith two lines", f"s{i}") for i in range(20)] + [(60 + i, f"with two lines\nof {i}", f"s{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for bound in (500_000, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", bound)
+        got = {(r.doc_id, r.text, r.n) for r in line_dedup.remove_boilerplate(docs, n_removed="n").collect()}
+        assert {(3, "own 3", 1), (20, "", 1), (None, "x", 1), (None, "y\nno boilerplate", 0), (30, rows[11][1], 0), (60, "with two lines\nof 0", 0)} <= got
+        more = docs.unionByName(spark.createDataFrame([(80, "with two lines\nof its own", "s9")], docs.schema))
+        assert (60, "of 0", 1) in {(r.doc_id, r.text, r.n) for r in line_dedup.remove_boilerplate(more, n_removed="n").collect()}
+
+
 @pytest.mark.parametrize("rows", [[(i, f"word {'x ' * (i % 17)}", ["en", "de", None][i % 3], f"s{i * i % 5}", 1) for i in range(300)] + ODD])
 def test_mixing_edges(spark, rows):
     against_sql(
