@@ -1,13 +1,14 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
-1. All words of all documents are counted; the `VOCABULARY` most frequent become tokens, every other word is
-   the unknown token followed by its spelling (length and letters, with frequencies counted over all rarer
-   words).
-2. Training covers the whole corpus: each task masks a share of the tokens of its documents and descends
-   along the gradient of predicting them from the two tokens on either side; Spark averages the tasks' networks by
-   parameter, weighted by tokens, and the average starts the next round. What is trained is bounded; what
-   is gathered (counts, one network a task) grows with the input.
-3. A scan masks every token of each whole text in turn and sums the conditional log-probabilities.
+1. All words of all documents are counted. The most frequent are tokens of their own; every other word is spelled
+   in pieces, those of a public tokenizer's first merges, down to bytes. So every token of every text is in the
+   vocabulary and is predicted; none is unknown.
+2. Training covers the whole corpus: in each of `ROUNDS` passes every task masks another share of the tokens of
+   its documents, so that all are masked once over the passes, and descends along the gradient of predicting
+   them from the tokens on either side. Spark averages the tasks' networks as vectors in two steps,
+   weighted by tokens, and the average starts the next pass. The network is bounded; what is gathered (counts
+   of all words, one network a task) grows with the input.
+3. Texts are read as tokens once and kept in the checkpoint folder. A last scan masks every token of each whole text in turn and sums the conditional log-probabilities.
 
 The softmax has two levels, a block of tokens and a token inside its block, so a prediction costs twice the
 square root of the vocabulary.
@@ -19,6 +20,8 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -28,30 +31,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import checkpointed, no_text, table
+from spanwright.llm.packing import Tokens, default_tokenizer
 
-#: Tokens, a square number; id 0 pads, id 1 is the unknown word. Width of the network.
-VOCABULARY, BLOCK, HIDDEN = 1024, 32, 16
-OFFSETS = (-2, -1, 1, 2)
-MASKED, ROUNDS, RATE, BATCH = 0.1, 2, 0.15, 2048
-#: Lengths and letters (code points modulo the number) of unknown words.
-LENGTHS, LETTERS = 64, 512
-#: Distinct words that a task counts at once, and words of a slab of texts.
-WORD_MEMORY, SLAB = 400_000, 60_000
-UNKNOWN = 1
-
-
-def spelling(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length class of each word, letter classes of all words one after the other, owner of each letter)."""
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4") % LETTERS
-    return np.minimum(sizes, LENGTHS - 1), letters.astype(np.int64), np.repeat(np.arange(len(words)), sizes)
+#: Tokens, a square number: padding (id 0), the tokenizer's letters and first merges, and frequent words.
+VOCABULARY, BLOCK, LETTERS, MERGES = 4096, 64, 512, 2048
+WORDS = VOCABULARY - 1 - LETTERS - MERGES
+#: Width of the network, and the tokens it sees.
+HIDDEN, OFFSETS = 16, (-2, -1, 1, 2)
+ROUNDS, RATE, BATCH = 2, 0.2, 16_384
+#: Distinct words that a task counts at once, and tokens of a slab of texts.
+WORD_MEMORY, SLAB = 300_000, 60_000
+#: Parameters of a row of a network on its way to the average, and rows that meet in one group of its first step.
+PART, FAN_IN = 8192, 64
 
 
 def initial(seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     blocks = VOCABULARY // BLOCK
-    draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-    return {"context": draw(len(OFFSETS), VOCABULARY, HIDDEN), "hidden": np.zeros(HIDDEN, np.float32), "block": draw(HIDDEN, blocks), "block_bias": np.zeros(blocks, np.float32), "token": draw(blocks, HIDDEN, BLOCK), "token_bias": np.zeros((blocks, BLOCK), np.float32)}
+    draw = lambda scale, *s: (rng.standard_normal(s) * scale).astype(np.float32)
+    return {"embedding": draw(0.3, VOCABULARY, HIDDEN), "place": draw(0.25, len(OFFSETS), HIDDEN, HIDDEN), "hidden": np.zeros(HIDDEN, np.float32), "block": draw(0.1, HIDDEN, blocks), "block_bias": np.zeros(blocks, np.float32), "token": draw(0.1, blocks, HIDDEN, BLOCK), "token_bias": np.zeros((blocks, BLOCK), np.float32)}
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -67,35 +65,55 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        total = np.exp(x).sum(axis=1)
+    if np.isinf(total).any():
+        top = x.max(axis=1)
+        return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    return np.log(total)
+
 
+def _contexts(p: dict) -> np.ndarray:
+    """What each token adds to the state of a position, by its place beside it."""
+    return np.stack([p["embedding"] @ p["place"][j] for j in range(len(OFFSETS))])
 
-def _hidden(p: dict, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = p["hidden"] + p["context"][0][seq[at + OFFSETS[0]]]
+
+def _hidden(p: dict, contexts: np.ndarray, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """States of the positions from the tokens around them; the token at a position itself is not looked at."""
+    h = p["hidden"] + contexts[0][seq[at + OFFSETS[0]]]
     for j in range(1, len(OFFSETS)):
-        h += p["context"][j][seq[at + OFFSETS[j]]]
-    return np.tanh(h)
+        h += contexts[j][seq[at + OFFSETS[j]]]
+    return np.tanh(h, out=h)
 
 
-def _runs(sorted_ids: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+def _by_block(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order of the positions by block, (block, first, behind the last) of each block)."""
+    block = (seq[at] // BLOCK).astype(np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=VOCABULARY // BLOCK))])
+    return np.argsort(block, kind="stable"), [(b, a, z) for b, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])) if z > a]
 
 
 def log_probabilities(p: dict, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of the tokens at the positions `at`, each masked from its own prediction."""
-    out = np.zeros(len(at), np.float32)
-    for i in range(0, len(at), 4 * BATCH):
-        some = at[i : i + 4 * BATCH]
-        some = some[np.argsort(seq[some] // BLOCK, kind="stable")]
-        h, block, token = _hidden(p, seq, some), seq[some] // BLOCK, seq[some] % BLOCK
+    out, contexts = np.zeros(len(at), np.float32), _contexts(p)
+    for i in range(0, len(at), BATCH):
+        some = at[i : i + BATCH]
+        order, blocks = _by_block(seq, some)
+        some = some[order]
+        h, token = _hidden(p, contexts, seq, some), seq[some] % BLOCK
         x = h @ p["block"] + p["block_bias"]
-        lp = x[np.arange(len(some)), block] - np.log(np.exp(x).sum(axis=1))
-        starts = _runs(block)
-        for a, z in zip(starts, [*starts[1:], len(some)]):
-            y = h[a:z] @ p["token"][block[a]] + p["token_bias"][block[a]]
-            lp[a:z] += y[np.arange(z - a), token[a:z]] - np.log(np.exp(y).sum(axis=1))
-        out[np.searchsorted(at, some)] = lp
+        lp = x[np.arange(len(some)), seq[some] // BLOCK] - _log_sum(x)
+        for b, a, z in blocks:
+            y = h[a:z] @ p["token"][b] + p["token_bias"][b]
+            lp[a:z] += y[np.arange(z - a), token[a:z]] - _log_sum(y)
+        out[i + order] = lp
     return out
 
 
@@ -104,7 +122,7 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray], rate: float = RATE):
         self.p, self.rate = {k: v.copy() for k, v in p.items()}, rate
-        self.seen = {k: np.full(v.shape, 0.1, np.float32) for k, v in p.items()}
+        self.seen = {k: np.full(v.shape, 1e-8, np.float32) for k, v in p.items()}
 
     def _descend(self, name: str, where, gradient: np.ndarray) -> None:
         seen = self.seen[name]
@@ -112,60 +130,75 @@ class Trainer:
         self.p[name][where] -= self.rate * gradient / np.sqrt(seen[where])
 
     def step(self, seq: np.ndarray, at: np.ndarray) -> None:
-        p, n = self.p, np.float32(len(at))
-        at = at[np.argsort(seq[at] // BLOCK, kind="stable")]
-        h, block, token = _hidden(p, seq, at), seq[at] // BLOCK, seq[at] % BLOCK
+        p, n, contexts = self.p, np.float32(len(at)), _contexts(self.p)
+        order, blocks = _by_block(seq, at)
+        at = at[order]
+        h, token = _hidden(p, contexts, seq, at), seq[at] % BLOCK
         error = _softmax(h @ p["block"] + p["block_bias"])
-        error[np.arange(len(at)), block] -= 1
-        error /= n
+        error[np.arange(len(at)), seq[at] // BLOCK] -= 1
         dh = error @ p["block"].T
-        self._descend("block", ..., h.T @ error)
-        self._descend("block_bias", ..., error.sum(axis=0))
-        starts = _runs(block)
-        for a, z in zip(starts, [*starts[1:], len(at)]):
-            b = block[a]
+        self._descend("block", ..., h.T @ error / n)
+        self._descend("block_bias", ..., error.sum(axis=0) / n)
+        for b, a, z in blocks:
             e = _softmax(h[a:z] @ p["token"][b] + p["token_bias"][b])
             e[np.arange(z - a), token[a:z]] -= 1
-            e /= n
             dh[a:z] += e @ p["token"][b].T
-            self._descend("token", b, h[a:z].T @ e)
-            self._descend("token_bias", b, e.sum(axis=0))
-        dh *= 1 - h * h
+            self._descend("token", b, h[a:z].T @ e / n)
+            self._descend("token_bias", b, e.sum(axis=0) / n)
+        dh *= (1 - h * h) / n
         self._descend("hidden", ..., dh.sum(axis=0))
+        d_embedding, columns = np.zeros_like(p["embedding"]), dh.T.astype(np.float64)
         for j, offset in enumerate(OFFSETS):
             ids = seq[at + offset]
-            order = np.argsort(ids, kind="stable")
-            starts = _runs(ids[order])
-            self._descend("context", (j, ids[order][starts]), np.add.reduceat(dh[order], starts, axis=0))
-
-
-class Words:
-    """Tokens of texts and, for unknown words, the log-probabilities of their spelling."""
-
-    def __init__(self, vocabulary: list[str], lengths: np.ndarray, letters: np.ndarray):
-        self.tokens = {w: i + 2 for i, w in enumerate(vocabulary)}
-        self.lengths, self.letters = lengths, letters
-
-    def spelled(self, words: list[str]) -> float:
-        """The summed log-probability of the spelling of some words."""
-        size, letter, _ = spelling(words)
-        return float(np.bincount(size, minlength=LENGTHS) @ self.lengths + np.bincount(letter, minlength=LETTERS) @ self.letters)
-
-    def slabs(self, texts: list[str], spell: bool = False):
-        """(tokens with padding around each text, positions of real ones, words of each text, spelling of each text)."""
-        pad, i, get = np.zeros(2, np.int64), 0, self.tokens.get
-        while i < len(texts):
-            rows, spelled, n = [], [], 0
-            while i < len(texts) and n < SLAB:
-                words = texts[i].lower().split()
-                ids = [get(w, UNKNOWN) for w in words]
-                rows.append(np.array(ids, dtype=np.int64))
-                spelled.append(self.spelled([w for w, t in zip(words, ids) if t == UNKNOWN]) if spell else 0.0)
-                n += len(words)
-                i += 1
-            sizes = np.array([len(r) for r in rows])
-            at = np.arange(n) + np.repeat(2 * np.arange(len(rows)) + 2, sizes)
-            yield np.concatenate([pad, *[x for r in rows for x in (r, pad)]]), at, sizes, np.array(spelled)
+            d_context = np.stack([np.bincount(ids, c, VOCABULARY) for c in columns], axis=1).astype(np.float32)
+            d_embedding += d_context @ p["place"][j].T
+            self._descend("place", j, p["embedding"].T @ d_context)
+        self._descend("embedding", ..., d_embedding)
+
+
+def pieces_of(path: str):
+    """The public tokenizer at `path` with its first `MERGES` merges alone."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model = whole["model"]
+    model["vocab"] = {piece: i for piece, i in model["vocab"].items() if i < LETTERS + MERGES}
+    model["merges"], whole["added_tokens"] = model["merges"][:MERGES], []
+    return Tokenizer.from_str(json.dumps(whole))
+
+
+class Words(Tokens):
+    """The tokens of each word that was met: its own, or those of its pieces."""
+
+    def __init__(self, frequent: list[str], tokenizer: str):
+        super().__init__(pieces_of(tokenizer))
+        self.frequent = {w: array("I", [LETTERS + MERGES + i]).tobytes() for i, w in enumerate(frequent)}
+
+    def __missing__(self, c: str) -> bytes:
+        known = self.frequent.get(c.lower())
+        if known is None:
+            return super().__missing__(c)
+        self[c] = known
+        return known
+
+    def tokens(self, text: str) -> bytes:
+        """As 16-bit numbers, from 1 on."""
+        return (np.frombuffer(self.of(text), "<u4") + 1).astype(np.uint16).tobytes()
+
+
+def slabs(rows: pa.Array):
+    """(tokens with padding around each text, positions of real ones, tokens of each text) of binary `rows`."""
+    pad, i = np.zeros(2, np.int64), 0
+    while i < len(rows):
+        some, n = [], 0
+        while i < len(rows) and n < SLAB:
+            some.append(np.frombuffer(rows[i].as_buffer(), np.uint16))
+            n += len(some[-1])
+            i += 1
+        sizes = np.array([len(r) for r in some])
+        at = np.arange(n) + np.repeat(2 * np.arange(len(some)) + 2, sizes)
+        yield np.concatenate([pad, *[x for r in some for x in (r, pad)]]).astype(np.int64), at, sizes
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -188,72 +221,93 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary_of(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, log-probabilities of lengths, of letters): bounded, from the counts of all words."""
-    counts = checkpointed(word_counts(docs))
-    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).collect()]
-    known = docs.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    rare = counts.join(F.broadcast(known), "word", "left_anti")
+def frequent_words(docs: DataFrame) -> list[str]:
+    """The `WORDS` most frequent words, from the counts of all words."""
+    return [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+
 
-    def spell(batches):
-        length, letter = np.zeros(LENGTHS), np.zeros(LETTERS)
-        for b in batches:
-            size, letters, owner = spelling(b["word"].tolist())
-            n = b["n"].to_numpy(dtype=np.float64)
-            length += np.bincount(size, n, LENGTHS)
-            letter += np.bincount(letters, n[owner], LETTERS)
-        yield pd.DataFrame({"i": np.arange(LENGTHS + LETTERS), "n": np.concatenate([length, letter])})
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.asarray(p, dtype=np.float64) * n for p, n in zip(rows["p"], rows["n"]))
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "n": [rows["n"].sum()], "p": [(total / rows["n"].sum()).astype(np.float32)]})
 
-    n = np.ones(LENGTHS + LETTERS)
-    for r in rare.mapInPandas(spell, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        n[r["i"]] += r["n"]
-    return words, np.log(n[:LENGTHS] / n[:LENGTHS].sum()), np.log(n[LENGTHS:] / n[LENGTHS:].sum())
 
+def average(networks: DataFrame) -> np.ndarray | None:
+    """The mean of the networks' parts (task, part, n, p), weighted by n; at most `FAN_IN` tasks' parts meet at first."""
+    tasks = networks.agg(F.max("task")).first()[0]
+    if tasks is None:
+        return None
+    schema = "part int, n double, p array<float>"
+    first = networks.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("some")).applyInPandas(lambda rows: _summed(rows), schema)
+    mean = (first.groupBy("part").applyInPandas(lambda rows: _summed(rows), schema) if tasks >= FAN_IN else first).toPandas()
+    return np.concatenate(mean.sort_values("part")["p"].tolist())
 
-def train(docs: DataFrame, vocabulary, rounds: int = ROUNDS, masked: float = MASKED) -> dict[str, np.ndarray]:
-    """The network after `rounds` passes over all documents, averaged over tasks after each."""
-    context, p = docs.sparkSession.sparkContext, initial()
+
+def tokenised(docs: DataFrame, frequent: list[str], tokenizer: str) -> DataFrame:
+    """(doc_id, tokens) of (doc_id, text), tokens as 16-bit numbers."""
+
+    def run(batches):
+        words = Words(frequent, tokenizer)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words.tokens(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "tokens"])
+
+    return docs.mapInArrow(run, "doc_id long, tokens binary")
+
+
+def train(tokens: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """The network after `rounds` passes over all rows (doc_id, tokens), averaged over tasks after each."""
+    context, p = tokens.sparkSession.sparkContext, initial()
     for done in range(rounds):
-        start = context.broadcast((vocabulary, p))
+        start = context.broadcast(p)
 
         def descend(batches, done=done, start=start):
-            words, trainer, n, rng = Words(*start.value[0]), Trainer(start.value[1], RATE / (1 + done)), 0, np.random.default_rng(done)
+            from pyspark import TaskContext
+
+            trainer, n, rng = Trainer(start.value, RATE / (1 + done)), 0, np.random.default_rng(done)
             for batch in batches:
-                for seq, at, _, _ in words.slabs(batch.column(0).to_pylist()):
-                    chosen = at[rng.random(len(at)) < masked]
+                for seq, at, _ in slabs(batch.column(0)):
+                    chosen = rng.permutation(at[at % rounds == done])
                     n += len(chosen)
                     for i in range(0, len(chosen), BATCH):
                         trainer.step(seq, chosen[i : i + BATCH])
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([flat(trainer.p)], pa.list_(pa.float32()))], names=["n", "p"])
-
-        networks = docs.select("text").mapInArrow(descend, "n double, p array<float>").select("n", F.posexplode("p").alias("i", "v"))
-        mean = networks.groupBy("i").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).toPandas()
-        if mean.empty:
-            break
-        p = unflat(mean.sort_values("i")["v"].to_numpy())
+                values = flat(trainer.p)
+                parts = [values[i : i + PART] for i in range(0, len(values), PART)]
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([float(n)] * len(parts)), pa.array(parts, pa.list_(pa.float32()))], names=["task", "part", "n", "p"]
+                )
+
+        networks = checkpointed(tokens.select("tokens").mapInArrow(descend, "task int, part int, n double, p array<float>"))
+        mean = average(networks)
         start.unpersist()
+        if mean is None:
+            break
+        p = unflat(mean)
     return p
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, log_probability, mean_log_probability) of each row."""
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), no_text(text).alias("text"))
-    vocabulary = vocabulary_of(chosen)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, train(chosen, vocabulary)))
+def scored(tokens: DataFrame, model) -> DataFrame:
+    """(doc_id, n_tokens, log_probability) of (doc_id, tokens) under a broadcast network."""
 
     def score(batches):
-        words, p = Words(*model.value[0]), model.value[1]
+        p = model.value
         for batch in batches:
             sums, counts = [], []
-            for seq, at, sizes, spelled in words.slabs(batch.column(1).to_pylist(), spell=True):
+            for seq, at, sizes in slabs(batch.column(1)):
                 lp = log_probabilities(p, seq, at).astype(np.float64)
-                sums.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), lp, len(sizes)) + spelled)
+                sums.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), lp, len(sizes)))
                 counts.append(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(np.concatenate(sums) if sums else [], pa.float64())], names=["doc_id", "n_tokens", "log_probability"])
 
-    scored = chosen.mapInArrow(score, "doc_id long, n_tokens long, log_probability double")
-    return scored.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))
+    return tokens.mapInArrow(score, "doc_id long, n_tokens long, log_probability double")
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_probability, mean_log_probability) of each row."""
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), no_text(text).alias("text"))
+    tokens = checkpointed(tokenised(chosen, frequent_words(chosen), tokenizer or default_tokenizer()))
+    model = docs.sparkSession.sparkContext.broadcast(train(tokens))
+    return scored(tokens, model).withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))
 
 
 def op8_lm_scoring(spark, sf_dir):

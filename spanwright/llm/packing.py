@@ -53,11 +53,9 @@ class Tokens(dict):
     the whole way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.letters, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.letters, self.older = tokenizer, {}, {}
         self.model, self.bytes = self.tokenizer.model, dict(enumerate(_byte_letters()))
         self.closing, self.letters[""] = {"": b""}, b""
 
@@ -108,7 +106,9 @@ class Tokens(dict):
 @cache
 def tokens_of(path: str) -> Tokens:
     """One memory for all tasks of a Python worker."""
-    return Tokens(path)
+    from tokenizers import Tokenizer
+
+    return Tokens(Tokenizer.from_file(path))
 
 
 def _cut(path: str, length: int, with_ids: bool):

@@ -187,6 +187,67 @@ def test_training_descends():
     assert lm_scoring.log_probabilities(trainer.p, seq, at).mean() > before + 4
 
 
+def test_lm_gradients():
+    rng = np.random.default_rng(3)
+    seq, at = np.concatenate([[0, 0], rng.integers(1, lm_scoring.VOCABULARY, 40), [0, 0]]), np.arange(2, 42)
+    trainer = lm_scoring.Trainer(lm_scoring.initial())
+    got = {}
+    trainer._descend = lambda name, where, g: got.setdefault(name, np.zeros_like(trainer.p[name])).__setitem__(where, g)
+    trainer.step(seq, at)
+    for name, value in trainer.p.items():
+        for _ in range(4):
+            i = tuple(rng.integers(0, n) for n in value.shape)
+            if name == "embedding":
+                i = (int(seq[rng.integers(2, 42)]), i[1])
+            old, slope = value[i], 0.0
+            for sign in (1, -1):
+                value[i] = old + sign * 1e-2
+                slope -= sign * lm_scoring.log_probabilities(trainer.p, seq, at).astype(np.float64).mean() / 2e-2
+            value[i] = old
+            assert abs(slope - got[name][i]) < 1e-3 + 0.05 * abs(slope), name
+
+
+def naive_score(p: dict, tokens: list[int]) -> float:
+    """Token by token, with the whole softmax of both levels and no batches."""
+    seq, total = [0, 0, *tokens, 0, 0], 0.0
+    for i in range(2, len(seq) - 2):
+        h = p["hidden"].astype(np.float64)
+        for j, offset in enumerate((-2, -1, 1, 2)):
+            h = h + p["embedding"][seq[i + offset]].astype(np.float64) @ p["place"][j]
+        h = np.tanh(h)
+        b, t = divmod(seq[i], lm_scoring.BLOCK)
+        x, y = h @ p["block"] + p["block_bias"], h @ p["token"][b] + p["token_bias"][b]
+        total += x[b] - np.log(np.exp(x).sum()) + y[t] - np.log(np.exp(y).sum())
+    return total
+
+
+def test_lm_scores_against_a_naive_recomputation(spark):
+    rows = [(i, t) for i, t in enumerate(["the quick brown fox", "Zürich, ###   xyzzyq-42 漢字", "", "w " * 300, "one"])]
+    docs = texts(spark, rows).unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id > 200").limit(15))
+    frequent, path = lm_scoring.frequent_words(docs.select("text")), packing.default_tokenizer()
+    p = lm_scoring.train(lm_scoring.tokenised(docs, frequent, path).coalesce(2))
+    words = lm_scoring.Words(frequent, path)
+    model = spark.sparkContext.broadcast(p)
+    got = {r.doc_id: r for r in lm_scoring.scored(lm_scoring.tokenised(docs, frequent, path), model).collect()}
+    for r in docs.collect():
+        tokens = np.frombuffer(words.tokens(r.text), np.uint16).tolist()
+        assert got[r.doc_id].n_tokens == len(tokens) and all(0 < t < lm_scoring.VOCABULARY for t in tokens)
+        assert abs(got[r.doc_id].log_probability - naive_score(p, tokens)) < 1e-2 + 1e-4 * len(tokens)
+
+
+def test_lm_average(spark):
+    rng = np.random.default_rng(2)
+    rows = [(task, part, float(n), [float(x) for x in rng.random(3)]) for task in range(150) for n in [rng.integers(1, 9)] for part in range(2)]
+    mean = lm_scoring.average(spark.createDataFrame(rows, "task int, part int, n double, p array<float>"))
+    expected = [sum(r[2] * r[3][j] for r in rows if r[1] == part) / sum(r[2] for r in rows if r[1] == part) for part in range(2) for j in range(3)]
+    assert np.allclose(mean, expected, atol=1e-5)
+
+
+def test_every_position_is_masked_once():
+    at = np.arange(2, 1000)
+    assert sorted(i for r in range(lm_scoring.ROUNDS) for i in at[at % lm_scoring.ROUNDS == r]) == at.tolist()
+
+
 def test_lm_scores(spark):
     docs = texts(spark, ODD).unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id > 100").limit(200))
     got = lm_scoring.score_documents(docs).collect()
