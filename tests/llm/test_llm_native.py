@@ -102,14 +102,45 @@ def test_mixing_edges(spark, rows):
     )
 
 
+def marginals(df, tokens):
+    """{column: {value: share of the tokens}}."""
+    out = {}
+    for c in ("source", "lang", "__topic"):
+        rows = df.groupBy(c).agg(F.sum(tokens).alias("n")).collect()
+        out[c] = {r[0]: r.n / sum(r.n for r in rows) for r in rows}
+    return out
+
+
 def test_mixing_meets_its_targets(spark):
-    docs = spark.createDataFrame([(i, "w " * 50, "en" if i % 3 else "de", "hot" if i % 4 else f"s{i % 3}") for i in range(4000)], "doc_id long, text string, lang string, source string")
-    out = mixing.mix(docs, details=True)
-    assert mixing.mix(docs.limit(0)).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
-    kept = out.count()
-    assert abs(kept / 4000 - mixing.BUDGET) < 0.03
-    shares = {r.source: r.n / kept for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    assert shares["hot"] < 0.75  # three quarters before
+    """All three marginals, by expectation within 1 % and as drawn within the noise of the draw."""
+    rng = random.Random(1)
+    text = lambda i: "w " * rng.randint(1, 60) + ("licensed under x" if i % 41 == 0 else "a@b.c" if i % 53 == 0 else "")
+    rows = [(i, text(i), rng.choice(["en"] * 6 + ["de", "fr"]), rng.choice(["hot"] * 9 + [f"s{j}" for j in range(9)])) for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(8)
+    drawn = mixing.mix(docs, details=True).cache()
+    every = docs.withColumn("__topic", mixing.topic_of(F.col("text"))).withColumn("x", mixing.n_tokens(F.col("text")))
+    cells = every.groupBy("source", "lang", F.col("__topic").alias("topic")).agg(F.sum("x").alias("x"))
+    a, b, c = mixing.rake(cells)
+    whole = cells.agg(F.sum("x")).first()[0]
+    expected = cells.join(a, "source").withColumn("y", F.col("x") * F.least(F.lit(1.0), F.col("a") * mixing._lookup(b, F.col("lang")) * mixing._lookup(c, F.col("topic")))).withColumnRenamed("topic", "__topic")
+    assert abs(expected.agg(F.sum("y")).first()[0] / whole - mixing.BUDGET) < 0.005
+    got, seen = marginals(expected, "y"), marginals(drawn, "__tokens")
+    for column, name in (("source", "source"), ("lang", "lang"), ("__topic", "topic")):
+        totals = {r[0]: r.x for r in every.groupBy(column).agg(F.sum("x").alias("x")).collect()}
+        want = mixing._targets(totals, mixing.TEMPER[name], mixing.BUDGET)
+        assert abs(sum(want.values()) - 1) < 1e-6
+        for k in want:
+            assert abs(got[column][k] / want[k] - 1) < 0.01
+            assert abs(seen[column][k] - want[k]) < 0.01
+    assert seen["source"]["hot"] < 0.45 and seen["__topic"]["legal"] > 1.1 * sum(r.x for r in every.filter("__topic = 'legal'").select("x").collect()) / whole
+
+
+def test_mixing_draws_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(i, "w " * 20, "en", "s") for i in range(40)] + [(None, None, "en", "s")] * 50 + [(None, f"x {i}", None, None) for i in range(200)], "doc_id long, text string, lang string, source string")
+    out = mixing.mix(docs)
+    assert out.filter("doc_id IS NULL AND text IS NULL").count() in (0, 50) and 100 < out.filter("doc_id IS NULL AND text IS NOT NULL").count() < 200
+    assert docs.select(mixing.draw(F.col("doc_id"), F.col("text")).alias("d")).filter("d IS NULL").count() == 0
+    assert mixing.mix(docs.limit(0), details=True).count() == 0 and mixing.mix(docs.limit(0)).columns == docs.columns
 
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
