@@ -34,10 +34,10 @@ from spanwright.llm.common import checkpointed, no_text, table
 from spanwright.llm.packing import Tokens, default_tokenizer
 
 #: Tokens, a square number: padding (id 0), the tokenizer's letters and first merges, and frequent words.
-VOCABULARY, BLOCK, LETTERS, MERGES = 4096, 64, 512, 2048
+VOCABULARY, BLOCK, LETTERS, MERGES = 2304, 48, 512, 1024
 WORDS = VOCABULARY - 1 - LETTERS - MERGES
 #: Width of the network, and the tokens it sees.
-HIDDEN, OFFSETS = 16, (-2, -1, 1, 2)
+HIDDEN, OFFSETS = 12, (-2, -1, 1, 2)
 ROUNDS, RATE, BATCH = 2, 0.2, 16_384
 #: Distinct words that a task counts at once, and tokens of a slab of texts.
 WORD_MEMORY, SLAB = 300_000, 60_000
@@ -46,10 +46,11 @@ PART, FAN_IN = 8192, 64
 
 
 def initial(seed: int = 11) -> dict[str, np.ndarray]:
+    """Parameters by name. The last row of `block` and of each `token` matrix is a bias, met by a state that is 1."""
     rng = np.random.default_rng(seed)
     blocks = VOCABULARY // BLOCK
     draw = lambda scale, *s: (rng.standard_normal(s) * scale).astype(np.float32)
-    return {"embedding": draw(0.3, VOCABULARY, HIDDEN), "place": draw(0.25, len(OFFSETS), HIDDEN, HIDDEN), "hidden": np.zeros(HIDDEN, np.float32), "block": draw(0.1, HIDDEN, blocks), "block_bias": np.zeros(blocks, np.float32), "token": draw(0.1, blocks, HIDDEN, BLOCK), "token_bias": np.zeros((blocks, BLOCK), np.float32)}
+    return {"embedding": draw(0.3, VOCABULARY, HIDDEN), "place": draw(0.25, len(OFFSETS), HIDDEN, HIDDEN), "hidden": np.zeros(HIDDEN, np.float32), "block": draw(0.1, HIDDEN + 1, blocks), "token": draw(0.1, blocks, HIDDEN + 1, BLOCK)}
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -64,20 +65,23 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+#: Arrays of a batch, kept from one to the next: fresh memory for each costs more than what is computed in it.
+_kept: dict[str, np.ndarray] = {}
+
 
+def _room(name: str, rows: int, columns: int) -> np.ndarray:
+    if name not in _kept or _kept[name].shape[0] < rows or _kept[name].shape[1] != columns:
+        _kept[name] = np.empty((max(rows, BATCH), columns), np.float32)
+    return _kept[name][:rows]
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        total = np.exp(x).sum(axis=1)
-    if np.isinf(total).any():
-        top = x.max(axis=1)
-        return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-    return np.log(total)
+
+def _exp(x: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """(sums of e^x by row, what was taken off x before), with x overwritten by its exponentials."""
+    top = np.float32(0) if x.max() < 80 else x.max(axis=1)
+    if np.ndim(top):
+        x -= top[:, None]
+    np.exp(x, out=x)
+    return x @ ones, top
 
 
 def _contexts(p: dict) -> np.ndarray:
@@ -86,11 +90,15 @@ def _contexts(p: dict) -> np.ndarray:
 
 
 def _hidden(p: dict, contexts: np.ndarray, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """States of the positions from the tokens around them; the token at a position itself is not looked at."""
-    h = p["hidden"] + contexts[0][seq[at + OFFSETS[0]]]
+    """States of the positions from the tokens around them, and a 1; the token at a position is not looked at."""
+    out, h, more = _room("out", len(at), HIDDEN + 1), _room("h", len(at), HIDDEN), _room("more", len(at), HIDDEN)
+    np.take(contexts[0], seq[at + OFFSETS[0]], axis=0, out=h, mode="clip")
     for j in range(1, len(OFFSETS)):
-        h += contexts[j][seq[at + OFFSETS[j]]]
-    return np.tanh(h, out=h)
+        h += np.take(contexts[j], seq[at + OFFSETS[j]], axis=0, out=more, mode="clip")
+    h += p["hidden"]
+    np.tanh(h, out=out[:, :HIDDEN])
+    out[:, HIDDEN] = 1
+    return out
 
 
 def _by_block(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -102,17 +110,21 @@ def _by_block(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[i
 
 def log_probabilities(p: dict, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of the tokens at the positions `at`, each masked from its own prediction."""
-    out, contexts = np.zeros(len(at), np.float32), _contexts(p)
+    out, contexts, ones = np.zeros(len(at), np.float32), _contexts(p), np.ones(BLOCK, np.float32)
+
+    def log_softmax(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+        chosen = x[np.arange(len(x)), which]
+        total, top = _exp(x, ones)
+        return chosen - top - np.log(total)
+
     for i in range(0, len(at), BATCH):
         some = at[i : i + BATCH]
         order, blocks = _by_block(seq, some)
         some = some[order]
-        h, token = _hidden(p, contexts, seq, some), seq[some] % BLOCK
-        x = h @ p["block"] + p["block_bias"]
-        lp = x[np.arange(len(some)), seq[some] // BLOCK] - _log_sum(x)
+        h, (block, token) = _hidden(p, contexts, seq, some), np.divmod(seq[some], BLOCK)
+        lp = log_softmax(np.matmul(h, p["block"], out=_room("x", len(some), BLOCK)), block)
         for b, a, z in blocks:
-            y = h[a:z] @ p["token"][b] + p["token_bias"][b]
-            lp[a:z] += y[np.arange(z - a), token[a:z]] - _log_sum(y)
+            lp[a:z] += log_softmax(h[a:z] @ p["token"][b], token[a:z])
         out[i + order] = lp
     return out
 
@@ -124,36 +136,48 @@ class Trainer:
         self.p, self.rate = {k: v.copy() for k, v in p.items()}, rate
         self.seen = {k: np.full(v.shape, 1e-8, np.float32) for k, v in p.items()}
 
-    def _descend(self, name: str, where, gradient: np.ndarray) -> None:
-        seen = self.seen[name]
-        seen[where] += gradient * gradient
-        self.p[name][where] -= self.rate * gradient / np.sqrt(seen[where])
+    def descend(self, gradients: dict[str, np.ndarray]) -> None:
+        for name, g in gradients.items():
+            seen = self.seen[name]
+            seen += g * g
+            self.p[name] -= self.rate * g / np.sqrt(seen)
 
     def step(self, seq: np.ndarray, at: np.ndarray) -> None:
-        p, n, contexts = self.p, np.float32(len(at)), _contexts(self.p)
+        self.descend(self.gradients(seq, at))
+
+    def gradients(self, seq: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean of minus the log-probabilities."""
+        p, n, contexts, ones = self.p, np.float32(len(at)), _contexts(self.p), np.ones(BLOCK, np.float32)
         order, blocks = _by_block(seq, at)
         at = at[order]
-        h, token = _hidden(p, contexts, seq, at), seq[at] % BLOCK
-        error = _softmax(h @ p["block"] + p["block_bias"])
-        error[np.arange(len(at)), seq[at] // BLOCK] -= 1
-        dh = error @ p["block"].T
-        self._descend("block", ..., h.T @ error / n)
-        self._descend("block_bias", ..., error.sum(axis=0) / n)
+        h, (block, token) = _hidden(p, contexts, seq, at), np.divmod(seq[at], BLOCK)
+        rows = np.arange(len(at))
+
+        def error(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+            total, _ = _exp(x, ones)
+            x *= (1 / total)[:, None]
+            x[rows[: len(x)], which] -= 1
+            return x
+
+        e = error(np.matmul(h, p["block"], out=_room("x", len(at), BLOCK)), block)
+        dh = np.matmul(e, p["block"][:HIDDEN].T, out=_room("dh", len(at), HIDDEN))
+        g = {"block": h.T @ e / n, "token": np.zeros_like(p["token"])}
         for b, a, z in blocks:
-            e = _softmax(h[a:z] @ p["token"][b] + p["token_bias"][b])
-            e[np.arange(z - a), token[a:z]] -= 1
-            dh[a:z] += e @ p["token"][b].T
-            self._descend("token", b, h[a:z].T @ e / n)
-            self._descend("token_bias", b, e.sum(axis=0) / n)
-        dh *= (1 - h * h) / n
-        self._descend("hidden", ..., dh.sum(axis=0))
-        d_embedding, columns = np.zeros_like(p["embedding"]), dh.T.astype(np.float64)
+            e = error(h[a:z] @ p["token"][b], token[a:z])
+            dh[a:z] += e @ p["token"][b][:HIDDEN].T
+            np.matmul(h[a:z].T, e, out=g["token"][b])
+        g["token"] /= n
+        h = h[:, :HIDDEN]
+        dh *= 1 - h * h
+        dh /= n
+        g |= {"hidden": dh.sum(axis=0), "place": np.zeros_like(p["place"]), "embedding": np.zeros_like(p["embedding"])}
+        columns = dh.T.astype(np.float64)
         for j, offset in enumerate(OFFSETS):
             ids = seq[at + offset]
             d_context = np.stack([np.bincount(ids, c, VOCABULARY) for c in columns], axis=1).astype(np.float32)
-            d_embedding += d_context @ p["place"][j].T
-            self._descend("place", j, p["embedding"].T @ d_context)
-        self._descend("embedding", ..., d_embedding)
+            g["embedding"] += d_context @ p["place"][j].T
+            g["place"][j] = p["embedding"].T @ d_context
+        return g
 
 
 def pieces_of(path: str):

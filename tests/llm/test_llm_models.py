@@ -191,9 +191,7 @@ def test_lm_gradients():
     rng = np.random.default_rng(3)
     seq, at = np.concatenate([[0, 0], rng.integers(1, lm_scoring.VOCABULARY, 40), [0, 0]]), np.arange(2, 42)
     trainer = lm_scoring.Trainer(lm_scoring.initial())
-    got = {}
-    trainer._descend = lambda name, where, g: got.setdefault(name, np.zeros_like(trainer.p[name])).__setitem__(where, g)
-    trainer.step(seq, at)
+    got = trainer.gradients(seq, at)
     for name, value in trainer.p.items():
         for _ in range(4):
             i = tuple(rng.integers(0, n) for n in value.shape)
@@ -216,7 +214,7 @@ def naive_score(p: dict, tokens: list[int]) -> float:
             h = h + p["embedding"][seq[i + offset]].astype(np.float64) @ p["place"][j]
         h = np.tanh(h)
         b, t = divmod(seq[i], lm_scoring.BLOCK)
-        x, y = h @ p["block"] + p["block_bias"], h @ p["token"][b] + p["token_bias"][b]
+        x, y = (h @ w[:-1] + w[-1] for w in (p["block"].astype(np.float64), p["token"][b].astype(np.float64)))
         total += x[b] - np.log(np.exp(x).sum()) + y[t] - np.log(np.exp(y).sum())
     return total
 
