@@ -6,10 +6,12 @@ overlapping windows; one network runs over each window from both sides, an atten
 and a logistic unit scores the window. A text's score is that of its highest window: one passage suffices.
 
 Training happens on the driver, on a sample of labelled rows bounded by `Sample`: the first toxic and the
-first clean ones in the order of a hash of the id, among rows outside the held-out fold. Labels belong to
+first clean ones in the order of a hash of the id, among rows outside the held-out fold, whole and of any
+length until their texts reach the bound. Labels belong to
 texts, not to windows, so each round of training takes the highest window of every toxic text as positive
 and windows of clean texts as negative; character and word embeddings start from log-odds of document
-counts in the sample. Scoring is one scan without a shuffle.
+counts in the sample. Steps hide three in ten words, so that no single one decides. An eighth of the sample is kept
+from the network and calibrates the scores. Scoring is one scan without a shuffle.
 
 Defined results: null and empty texts have no window and get the score of an empty window; a repeated row
 gives a repeated result; a null doc_id is passed on and counts as not held out; without a positive or a
@@ -31,20 +33,22 @@ from spanwright.llm.common import no_text, table
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the training sample: documents of each class, and code points of a document in it."""
+    """Bounds of the training sample: documents of each class, and code points of all its texts together."""
 
-    toxic: int = 1000
-    clean: int = 1600
-    chars: int = 20_000
+    toxic: int = 1500
+    clean: int = 2500
+    chars: int = 16_000_000
 
 
 WINDOW, STRIDE = 32, 24
 #: Hash buckets of the embeddings, their width, the network's width, and the lengths of n-grams.
-BUCKETS, WIDTH, HIDDEN, GRAMS = 1 << 18, 3, 8, (3, 4, 5)
+BUCKETS, WIDTH, HIDDEN, GRAMS = 1 << 18, 4, 12, (3, 4, 5)
 #: Longer words count as several of at most this many characters.
 WORD_CHARS = 24
 #: Words whose gate inputs a task remembers, and windows that run through the network at once.
 WORD_MEMORY, SLAB = 300_000, 1024
+#: One in this many texts of the sample is kept from training and calibrates the scores.
+CALIBRATED = 8
 MARKS = ".,;:!?\"'()[]{}|#$%&*<>-_=+/\\~`^@"
 
 
@@ -161,7 +165,8 @@ class Network:
         return g, dx, loss
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.01, hide: float = 0.3, seed: int = 7) -> Network:
+    """A step hides the share `hide` of its words, so that the network reads their surroundings too."""
     rng, net = np.random.default_rng(seed), Network(seed)
     chunks = sorted({w for t in texts for c in t.split() for w in normal(c)})
     number = {w: i + 1 for i, w in enumerate(chunks)}
@@ -169,12 +174,18 @@ def train(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 256,
     own[0], grams[0] = 0, 0
     ids = [np.array([number[w] for c in t.split() for w in normal(c)], dtype=np.int64) for t in texts]
     y = np.asarray(toxic)
+    aside = np.zeros(len(y), bool)  # texts of either class that the network doesn't learn from, for the calibration
+    for label in (0, 1):
+        own_class = np.flatnonzero(y == label)
+        aside[own_class[np.arange(len(own_class)) % CALIBRATED == CALIBRATED - 1]] = True
     for name, of in (("words", own[:, None]), ("grams", grams)):
         # documents of either class that hold a bucket
         held = np.ones((2, BUCKETS)) * 0.5
         for i, t in enumerate(ids):
+            if aside[i]:
+                continue
             held[y[i]][np.unique(of[np.unique(t)])] += 1
-        odds = np.log(held[1] / (np.sum(y == 1) + 1)) - np.log(held[0] / (np.sum(y == 0) + 1))
+        odds = np.log(held[1] / (np.sum(y[~aside] == 1) + 1)) - np.log(held[0] / (np.sum(y[~aside] == 0) + 1))
         net.p[name][:, 0] = np.where(held.sum(axis=0) > 2, np.clip(odds, -2, 4), 0)
         net.p[name][0] = 0
     windows = [windows_of(t) for t in ids]
@@ -186,27 +197,44 @@ def train(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 256,
     step = 0
     for epoch in range(epochs):
         best = np.array([at[i] + int(np.argmax(score[at[i] : at[i + 1]])) for i in range(len(ids))])
-        negatives = np.flatnonzero(y[owner] == 0)
-        chosen = np.concatenate([best[y == 1], best[y == 0], rng.choice(negatives, min(len(negatives), 3 * int(np.sum(y == 1)) + 1), replace=False)])
+        negatives = np.flatnonzero((y[owner] == 0) & ~aside[owner])
+        chosen = np.concatenate([best[~aside], rng.choice(negatives, min(len(negatives), 3 * int(np.sum(y == 1)) + 1), replace=False)])
         rng.shuffle(chosen)
         for i in range(0, len(chosen), batch):
             part, step = chosen[i : i + batch], step + 1
             used, local = np.unique(np.concatenate([[0], every[part].ravel()]), return_inverse=True)
             x = net.inputs(own[used], grams[used], count[used])
+            hidden = rng.random(len(x)) < hide
+            x[hidden] = 0
             g, dx, _ = net.gradients(x, local[1:].reshape(len(part), WINDOW), y[owner[part]].astype(np.float32))
             for k, v in g.items():
                 m = moments.setdefault(k, [np.zeros_like(v), np.zeros_like(v)])
                 m[0], m[1] = 0.9 * m[0] + 0.1 * v, 0.99 * m[1] + 0.01 * v * v
                 net.p[k] -= (rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            dx[hidden] = 0
             np.subtract.at(net.p["words"], own[used], rate * 20 * dx[:, :WIDTH])
             spread = np.repeat(dx[:, None, WIDTH:] / count[used][:, None, None], grams.shape[1], axis=1)
             np.subtract.at(net.p["grams"], grams[used].ravel(), (rate * 20 * spread.reshape(-1, WIDTH)).astype(np.float32))
             net.p["words"][0] = net.p["grams"][0] = 0
         gates = net.gates(net.inputs(own, grams, count))
         score = np.concatenate([net.run(gates, every[i : i + SLAB]) for i in range(0, len(every), SLAB)])
+    if set(y[aside]) == {0, 1}:
+        slope, shift = calibration(np.maximum.reduceat(score, at[:-1])[aside], y[aside])
+        net.p["out"] *= np.float32(slope)
+        net.p["bias"] = (slope * net.p["bias"] + shift).astype(np.float32)
     return net
 
 
+def calibration(logit: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """(slope, shift) of a logistic regression of the labels on the logits, by Newton's method, held towards (1, 0)."""
+    x, w, prior = np.stack([logit, np.ones(len(logit))], axis=1).astype(np.float64), np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = _sigmoid(x @ w)
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (p - y) + 0.1 * (w - prior))
+        w = w - step / max(1.0, np.abs(step).max())
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 class Words(dict):
     """Row number of the gate inputs for each blank-free chunk of text."""
 
@@ -275,9 +303,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(
     rows = some(1, sample.toxic).unionByName(some(0, sample.clean)).collect()
     if not rows:
         return pd.DataFrame({"text": [], "toxic": []})
-    ids = docs.sparkSession.createDataFrame(rows, "__id long, __toxic int")
-    found = docs.select(F.col(doc_id).alias("__id"), no_text(text).alias("text")).filter(F.length("text") <= sample.chars).join(F.broadcast(ids), "__id")
-    return found.select("__id", "text", F.col("__toxic").alias("toxic")).toPandas().sort_values(["__id", "text"]).drop_duplicates("__id")[["text", "toxic"]]
+    spark, keyed = docs.sparkSession, docs.select(F.col(doc_id).alias("__id"), no_text(text).alias("text"))
+    of = lambda some: keyed.join(F.broadcast(spark.createDataFrame(some, "__id long, __toxic int")), "__id")
+    sizes = {r["__id"]: r["n"] for r in of(rows).groupBy("__id").agg(F.sum(F.length("text")).alias("n")).collect()}
+    total, chosen = 0, []
+    for r in sorted(rows, key=lambda r: zlib.crc32(str(r["__id"]).encode())):  # classes in turn as they come
+        if r["__id"] in sizes and total + sizes[r["__id"]] <= sample.chars:
+            total += sizes[r["__id"]]
+            chosen.append(r)
+    if not chosen:
+        return pd.DataFrame({"text": [], "toxic": []})
+    found = of(chosen).select("__id", "text", F.col("__toxic").alias("toxic")).toPandas()
+    return found.sort_values(["__id", "text"]).drop_duplicates("__id")[["text", "toxic"]]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -299,6 +299,25 @@ def test_toxicity_held_out(spark):
     assert (order[rows["toxic"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.93
 
 
+def test_toxicity_calibration():
+    rng = np.random.default_rng(1)
+    logit = rng.normal(0, 3, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * logit - 1)))).astype(int)
+    slope, shift = toxicity.calibration(logit, y)
+    assert abs(slope - 0.5) < 0.1 and abs(shift + 1) < 0.2
+    assert toxicity.calibration(logit, np.where(logit > 0, 0, 1)) == (1.0, 0.0)
+
+
+def test_training_sample_keeps_long_texts_whole(spark):
+    docs = texts(spark, [(i, "word " * (30_000 if i == 3 else 5)) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    fold = docs.filter(~toxicity.held_out()).count()
+    got = toxicity.training_sample(docs, labels)
+    assert len(got) == fold and max(map(len, got["text"])) == (150_000 if docs.filter("doc_id = 3").filter(~toxicity.held_out()).count() else 25)
+    small = toxicity.training_sample(docs, labels, toxicity.Sample(toxic=3, clean=4, chars=100))
+    assert 0 < len(small) <= 4 and sum(map(len, small["text"])) <= 100
+
+
 def test_toxicity_edges(spark):
     rows = [(i, f"you {'awful idiot' if i % 2 else 'kind friend'} of mine, number {i}") for i in range(60)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
