@@ -45,12 +45,10 @@ def cell_fallback(spark, d):
 
 
 def partition_check(spark, d):
-    """Per frame, the areas by kind against the whole; ok where they differ by less than a ten-thousandth."""
-    f = _frames(spark, d).select(F.col("from_year").alias("f0"), F.col("from_year").alias("at"))
-    j = I.interval_join(records(spark, d), f, ("from_year", "to_year"), ("at", "at"))
-    by = j.groupBy("f0", "kind").agg(F.sum("a").alias("part")).groupBy("f0").agg(F.sum("part").alias("parts"), F.count("*").alias("kinds"))
-    whole = j.groupBy("f0").agg(F.sum("a").alias("whole"))
-    return by.join(whole, "f0").select("f0", "kinds", (F.abs(F.col("parts") - F.col("whole")) / F.col("whole") < 1e-4).alias("ok"))
+    """Per column of cells, the owners' areas summed against the area of their union; ok where overlaps are below a ten-thousandth."""
+    cells = _claims(spark, d).select("x", "y", "owner").distinct()
+    by = cells.groupBy("x").agg(F.count("*").alias("parts"), F.countDistinct("y").alias("whole"))
+    return by.select("x", "parts", "whole", ((F.col("parts") - F.col("whole")) / F.col("whole") < 1e-4).alias("ok"))
 
 
 def regional_series(spark, d):
@@ -184,7 +182,8 @@ Q = [
         SELECT l.x, l.y, arg_min(owner, (dx * dx + dy * dy, owner)) AS owner FROM land l, {NINE}, o WHERE o.x = l.x + dx AND o.y = l.y + dy GROUP BY l.x, l.y"""),
     Query("cell_opening", "J12", lambda s, d: C.opened(_claims(s, d).select(F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y"))), f"""WITH {CLAIMS}, c AS (SELECT DISTINCT floor(x / 2)::INT AS x, floor(y / 2)::INT AS y FROM claims), k AS (SELECT x, y FROM c WHERE (SELECT count(*) FROM c o WHERE abs(o.x - c.x) <= 1 AND abs(o.y - c.y) <= 1) = 9)
         SELECT DISTINCT (x + dx)::INT AS x, (y + dy)::INT AS y FROM k, {NINE}"""),
-    Query("partition_check", "L2 L3", partition_check, f"WITH {RECORDS_SQL}, {POINTS}, {FRAMES} SELECT f0, count(DISTINCT kind) AS kinds, true AS ok FROM frm JOIN recs ON from_year <= f0 AND to_year >= f0 GROUP BY f0"),
+    Query("partition_check", "L2 L3", partition_check, f"""WITH {CLAIMS}, c AS (SELECT DISTINCT x, y, owner FROM claims)
+        SELECT x, count(*) AS parts, count(DISTINCT y) AS whole, (count(*) - count(DISTINCT y)) / count(DISTINCT y) < 1e-4 AS ok FROM c GROUP BY x"""),
     Query("regional_series", "E22 F19", regional_series, f"""WITH {RECORDS_SQL}, y AS (SELECT (CASE WHEN y = 0 THEN 1 ELSE y END)::INT AS year FROM (SELECT unnest(range(-1000, 1300, 100)) AS y))
         SELECT n_regionkey AS region, year, round(sum(CASE WHEN kind = 'O' THEN a ELSE 0 END) / sum(a), 6) AS share FROM recs JOIN customer ON pid = 'cust:' || c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN y ON from_year <= year AND to_year >= year GROUP BY 1, 2"""),
     Query("century_groups", "E23 E13 I30", century_groups, f"""WITH {RECORDS_SQL}, g AS (SELECT kind, (CASE WHEN from_year > 0 THEN ceil(from_year / 100) ELSE -ceil(-from_year / 100) END)::INT AS century, count(*) AS n, min(id) AS first_id FROM recs GROUP BY 1, 2)

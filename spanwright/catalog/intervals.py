@@ -64,6 +64,13 @@ def frame_of_year(spark, d):
     return I.as_of(asked, f, "year", "f0").select("year", "f0", "f1")
 
 
+def last_large_event(spark, d):
+    """Each event with the last large one of its type up to it: a few types share all rows."""
+    events = table(spark, d, "events").select("event_id", "event_type", "value")
+    large = events.filter("value > 90").select("event_type", F.col("event_id").alias("large_id"))
+    return I.as_of(events, large, "event_id", "large_id", ["event_type"], 4096).select("event_id", "large_id")
+
+
 def prev_next_change(spark, d):
     return I.previous_and_next(_points(spark, d), records(spark, d).select(F.col("from_year")), "from_year")
 
@@ -186,6 +193,7 @@ Q = [
           (CASE WHEN c0 < 0 THEN (-c0) || 'bce' ELSE c0::VARCHAR END) || '-' || (CASE WHEN c1 < 0 THEN (-c1) || 'bce' ELSE c1::VARCHAR END) AS chunk_id FROM j GROUP BY c0, c1"""),
     Query("frame_of_year", "D3 D4 D5 F19", frame_of_year, f"""WITH {RECORDS_SQL}, {POINTS}, {FRAMES}, asked AS (SELECT (CASE WHEN y = 0 THEN 1 ELSE y END)::INT AS year FROM (SELECT unnest(range(-1400, 1500, 50)) AS y))
         SELECT year, f0, f1 FROM asked LEFT JOIN frm ON f0 <= year AND year < coalesce((SELECT min(f.f0) FROM frm f WHERE f.f0 > frm.f0), 99999)"""),
+    Query("last_large_event", "D3 D5", last_large_event, """SELECT e.event_id, l.event_id AS large_id FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE value > 90) l ON e.event_type = l.event_type AND e.event_id >= l.event_id"""),
     Query("prev_next_change", "D6", prev_next_change, f"""WITH {RECORDS_SQL}, {POINTS}, asked AS (SELECT DISTINCT from_year FROM recs)
         SELECT from_year, (SELECT max(y) FROM pts WHERE y < from_year) AS prev_change, (SELECT min(y) FROM pts WHERE y > from_year) AS next_change FROM asked"""),
     Query("nearest_year_in_spans", "D7 C3 I4", nearest_year_in_spans, f"""WITH {RECORDS_SQL}, {SPANS}, n AS (SELECT pid, CASE WHEN from_year > {YEAR} THEN from_year WHEN to_year < {YEAR} THEN to_year ELSE {YEAR} END AS year FROM spans),

@@ -29,7 +29,8 @@ def conflicts(spark, d):
     """Overlapping records of one pid whose kinds differ."""
     r = records(spark, d).select("id", "pid", "from_year", "to_year", "kind")
     other = r.withColumnsRenamed({"id": "id2", "from_year": "f2", "to_year": "t2", "kind": "kind2"})
-    return r.join(other, "pid").filter((F.col("id") < F.col("id2")) & Y.overlaps(F.col("from_year"), F.col("to_year"), F.col("f2"), F.col("t2")) & (F.col("kind") != F.col("kind2"))).select("pid", "id", "id2", "kind", "kind2")
+    pairs = I.interval_join(r, other, ("from_year", "to_year"), ("f2", "t2"), by=["pid"])
+    return pairs.filter((F.col("id") < F.col("id2")) & (F.col("kind") != F.col("kind2"))).select("pid", "id", "id2", "kind", "kind2")
 
 
 def lookup_by_year(spark, d):

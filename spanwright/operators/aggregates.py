@@ -94,10 +94,12 @@ def with_totals(df: DataFrame, keys: Sequence[str], measures: Sequence[Column],
 
 
 def full_diff(old: DataFrame, new: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
-    """(key, action) of two versions of a table: add, remove, update or same, by all the values."""
-    state = lambda df, n: df.select(key, F.xxhash64(*values).alias(n))
-    both = state(old, "o").join(state(new, "n"), key, "full_outer")
-    return both.select(key, F.when(F.col("o").isNull(), "add").when(F.col("n").isNull(), "remove").when(F.col("o") != F.col("n"), "update").otherwise("same").alias("action"))
+    """(key, action) of two versions of a table: add, remove, update or same, by all the values. Null is a key and a value like others."""
+    state = lambda df, n: df.select(F.col(key).alias(f"__k{n}"), F.struct(*values).alias(f"__v{n}"))
+    both = state(old, "o").join(state(new, "n"), F.col("__ko").eqNullSafe(F.col("__kn")), "full_outer")
+    o, n = F.col("__vo"), F.col("__vn")
+    action = F.when(o.isNull(), "add").when(n.isNull(), "remove").when(~o.eqNullSafe(n), "update").otherwise("same")
+    return both.select(F.coalesce("__ko", "__kn").alias(key), action.alias("action"))
 
 
 def missing_references(left: DataFrame, right: DataFrame, key: str, left_name: str, right_name: str) -> DataFrame:

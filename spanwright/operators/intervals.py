@@ -11,18 +11,18 @@ from pyspark.sql.window import Window
 from spanwright.functions.years import add_years, overlaps, to_astronomical
 
 
-def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: int = 64, how: str = "inner") -> DataFrame:
-    """Pairs of rows whose intervals overlap, each pair once, by an equi-join on buckets of years.
+def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: int = 64, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows whose intervals overlap, each pair once, by an equi-join on buckets of years and the columns `by`.
 
     Both sides are dealt to the buckets that they touch; a pair is kept in the first bucket that both touch.
-    A shuffle join on buckets works for sides of any size, and a busy bucket is split by AQE.
+    A shuffle join on buckets works for sides of any size, and a busy bucket is split by AQE. It is an inner join.
     """
     bucket = lambda y: F.floor(to_astronomical(F.col(y)) / width)
 
     def dealt(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
         return df.withColumn(f"__first_{name}", bucket(span[0])).withColumn("__bucket", F.explode(F.sequence(f"__first_{name}", bucket(span[1]))))
 
-    pairs = dealt(left, left_span, "l").join(dealt(right, right_span, "r"), "__bucket", how)
+    pairs = dealt(left, left_span, "l").join(dealt(right, right_span, "r"), ["__bucket", *by])
     both = overlaps(*(F.col(c) for c in (*left_span, *right_span)))
     return pairs.filter(both & (F.col("__bucket") == F.greatest("__first_l", "__first_r"))).drop("__bucket", "__first_l", "__first_r")
 
@@ -46,19 +46,32 @@ def frames(points: DataFrame, present: int) -> DataFrame:
     return points.select(F.col("y").alias("from_year"), F.coalesce(add_years(following, -1), F.lit(present)).cast("int").alias("to_year"))
 
 
-def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: Sequence[str] = (), bucket: int = 256) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: Sequence[str] = (), width: int = 256) -> DataFrame:
     """Each left row with the last right row at or before it (columns of right, null where there is none).
 
-    Right rows become half-open intervals up to the next one of the same key, so it is an interval join.
+    Right rows become half-open intervals up to the next one of the same key and are dealt to the buckets of
+    `width` that these touch, within the range of the left rows. A left row is in one bucket, so an outer equi-join on
+    bucket and key finds its interval, and AQE can split a busy bucket. The next row is looked for inside a
+    bucket first and then among the buckets' first rows, so no window sees all rows of a key. Of right rows
+    at the same place the greatest counts; null places and keys match nothing.
     """
-    nxt = F.lead(right_at).over(Window.partitionBy(*by).orderBy(right_at)) if by else F.lead(right_at).over(Window.orderBy(right_at))
-    ends = right.withColumn("__until", F.coalesce(nxt, F.lit(2**31 - 1)))
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in by] + [F.col(f"l.{left_at}") >= F.col(f"r.{right_at}"), F.col(f"l.{left_at}") < F.col("r.__until")]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    names = [c for c in right.columns if c not in by]
-    return left.alias("l").join(ends.alias("r"), condition, "left").select("l.*", *[F.col(f"r.{c}") for c in names])
+    names, key = [c for c in right.columns if c not in by], list(by)
+    bucket = lambda c: F.floor(c / width)
+    lo, hi = left.agg(F.min(left_at), F.max(left_at)).first()
+    rows = right.filter(F.col(right_at).isNotNull()).groupBy(*key, F.col(right_at).alias("__at")).agg(F.max(F.struct(*names)).alias("__r")).withColumn("__b", bucket(F.col("__at")))
+    firsts = rows.groupBy(*key, "__b").agg(F.min("__at").alias("__first"))
+    over = Window.partitionBy(*key).orderBy("__b") if key else Window.orderBy("__b")
+    following = firsts.select(*key, "__b", F.lead("__first").over(over).alias("__next"))
+    inside = F.lead("__at").over(Window.partitionBy(*key, "__b").orderBy("__at"))
+    spans = rows.withColumn("__inside", inside).join(following, [*key, "__b"], "left").withColumn("__until", F.coalesce("__inside", "__next"))
+    spans = spans.filter((F.col("__at") <= F.lit(hi)) & (F.col("__until").isNull() | (F.col("__until") > F.lit(lo))))
+    last = F.least(F.coalesce("__until", F.lit(hi)), F.lit(hi))
+    dealt = spans.withColumn("__bucket", F.explode(F.sequence(F.greatest(F.col("__b"), bucket(F.lit(lo))), bucket(last))))
+    l, r = left.withColumn("__left_bucket", bucket(F.col(left_at))).alias("l"), dealt.alias("r")
+    on = (F.col("l.__left_bucket") == F.col("r.__bucket")) & (F.col(f"l.{left_at}") >= F.col("r.__at")) & (F.col("r.__until").isNull() | (F.col(f"l.{left_at}") < F.col("r.__until")))
+    for k in key:
+        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    return l.join(r, on, "left").select(*[F.col(f"l.`{c}`") for c in left.columns], *[F.col(f"r.__r.`{c}`").alias(c) for c in names])
 
 
 def coalesced(df: DataFrame, keys: Sequence[str], span: tuple[str, str] = ("from_year", "to_year"), extra: Sequence[Column] = ()) -> DataFrame:

@@ -151,3 +151,46 @@ def test_ids_without_their_work_are_not_claimed():
     from spanwright import registry
 
     assert not {"K22", "K30", "K33", "K39", "L12"} & set(registry.coverage())
+
+
+def as_of_by_hand(left, right, by):
+    out = []
+    for row in left:
+        k, at = row["k"], row["at"]
+        fits = [r for r in right if r["since"] is not None and at is not None and r["since"] <= at and (not by or k is not None and r["k"] == k)]
+        best = max(fits, key=lambda r: (r["since"], r["v"]), default=None)
+        out.append((k, at, best and best["v"]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_as_of_against_brute_force(spark, by):
+    rng = random.Random(7)
+    key = lambda: rng.choice(["hot"] * 8 + ["a", "b", "left only"])
+    left = [{"k": key(), "at": rng.randint(-900, 900)} for _ in range(400)] + [{"k": None, "at": 3}, {"k": "hot", "at": None}, {"k": "hot", "at": -100_000}, {"k": "hot", "at": 256}]
+    right = [{"k": rng.choice(["hot"] * 8 + ["a", "b", "right only"]), "since": rng.randint(-900, 900), "v": i} for i in range(120)] + [{"k": "hot", "since": 256, "v": 500}, {"k": "hot", "since": 256, "v": 501}, {"k": None, "since": 1, "v": 502}, {"k": "hot", "since": None, "v": 503}]
+    l, r = spark.createDataFrame(left, "k string, at int").repartition(4), spark.createDataFrame(right, "k string, since int, v int").repartition(3)
+    r = r if by else r.drop("k")
+    for some in (l, l.limit(0)):
+        for width in (256, 10):
+            got = sorted(((x.k, x.at, x.v) for x in intervals.as_of(some, r, "at", "since", by, width).collect()), key=str)
+            assert got == (as_of_by_hand(left, right, by) if some is l else [])
+    none = intervals.as_of(l, r.limit(0), "at", "since", by)
+    assert none.filter("v IS NULL").count() == len(left) == none.count()
+
+
+def test_interval_join_by_key(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("aab"), lo, lo + rng.randint(0, 200)) for i in range(80) for lo in [rng.randint(1, 900)]]
+    df = spark.createDataFrame(rows, "id int, k string, lo int, hi int")
+    other = df.withColumnsRenamed({"id": "id2", "lo": "lo2", "hi": "hi2"})
+    got = intervals.interval_join(df, other, ("lo", "hi"), ("lo2", "hi2"), by=["k"]).select("id", "id2").collect()
+    expected = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]}
+    assert len(got) == len(expected) and {tuple(x) for x in got} == expected
+
+
+def test_full_diff_with_nulls(spark):
+    old = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "d"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (5, "e"), (None, "n")], "k int, v string")
+    got = {r.k: r.action for r in aggregates.full_diff(old, new, "k", ["v"]).collect()}
+    assert got == {1: "same", 2: "update", 3: "update", 4: "remove", 5: "add", None: "same"}
