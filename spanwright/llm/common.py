@@ -16,14 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder named by spark.checkpoint.dir (a temporary one where unset).
+    """Materialise `df` in the shared folder named by spark.checkpoint.dir.
 
-    The copy outlives executors, so what is built on it never recomputes the lineage above.
+    The copy outlives executors, so what is built on it never recomputes the lineage above. Where the setting is
+    unset, a temporary folder will do on one machine; on a cluster it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 

@@ -285,7 +285,9 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
     classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     per_text = exact.join(classes, "node", "left").join(degree, "node", "left").select("key", F.coalesce("component", "node").alias("__class"), F.coalesce("links", F.lit(0)).cast("long").alias("__links"))
-    return signed.join(per_text, "key", "left").select("doc_id", F.coalesce("__class", "doc_id").alias("class_id"), F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"))
+    with_words = signed.filter("key IS NOT NULL").join(per_text, "key", "left").select("doc_id", F.coalesce("__class", "doc_id").alias("class_id"), F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"))
+    # texts without a word share no key, so that a table full of them fills no single task
+    return with_words.unionByName(signed.filter("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
