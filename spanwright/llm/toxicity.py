@@ -172,7 +172,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 256,
     number = {w: i + 1 for i, w in enumerate(chunks)}
     own, grams, count = word_features(["", *chunks])
     own[0], grams[0] = 0, 0
-    ids = [np.array([number[w] for c in t.split() for w in normal(c)], dtype=np.int64) for t in texts]
+    ids = [np.array([number[w] for c in t.split() for w in normal(c)], dtype=np.int32) for t in texts]
     y = np.asarray(toxic)
     aside = np.zeros(len(y), bool)  # texts of either class that the network doesn't learn from, for the calibration
     for label in (0, 1):
@@ -192,7 +192,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 256,
     every, owner = np.concatenate(windows), np.repeat(np.arange(len(ids)), [len(w) for w in windows])
     at = np.concatenate([[0], np.cumsum([len(w) for w in windows])])
     x = net.inputs(own, grams, count)
-    score = np.where(every > 0, x[every][:, :, 0] + x[every][:, :, WIDTH], -9).max(axis=1)  # until the network can tell
+    odds = x[:, 0] + x[:, WIDTH]
+    score = np.where(every > 0, odds[every], np.float32(-9)).max(axis=1)  # until the network can tell
     moments: dict[str, list[np.ndarray]] = {}
     step = 0
     for epoch in range(epochs):
