@@ -460,10 +460,12 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     for name in ("__tokens", "class_id", "__row", "__hit_lines", "__gone", "n_words", "__id"):
         df = df.withColumn(name, F.lit("kept"))
     for some in (df, df.limit(0)):
-        docs = some
+        docs, sizes = some, []
         for name, stage in C.STAGES:
             docs = stage(spark, docs, SF)
-        assert docs.count() >= 0
+            sizes.append(docs.count())
+        # of the odd rows only the long run of two words could pass the rules, and it fails on repetition
+        assert sizes == [0] * len(C.STAGES)
 
 
 @pytest.mark.parametrize("name", ["op6_best_fit_packing", "op7_html_extraction"])
