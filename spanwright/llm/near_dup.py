@@ -11,8 +11,10 @@
    Jaccard similarity of the whole shingle vectors decides; connected texts form a class.
 4. Rounds go on until no bucket holds texts of two classes that were never compared. Texts that have led are
    done with their bucket. In buckets of at most `SMALL` texts left every pair of different classes is
-   compared; in larger ones the fullest texts of each class lead, from one up to `LEADERS` together, against
-   blocks of the members, so that a member's vector moves once a round and not once a pair.
+   compared. Larger ones, as a passage that many texts share makes them, are split without loss: two texts
+   at the threshold share a shingle among each one's rarest, those that hold the first 1 - threshold of its weight, so
+   these shingles are the new buckets. Where one of those is large too, the fullest texts of each class lead, from 16 up to
+   `LEADERS` together, against blocks of the members, so that a member's vector moves once a round and not once a pair.
 
 Defined results: a text of fewer than five words is one shingle of all its words; null texts and texts
 without a word are in no class but their own; repeated rows share a class; rows with a null id have a null
@@ -43,6 +45,8 @@ COMMON = 0.001
 SMALL, LEADERS, BLOCK = 12, 128, 128
 #: Words that a task remembers, and texts hashed together.
 WORD_MEMORY, TEXTS = 250_000, 64
+#: Cells of the sketch that says which shingles are rare; any order of shingles is right, the sketch's is a good one.
+CELLS = 1 << 18
 #: Rows that Python gets at once: a long text's vector is as large as the text.
 ARROW_ROWS = 512
 
@@ -185,19 +189,73 @@ def _verify(batches):
 
 def _led(threshold: float):
     """Similar (a, b) of different classes among a bucket's leaders and a block of its members."""
+    # the similarity is at most the lesser total weight over the greater
+    least = threshold - 1e-6
 
     def read(rows: pd.DataFrame) -> list[tuple]:
-        return [(n, c, np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)) for n, c, h, w in zip(rows["node"], rows["component"], rows["h"], rows["w"])]
+        vectors = ((n, c, np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)) for n, c, h, w in zip(rows["node"], rows["component"], rows["h"], rows["w"]))
+        return [(*v, float(v[3].sum(dtype=np.float64))) for v in vectors]
 
     def run(leaders: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         found, block = [], read(members)
-        for a, own, ha, wa in read(leaders):
-            found += [(a, b) for b, other, hb, wb in block if own != other and weighted_jaccard(ha, wa, hb, wb) >= threshold]
+        for a, own, ha, wa, of_a in read(leaders):
+            near = (x for x in block if x[1] != own and least * of_a <= x[4] and least * x[4] <= of_a)
+            found += [(a, b) for b, _, hb, wb, _ in near if weighted_jaccard(ha, wa, hb, wb) >= threshold]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _cells(batches):
+    """(cell, n): how many of a task's vectors have a shingle in each cell of the sketch."""
+    seen = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for h in batch.column(0):
+            seen += np.bincount((np.frombuffer(h.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    cells = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], names=["cell", "n"])
+
+
+def rarest(h: np.ndarray, w: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The shingles of a vector that hold the first 1 - `threshold` of its weight, rare ones first, and that others may have.
+
+    If two vectors share none of these, what they share lies in one's remainder, whose weight is less than
+    `threshold` of its total, and their similarity is less than `threshold`.
+    """
+    n = counts[(h % np.uint64(CELLS)).astype(np.int64)]
+    order = np.lexsort((h, n))
+    left = w[order].astype(np.float64)[::-1].cumsum()[::-1]
+    chosen = order[left >= (threshold - 1e-6) * left[0]]
+    return h[chosen[n[chosen] > 1]]
+
+
+def _rarest(counts, threshold: float):
+    def run(batches):
+        for batch in batches:
+            found = [rarest(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32), counts.value, threshold) for h, w in zip(batch.column(1), batch.column(2))]
+            sizes = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64()), pa.array(np.repeat(batch.column(0).to_numpy(), sizes), pa.int64())], names=["bucket", "node"]
+            )
+
+    return run
+
+
+def split_buckets(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node, fill) of vectors (node, h, w): two at the threshold meet in a bucket, those that share frequent shingles alone do not."""
+    cells = vectors.select("h").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy(dtype=np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast(counts)
+    placed = checkpointed(vectors.mapInArrow(_rarest(shared, threshold), "bucket long, node long"))
+    # buckets of the same texts are one
+    texts = (F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    buckets = placed.groupBy("bucket").agg(*texts).filter("n > 1").groupBy("n", "sum", "lo", "hi").agg(F.min("bucket").alias("bucket"))
+    met = checkpointed(placed.join(buckets.select("bucket", "n"), "bucket"))
+    rows = met.count()
+    return checkpointed(fitted(met.join(met.groupBy("node").agg(F.sum("n").alias("fill")), "node").select("bucket", "node", "fill"), rows))
+
+
 def word_idf(docs: DataFrame) -> Idf:
     """Counted over all documents; what comes to the driver is bounded by `COMMON`."""
     n = docs.count()
@@ -252,15 +310,22 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
         joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ha", "wa", "hb", "wb")
         return joined.mapInArrow(_verify, "a long, b long, similarity double").filter(F.col("similarity") >= threshold).select("a", "b")
 
+    def joined(classes: DataFrame, found: DataFrame) -> DataFrame:
+        """`classes` after further links; what was joined before is not looked at again."""
+        a, b = (classes.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+        merged = components(found.join(a, "a").join(b, "b").select("ca", "cb"), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("least"))
+        return checkpointed(fitted(classes.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component")), rows))
+
     # the fullest text of a bucket leads, the least id among equals
     standing = F.struct(F.col("fill"), (-F.col("node")).alias("minus"))
     leaders = met.groupBy("bucket").agg(F.max(standing).alias("top"))
     pairs = met.join(leaders, "bucket").select((-F.col("top.minus")).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     links = checkpointed(similar(fitted(pairs, rows)))
     waiting = met.join(leaders, "bucket").filter(F.col("node") != -F.col("top.minus")).select("bucket", "node", "fill")
-    share = 1
+    classes = checkpointed(fitted(vectors.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), rows))
+    share, bands_alone = 1, True
     while True:
-        placed = waiting.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = waiting.join(classes, "node")
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", "n")
         placed = checkpointed(fitted(placed.join(mixed, "bucket"), rows))
         if placed.isEmpty():
@@ -268,9 +333,16 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
         few, large = placed.filter(F.col("n") <= SMALL).select("bucket", "node", "component"), placed.filter(F.col("n") > SMALL)
         other = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("own"))
         pairs = few.join(other, "bucket").filter("a < node AND component <> own").select("a", F.col("node").alias("b"))
-        found = links.unionByName(similar(fitted(pairs.distinct(), rows)))
+        found = similar(fitted(pairs.distinct(), rows))
+        if bands_alone:
+            found, bands_alone = checkpointed(found), False
+            links, classes = links.unionByName(found), joined(classes, found)
+            if large.isEmpty():
+                break
+            waiting = split_buckets(vectors.join(large.select("node").distinct(), "node", "left_semi"), threshold)
+            continue
         turn = large.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "component").orderBy(standing.desc()))).filter(F.col("turn") <= share)
-        turn = turn.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", standing.desc()))).filter(F.col("place") <= LEADERS)
+        turn = turn.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", standing.desc()))).filter(F.col("place") <= min(LEADERS, 16 * share))
         turn = checkpointed(fitted(turn.select("bucket", "node", "component", "n"), rows))
         if not turn.isEmpty():
             blocks = F.ceil(F.col("n") / BLOCK)
@@ -279,10 +351,11 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
             heads = turn.join(vectors, "node").select(F.col("bucket").alias("of"), F.explode(F.sequence(first, last)).alias("part"), *[F.col(c).alias(c) for c in ("node", "component", "h", "w")])
             led = heads.groupBy("of", "part").cogroup(members.groupBy("bucket", "block")).applyInPandas(_led(threshold), "a long, b long")
             found = found.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links = checkpointed(fitted(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows))
+        found = checkpointed(fitted(found.distinct(), rows))
+        links, classes = links.unionByName(found), joined(classes, found)
         waiting = checkpointed(fitted(large.join(turn, ["bucket", "node"], "left_anti").select("bucket", "node", "fill"), rows))
         share = min(LEADERS, 4 * share)
-    classes = components(links)
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     per_text = exact.join(classes, "node", "left").join(degree, "node", "left").select("key", F.coalesce("component", "node").alias("__class"), F.coalesce("links", F.lit(0)).cast("long").alias("__links"))
     with_words = signed.filter("key IS NOT NULL").join(per_text, "key", "left").select("doc_id", F.coalesce("__class", "doc_id").alias("class_id"), F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"))

@@ -410,6 +410,29 @@ def test_near_duplicates_hot_group(spark):
     assert got.count() == 600 and got.select("class_id").distinct().count() == 2
 
 
+def test_rarest_shingles_meet(spark):
+    """Any two vectors at the threshold share a bucket, whatever the sketch holds; those that share a frequent passage alone do not."""
+    rng = np.random.default_rng(5)
+    near = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 40))
+        ha = np.unique(rng.integers(0, 60, n).astype(np.uint64))
+        hb = np.unique(np.where(rng.random(len(ha)) < 0.08, rng.integers(0, 60, len(ha)), ha).astype(np.uint64))
+        wa, wb = (rng.choice([1.0, 2.0, 5.5], len(h)).astype(np.float32) for h in (ha, hb))
+        wb = np.where(np.isin(hb, ha), wa[np.minimum(np.searchsorted(ha, hb), len(ha) - 1)], wb).astype(np.float32)
+        counts = np.full(near_dup.CELLS, 2, np.int64)
+        counts[:60] = rng.integers(2, 9, 60)
+        if near_dup.weighted_jaccard(ha, wa, hb, wb) >= 0.8:
+            near += 1
+            assert np.intersect1d(near_dup.rarest(ha, wa, counts, 0.8), near_dup.rarest(hb, wb, counts, 0.8)).size
+    assert near > 300
+    passage = [f"common{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(passage + [f"own{i}x{j}" for j in range(60)])) for i in range(60)], "doc_id long, text string")
+    idf = spark.sparkContext.broadcast(near_dup.word_idf(docs))
+    vectors = docs.mapInArrow(near_dup._vectors(idf), "node long, h binary, w binary")
+    assert near_dup.split_buckets(vectors, 0.8).count() == 0
+
+
 def test_near_duplicates_edges(spark):
     df = texts(spark, ODD).withColumn("class_id", F.lit(1)).withColumn("key", F.lit("k"))
     got = near_dup.near_duplicates(df).collect()
