@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from spanwright.llm import html_extract, line_dedup, lm_scoring, mixing, near_dup, packing, pii, quality_rules, topk_search, toxicity
+from spanwright.llm import hard_negatives, html_extract, jaccard_join, line_dedup, lm_scoring, mixing, near_dup, packing, pii, quality_rules, spelling, topk_search, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_jaccard_join": jaccard_join.op12_jaccard_join,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +31,7 @@ def oracle_sql() -> dict:
         "op5_line_dedup": line_dedup.sql(),
         "op9_quality_rules": quality_rules.sql(),
         "op10_mixing": mixing.sql(),
+        "op11_hard_negatives": hard_negatives.SQL,
+        "op12_jaccard_join": jaccard_join.SQL,
+        "op13_spelling_variants": spelling.SQL,
     }
