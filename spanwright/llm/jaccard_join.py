@@ -36,6 +36,8 @@ from spanwright.llm.graph import components
 SHINGLE, PERCENT = 4, 85
 #: Cells of the sketch; groups of a bucket whose pairs are listed; sets and shingles of a block; columns of a matrix.
 CELLS, SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 1 << 18, 32, 256, 1 << 20, 4096
+#: Bits of a broadcast table that keeps most rows without partner out of a shuffle; a full table only keeps fewer out.
+BITS = 1 << 24
 #: Words that a task remembers, texts hashed together.
 WORD_MEMORY, TEXTS = 250_000, 64
 
@@ -54,8 +56,8 @@ class Words(dict):
     def __init__(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
 
-    def sets(self, texts: list[bytes], size: int) -> list[np.ndarray]:
-        """The distinct shingles of each text, in order of their hashes."""
+    def shingles(self, texts: list[bytes], size: int) -> list[np.ndarray]:
+        """The hashes of each text's shingles."""
         split = [t.lower().split() for t in texts]
         if len(self) > WORD_MEMORY:
             self.clear()
@@ -63,25 +65,25 @@ class Words(dict):
         new = [w for w in set().union(*split) if w not in self]
         self.update(zip(new, range(len(self), len(self) + len(new))))
         self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh64_intdigest(w, 7) for w in new], dtype=np.uint64)])
-        return [self._set(np.fromiter(map(self.__getitem__, s), dtype=np.int64, count=len(s)), size) for s in split]
+        return [self._hashed(np.fromiter(map(self.__getitem__, s), dtype=np.int64, count=len(s)), size) for s in split]
 
-    def _set(self, rows: np.ndarray, size: int) -> np.ndarray:
+    def _hashed(self, rows: np.ndarray, size: int) -> np.ndarray:
         words, n = self.hashes[rows], min(size, len(rows))
         if not n:
             return words
         h = np.zeros(len(words) - n + 1, np.uint64)
         for j in range(n):
             h += words[j : j + len(h)] * _PLACE[j]
-        return np.unique(_mixed(h))
+        return _mixed(h)
 
 
 def _read(batches, size: int, column: int):
-    """(batch, sets) of slices of few texts."""
+    """(batch, shingles) of slices of few texts."""
     words = Words()
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
             some = batch.slice(at, TEXTS)
-            yield some, words.sets(some.column(column).to_pylist(), size)
+            yield some, words.shingles(some.column(column).to_pylist(), size)
 
 
 def cells_of(h: np.ndarray, all_cells: int) -> np.ndarray:
@@ -91,8 +93,8 @@ def cells_of(h: np.ndarray, all_cells: int) -> np.ndarray:
 def _count(size: int, all_cells: int):
     def run(batches):
         seen = np.zeros(all_cells, np.int64)
-        for _, sets in _read(batches, size, 0):
-            seen += np.bincount(cells_of(np.concatenate(sets), all_cells), minlength=all_cells)
+        for _, hashed in _read(batches, size, 0):
+            seen += np.bincount(cells_of(np.concatenate(hashed), all_cells), minlength=all_cells)
         cells = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], names=["cell", "n"])
 
@@ -100,38 +102,46 @@ def _count(size: int, all_cells: int):
 
 
 def prefix(h: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles, one of which each set that is similar enough shares among its own rarest."""
-    order = np.lexsort((h, counts[cells_of(h, len(counts))]))
+    """The rarest shingles of a set in order of hashes, one of which each set that is similar enough has among its own rarest."""
+    order = np.argsort(counts[cells_of(h, len(counts))], kind="stable")
     return h[order[: len(h) - -(-percent * len(h) // 100) + 1]]
 
 
-def digest(h: np.ndarray) -> bytes:
-    return hashlib.md5(h.tobytes()).digest()
-
-
-def nodes_of(sets: list[np.ndarray]) -> pa.Array:
+def named(sets: list[np.ndarray]) -> pa.Array:
     """A 64-bit name of each set, null for the empty one."""
-    return pa.array([int.from_bytes(digest(h)[:8], "little", signed=True) if len(h) else None for h in sets], pa.int64())
+    return pa.array([int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "little", signed=True) if len(h) else None for h in sets], pa.int64())
 
 
 def _sign(counts, size: int, percent: int):
     def run(batches):
-        for batch, sets in _read(batches, size, 1):
+        for batch, hashed in _read(batches, size, 1):
+            sets = [np.unique(h) for h in hashed]
             first = [prefix(h, counts.value, percent) if len(h) else h for h in sets]
-            columns = [pa.array([len(h) for h in sets], pa.int64()), nodes_of(sets), pa.array(list(map(digest, first)), pa.binary()), pa.array([h.view(np.int64) for h in first], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "node", "same", "prefix"])
+            n = np.array([len(h) for h in sets], np.int64)
+            groups = named([np.append(f, m) if m else f for f, m in zip(first, n.astype(np.uint64))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), named(sets), groups, pa.array([h.view(np.int64) for h in first], pa.list_(pa.int64()))], names=["doc_id", "n", "node", "g", "prefix"])
 
     return run
 
 
 def _sets(size: int):
     def run(batches):
-        for _, sets in _read(batches, size, 0):
-            yield pa.RecordBatch.from_arrays([nodes_of(sets), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "h"])
+        for _, hashed in _read(batches, size, 0):
+            sets = [np.unique(h) for h in hashed]
+            yield pa.RecordBatch.from_arrays([named(sets), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "h"])
 
     return run
 
 
+def thinned(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among `keys`: a table of `BITS` bits, in words of 64, is broadcast. An exact join has to follow."""
+    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
+    at, mask = F.shiftright(bit, 6), F.expr("shiftleft(1L, cast(__bit % 64 AS int))")
+    table = keys.select(bit.alias("__bit")).select(F.shiftright("__bit", 6).alias("__at"), mask.alias("__mask")).groupBy("__at").agg(F.bit_or("__mask").alias("__bits"))
+    met = rows.withColumn("__at", at).withColumn("__bit", bit).join(F.broadcast(table), "__at")
+    return met.filter(F.col("__bits").bitwiseAND(mask) != 0).drop("__at", "__bit", "__bits")
+
+
 def _similar(percent: int):
     def run(batches):
         for batch in batches:
@@ -205,47 +215,49 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     cells = chosen.select("text").mapInArrow(_count(size, CELLS), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
     sketch = spark.sparkContext.broadcast(counts)
-    signed = checkpointed(chosen.mapInArrow(_sign(sketch, size, percent), "doc_id long, n long, node long, same binary, prefix array<long>"))
-
-    # one row for each set, whatever its number of copies
-    named = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    sets = checkpointed(named.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "n", "same", "prefix")).alias("of")).select("node", "copies", "of.doc_id", "of.n", "of.same", "of.prefix"))
-    alike = sets.groupBy("same", "n").agg(F.min(F.struct("node", "prefix")).alias("lead"), F.count("*").alias("members")).select("same", "n", "members", F.col("lead.node").alias("g"), F.col("lead.prefix").alias("prefix"))
-    members = checkpointed(sets.select("node", "same", "n").join(alike.filter("members > 1").select("same", "n", "g", "members"), ["same", "n"]).select("node", "g", "n", "members"))
-    postings = alike.select("g", "n", F.posexplode("prefix").alias("pos", "bucket"))
-    shared = postings.groupBy("bucket").agg(F.count("*").alias("all")).filter("all > 1")
-    met = checkpointed(postings.join(shared, "bucket"))
+    signed = checkpointed(chosen.mapInArrow(_sign(sketch, size, percent), "doc_id long, n long, node long, g long, prefix array<long>"))
+
+    # one row for each set, whatever its number of copies, and for each group how many sets it has and the first of them
+    with_words = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
+    sets = checkpointed(with_words.groupBy("node").agg(F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("doc_id", "n", "g")]))
+    groups = sets.groupBy("g").agg(F.count("*").alias("members"), F.min("node").alias("lead"))
+    stands = checkpointed(sets.select("g", "node").join(groups, "g"))
+    postings = with_words.select("g", "n", F.posexplode("prefix").alias("pos", "bucket"))
+    shared = checkpointed(postings.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("bucket"))
+    met = checkpointed(thinned(postings, shared, "bucket").distinct().join(shared, "bucket", "left_semi"))
     rows = met.count()
     met = fitted(met, rows)
+    met = checkpointed(fitted(met.join(met.groupBy("bucket").agg(F.count("*").alias("all")), "bucket"), rows))
 
     few = met.filter(F.col("all") <= small).select("bucket", F.struct("g", "n", "pos").alias("x"))
     listed = few.join(few.select("bucket", F.col("x").alias("y")), "bucket").filter("x.g < y.g").filter(can_be(percent, "x", "y")).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"))
-    many = checkpointed(met.filter(F.col("all") > small))
+    many = met.filter(F.col("all") > small)
     fullest = many.groupBy("g").agg(F.sum("all").alias("fill"))
     leaders = many.join(fullest, "g").groupBy("bucket").agg(F.max(F.struct("fill", "g", "n", "pos")).alias("x"))
     led = many.select("bucket", F.struct("g", "n", "pos").alias("y")).join(leaders, "bucket").filter("x.g <> y.g").filter(can_be(percent, "x", "y")).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b"))
     pairs = checkpointed(listed.unionByName(led).distinct())
 
-    # pairs of groups become pairs of their sets; a large group's sets meet its first set here and each other in step 5
-    limited = members.filter(F.col("members") <= small)
-    side = lambda s: limited.select(F.col("g").alias(s), F.col("node").alias(f"of_{s}"))
-    wide = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    inside = limited.select("g", F.col("node").alias("a")).join(limited.select("g", F.col("node").alias("b")), "g").filter("a < b").select("a", "b")
-    first = members.filter((F.col("members") > small) & (F.col("g") != F.col("node"))).select(F.col("g").alias("a"), F.col("node").alias("b"))
-    expanded = checkpointed(wide.unionByName(inside).unionByName(first).distinct())
-
-    # sets of the large buckets: every member of a group is in its group's buckets, and a large group is a bucket itself
-    large_groups = members.filter(F.col("members") > small)
-    open_sets = many.select("bucket", "g").join(members.select("g", "node"), "g", "left").select("bucket", F.coalesce("node", "g").alias("node"))
-    linked = met.join(large_groups.select("g").distinct(), "g", "left_semi").select("bucket", "g").join(large_groups.select("g", "node"), "g").select("bucket", "node")
-    partners = met.filter(F.col("all") <= small).join(linked.select("bucket").distinct(), "bucket", "left_semi").join(members.select("g", "node"), "g", "left").select("bucket", F.coalesce("node", "g").alias("node"))
-    open_sets = checkpointed(open_sets.unionByName(partners).unionByName(large_groups.select(F.xxhash64("g", F.lit("group")).alias("bucket"), "node")).distinct())
+    # pairs of groups become pairs of their sets; a large group's first set stands for it here, the others meet in step 5
+    limited = stands.filter((F.col("members") <= small) | (F.col("node") == F.col("lead")))
+    of = lambda s: limited.select(F.col("g").alias(s), F.col("node").alias(f"of_{s}"))
+    wide = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    twice = stands.filter((F.col("members") > 1) & (F.col("members") <= small))
+    inside = twice.select("g", F.col("node").alias("a")).join(twice.select("g", F.col("node").alias("b")), "g").filter("a < b").select("a", "b")
+    large = stands.filter(F.col("members") > small)
+    first = large.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    expanded = checkpointed(wide.unionByName(inside).unionByName(first))
+
+    # step 5 takes the sets of large buckets, of buckets with a large group, and of each large group
+    open_buckets = many.select("bucket").unionByName(met.join(large.select("g").distinct(), "g", "left_semi").select("bucket")).distinct()
+    open_sets = met.select("bucket", "g").join(open_buckets, "bucket", "left_semi").join(stands, "g").select("bucket", "node")
+    open_sets = checkpointed(open_sets.unionByName(large.select(F.xxhash64("g", F.lit("group")).alias("bucket"), "node")))
 
     wanted = expanded.select(F.explode(F.array("a", "b")).alias("node")).unionByName(open_sets.select("node")).distinct()
-    ids = sets.join(wanted, "node", "left_semi").select("doc_id")
+    wanted = checkpointed(sets.join(wanted, "node", "left_semi").select("node", "doc_id", "n"))
+    ids = wanted.select("doc_id").distinct()
     # where an id repeats, its other texts are read too and go
-    read = chosen.join(ids.distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node long, h binary")
-    vectors = checkpointed(read.join(wanted, "node", "left_semi").dropDuplicates(["node"]).join(sets.select("node", "n"), "node"))
+    read = thinned(chosen, ids, "doc_id").join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node long, h binary")
+    vectors = checkpointed(read.join(wanted.select("node", "n"), "node").dropDuplicates(["node"]))
 
     x, y = (vectors.select(F.col("node").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
     links = checkpointed(expanded.join(y, "b").join(x, "a").select("a", "b", "ha", "hb").mapInArrow(_similar(percent), "a long, b long"))
@@ -255,7 +267,7 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     placed = open_sets.join(classes, "node")
     by_class = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     mixed = by_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("main")).filter("classes > 1").select("bucket", "main")
-    heavy = placed.join(mixed, "bucket").join(sets.select("node", "n"), "node").select("bucket", "node", "class", "n", (F.col("class") != F.col("main")).alias("probe"))
+    heavy = placed.join(mixed, "bucket").join(wanted.select("node", "n"), "node").select("bucket", "node", "class", "n", (F.col("class") != F.col("main")).alias("probe"))
     heavy = checkpointed(heavy)
     if not heavy.isEmpty():
         blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
