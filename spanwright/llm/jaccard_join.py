@@ -134,7 +134,10 @@ def _sets(size: int):
 
 
 def thinned(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be among `keys`: a table of `BITS` bits, in words of 64, is broadcast. An exact join has to follow."""
+    """The rows whose key may be among `keys`: a table of `BITS` bits, in words of 64, is broadcast.
+
+    An exact join has to follow, an inner one: Spark moves a semi-join below this one.
+    """
     bit = F.pmod(F.xxhash64(key), F.lit(BITS))
     at, mask = F.shiftright(bit, 6), F.expr("shiftleft(1L, cast(__bit % 64 AS int))")
     table = keys.select(bit.alias("__bit")).select(F.shiftright("__bit", 6).alias("__at"), mask.alias("__mask")).groupBy("__at").agg(F.bit_or("__mask").alias("__bits"))
@@ -224,7 +227,7 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     stands = checkpointed(sets.select("g", "node").join(groups, "g"))
     postings = with_words.select("g", "n", F.posexplode("prefix").alias("pos", "bucket"))
     shared = checkpointed(postings.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("bucket"))
-    met = checkpointed(thinned(postings, shared, "bucket").distinct().join(shared, "bucket", "left_semi"))
+    met = checkpointed(thinned(postings, shared, "bucket").distinct().join(shared, "bucket"))
     rows = met.count()
     met = fitted(met, rows)
     met = checkpointed(fitted(met.join(met.groupBy("bucket").agg(F.count("*").alias("all")), "bucket"), rows))
@@ -256,7 +259,7 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     wanted = checkpointed(sets.join(wanted, "node", "left_semi").select("node", "doc_id", "n"))
     ids = wanted.select("doc_id").distinct()
     # where an id repeats, its other texts are read too and go
-    read = thinned(chosen, ids, "doc_id").join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node long, h binary")
+    read = thinned(chosen, ids, "doc_id").join(ids, "doc_id").select("text").mapInArrow(_sets(size), "node long, h binary")
     vectors = checkpointed(read.join(wanted.select("node", "n"), "node").dropDuplicates(["node"]))
 
     x, y = (vectors.select(F.col("node").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
