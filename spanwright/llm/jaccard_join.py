@@ -6,8 +6,9 @@
 3. Sets of one size with the same prefix are collapsed into one group. Prefix shingles shared by groups are buckets. A pair of
    groups is a candidate where sizes allow the similarity and what follows the shared shingle in both can still make up the overlap,
    which holds at the first shingle that a similar pair shares.
-4. Buckets of at most `SMALL` groups list their candidate pairs of groups. Of a larger one, the group whose buckets are fullest leads, and its pairs
-   with the others are listed. Pairs are expanded to the members of the groups, and so are pairs inside a group, and their whole sets are compared.
+4. Of a bucket, the group whose buckets are fullest leads, and its pairs with the others are listed; buckets of at most `SMALL` groups list all
+   candidate pairs. Pairs are expanded to the members of the groups, and so are pairs inside a group. Whole sets of the leaders' pairs are compared
+   first and give classes; of the other pairs, those of different classes are compared after them, so that families of copies are not compared through.
 5. Links join sets to classes. In large buckets, all sets outside of the bucket's largest class still have to meet the sets of other
    classes: both are dealt into blocks of bounded size, and a task counts the overlaps of two blocks by products of 0-1 matrices.
    Only classes are joined there, so no pair of copies is listed. Groups of more than `SMALL` sets are such buckets too.
@@ -235,20 +236,21 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     few = met.filter(F.col("all") <= small).select("bucket", F.struct("g", "n", "pos").alias("x"))
     listed = few.join(few.select("bucket", F.col("x").alias("y")), "bucket").filter("x.g < y.g").filter(can_be(percent, "x", "y")).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"))
     many = met.filter(F.col("all") > small)
-    fullest = many.groupBy("g").agg(F.sum("all").alias("fill"))
-    leaders = many.join(fullest, "g").groupBy("bucket").agg(F.max(F.struct("fill", "g", "n", "pos")).alias("x"))
-    led = many.select("bucket", F.struct("g", "n", "pos").alias("y")).join(leaders, "bucket").filter("x.g <> y.g").filter(can_be(percent, "x", "y")).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b"))
-    pairs = checkpointed(listed.unionByName(led).distinct())
+    fullest = met.groupBy("g").agg(F.sum("all").alias("fill"))
+    leaders = met.join(fullest, "g").groupBy("bucket").agg(F.max(F.struct("fill", "g", "n", "pos")).alias("x"))
+    led = met.select("bucket", F.struct("g", "n", "pos").alias("y")).join(leaders, "bucket").filter("x.g <> y.g").filter(can_be(percent, "x", "y")).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b"))
+    marked = listed.withColumn("led", F.lit(False)).unionByName(led.withColumn("led", F.lit(True)))
+    pairs = checkpointed(marked.groupBy("a", "b").agg(F.max("led").alias("led")))
 
     # pairs of groups become pairs of their sets; a large group's first set stands for it here, the others meet in step 5
     limited = stands.filter((F.col("members") <= small) | (F.col("node") == F.col("lead")))
     of = lambda s: limited.select(F.col("g").alias(s), F.col("node").alias(f"of_{s}"))
-    wide = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    wide = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"), "led")
     twice = stands.filter((F.col("members") > 1) & (F.col("members") <= small))
     inside = twice.select("g", F.col("node").alias("a")).join(twice.select("g", F.col("node").alias("b")), "g").filter("a < b").select("a", "b")
     large = stands.filter(F.col("members") > small)
     first = large.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    expanded = checkpointed(wide.unionByName(inside).unionByName(first))
+    expanded = checkpointed(wide.unionByName(inside.unionByName(first).withColumn("led", F.lit(True))))
 
     # step 5 takes the sets of large buckets, of buckets with a large group, and of each large group
     open_buckets = many.select("bucket").unionByName(met.join(large.select("g").distinct(), "g", "left_semi").select("bucket")).distinct()
@@ -263,9 +265,18 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     vectors = checkpointed(read.join(wanted.select("node", "n"), "node").dropDuplicates(["node"]))
 
     x, y = (vectors.select(F.col("node").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
-    links = checkpointed(expanded.join(y, "b").join(x, "a").select("a", "b", "ha", "hb").mapInArrow(_similar(percent), "a long, b long"))
-    linked = components(links)
-    classes = checkpointed(sets.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("class")))
+    linked = lambda some: checkpointed(some.join(y, "b").join(x, "a").select("a", "b", "ha", "hb").mapInArrow(_similar(percent), "a long, b long"))
+    found = components(linked(expanded.filter("led")))
+    classes = checkpointed(sets.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class")))
+
+    def merged(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+        further = components(checkpointed(pairs.distinct())).select(F.col("node").alias("class"), F.col("component").alias("further"))
+        return checkpointed(classes.join(further, "class", "left").select("node", F.coalesce("further", "class").alias("class")))
+
+    of_a, of_b = (classes.select(F.col("node").alias(s), F.col("class").alias(f"class_{s}")) for s in "ab")
+    apart = checkpointed(expanded.filter("NOT led").select("a", "b").join(of_a, "a").join(of_b, "b").filter("class_a <> class_b"))
+    if not apart.isEmpty():
+        classes = merged(classes, linked(apart.select("a", "b")).join(apart, ["a", "b"]).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
 
     placed = open_sets.join(classes, "node")
     by_class = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
@@ -281,8 +292,7 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         part = lambda rows, p, m: rows.select(F.col("bucket").alias("bucket"), p.alias("p"), m.alias("m"), F.col("class").alias("class"), F.col("h").alias("h")).groupBy("bucket", "p", "m")
         probes, others = part(dealt.filter("probe"), own("pb", 1), to_all("mb")), part(dealt, to_all("pb"), own("mb", 2))
         more = probes.cogroup(others).applyInPandas(_joined(percent), "a long, b long")
-        merged = components(checkpointed(more.distinct())).select(F.col("node").alias("class"), F.col("component").alias("merged"))
-        classes = classes.join(merged, "class", "left").select("node", F.coalesce("merged", "class").alias("class"))
+        classes = merged(classes, more)
 
     of_set = sets.select("node", "doc_id", "copies").join(classes, "node")
     least = of_set.groupBy("class").agg(F.min("doc_id").alias("component_id"))
