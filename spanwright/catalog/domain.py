@@ -174,11 +174,11 @@ def slivers(spark, d):
 
 TOK = "list_distinct(string_split({0}, ' '))"
 Q = [
-    Query("cell_assign", "K5 K6 H5 J8 O3", lambda s, d: C.assigned(_claims(s, d), "at"), f"WITH {CLAIMS} SELECT x, y, arg_max(owner, seq) AS owner FROM claims GROUP BY x, y"),
+    Query("cell_assign", "K5 H5 J8 O3", lambda s, d: C.assigned(_claims(s, d), "at"), f"WITH {CLAIMS} SELECT x, y, arg_max(owner, seq) AS owner FROM claims GROUP BY x, y"),
     Query("cell_carve", "K4 H5 J8", cell_carve, f"WITH {CLAIMS}, {LAND}, o AS (SELECT x, y, arg_max(owner, seq) AS owner FROM claims GROUP BY x, y) SELECT * FROM o WHERE (x, y) NOT IN (SELECT (x, y) FROM land)"),
     Query("cell_clip", "K12 D10 E7 L4", cell_clip, f"""WITH {CLAIMS}, {LAND}, o AS (SELECT x, y, arg_max(owner, seq) AS owner FROM claims GROUP BY x, y), m AS (SELECT owner, count(*) AS cells, count(l.x) AS on_land FROM o LEFT JOIN land l USING (x, y) GROUP BY owner)
         SELECT *, CASE WHEN on_land = 0 THEN 'lost' WHEN on_land < cells THEN 'partly' ELSE 'ok' END AS status FROM m"""),
-    Query("cell_fallback", "J11 K13 K16", cell_fallback, f"""WITH {CLAIMS}, {LAND}, o AS (SELECT x, y, arg_max(owner, seq) AS owner FROM claims WHERE (x, y) NOT IN (SELECT (x, y) FROM land) GROUP BY x, y)
+    Query("cell_fallback", "J11 K16", cell_fallback, f"""WITH {CLAIMS}, {LAND}, o AS (SELECT x, y, arg_max(owner, seq) AS owner FROM claims WHERE (x, y) NOT IN (SELECT (x, y) FROM land) GROUP BY x, y)
         SELECT l.x, l.y, arg_min(owner, (dx * dx + dy * dy, owner)) AS owner FROM land l, {NINE}, o WHERE o.x = l.x + dx AND o.y = l.y + dy GROUP BY l.x, l.y"""),
     Query("cell_opening", "J12", lambda s, d: C.opened(_claims(s, d).select(F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y"))), f"""WITH {CLAIMS}, c AS (SELECT DISTINCT floor(x / 2)::INT AS x, floor(y / 2)::INT AS y FROM claims), k AS (SELECT x, y FROM c WHERE (SELECT count(*) FROM c o WHERE abs(o.x - c.x) <= 1 AND abs(o.y - c.y) <= 1) = 9)
         SELECT DISTINCT (x + dx)::INT AS x, (y + dy)::INT AS y FROM k, {NINE}"""),
