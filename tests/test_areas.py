@@ -143,11 +143,11 @@ def by_rules(land, owned, near, ratio, share, gap):
     return {(*c, *v) for c, v in rule.items()}
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
+@pytest.mark.parametrize("seed", [0, 1])
 def test_coast_rules_cell_by_cell(spark, seed):
     rng = random.Random(seed)
-    land = {(x, y) for x in range(-8, 14) for y in range(-6, 10) if rng.random() < (0.3, 0.45, 0.6)[seed]}
-    owned = {c: rng.choice("ABC") for c in sorted(land) if rng.random() < (0.06, 0.2, 0.35)[seed]}
+    land = {(x, y) for x in range(-8, 14) for y in range(-6, 10) if rng.random() < (0.3, 0.45)[seed]}
+    owned = {c: rng.choice("ABC") for c in sorted(land) if rng.random() < (0.06, 0.2)[seed]}
     got = K.settled(spark.createDataFrame(sorted(land), "x int, y int"), spark.createDataFrame([(*c, o) for c, o in owned.items()], "x int, y int, owner string"), share=0.4)
     assert {(r["x"], r["y"], r["owner"], r["rule"], r["round"]) for r in got.collect()} == by_rules(land, owned, 3, 2, 0.4, 1)
 
