@@ -7,7 +7,8 @@
    groups is a candidate where sizes allow the similarity and what follows the shared shingle in both can still make up the overlap,
    which holds at the first shingle that a similar pair shares.
 4. Of a bucket, the group whose buckets are fullest leads, and its pairs with the others are listed; buckets of at most `SMALL` groups list all
-   candidate pairs. Pairs are expanded to the members of the groups, and so are pairs inside a group. Whole sets of the leaders' pairs are compared
+   candidate pairs. Pairs are expanded to the members of the groups, and so are pairs inside a group. Counts of
+   shingles by parts of their hash rule out most pairs before sets move. Whole sets of the leaders' pairs are compared
    first and give classes; of the other pairs, those of different classes are compared after them, so that families of copies are not compared through.
 5. Links join sets to classes. In large buckets, all sets outside of the bucket's largest class still have to meet the sets of other
    classes: both are dealt into blocks of bounded size, and a task counts the overlaps of two blocks by products of 0-1 matrices.
@@ -39,6 +40,8 @@ SHINGLE, PERCENT = 4, 85
 CELLS, SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 1 << 18, 32, 256, 1 << 20, 4096
 #: Bits of a broadcast table that keeps most rows without partner out of a shuffle; a full table only keeps fewer out.
 BITS = 1 << 24
+#: Parts of the hash by which shingles are counted before whole sets move.
+PARTS = 128
 #: Words that a task remembers, texts hashed together.
 WORD_MEMORY, TEXTS = 250_000, 64
 
@@ -129,7 +132,21 @@ def _sets(size: int):
     def run(batches):
         for _, hashed in _read(batches, size, 0):
             sets = [np.unique(h) for h in hashed]
-            yield pa.RecordBatch.from_arrays([named(sets), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "h"])
+            counts = [np.bincount((h >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS).astype(np.int32) for h in sets]
+            yield pa.RecordBatch.from_arrays([named(sets), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (sets, counts))], names=["node", "h", "counts"])
+
+    return run
+
+
+def _may_be_similar(percent: int):
+    """Pairs whose counts of shingles by parts of the hash allow the similarity: in a part, no more are common than the lesser count."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(batch.num_rows, PARTS).astype(np.int64) for c in ("ca", "cb"))
+            most = np.minimum(x, y).sum(axis=1)
+            kept = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "led")], names=["a", "b", "led"]).filter(pa.array(kept))
 
     return run
 
@@ -261,9 +278,11 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     wanted = checkpointed(sets.join(wanted, "node", "left_semi").select("node", "doc_id", "n"))
     ids = wanted.select("doc_id").distinct()
     # where an id repeats, its other texts are read too and go
-    read = thinned(chosen, ids, "doc_id").join(ids, "doc_id").select("text").mapInArrow(_sets(size), "node long, h binary")
+    read = thinned(chosen, ids, "doc_id").join(ids, "doc_id").select("text").mapInArrow(_sets(size), "node long, h binary, counts binary")
     vectors = checkpointed(read.join(wanted.select("node", "n"), "node").dropDuplicates(["node"]))
 
+    x, y = (vectors.select(F.col("node").alias(s), F.col("counts").alias(f"c{s}")) for s in "ab")
+    expanded = checkpointed(expanded.join(y, "b").join(x, "a").select("a", "b", "led", "ca", "cb").mapInArrow(_may_be_similar(percent), "a long, b long, led boolean"))
     x, y = (vectors.select(F.col("node").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
     linked = lambda some: checkpointed(some.join(y, "b").join(x, "a").select("a", "b", "ha", "hb").mapInArrow(_similar(percent), "a long, b long"))
     found = components(linked(expanded.filter("led")))
