@@ -49,28 +49,25 @@ def frames(points: DataFrame, present: int) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: Sequence[str] = (), width: int = 256) -> DataFrame:
     """Each left row with the last right row at or before it (columns of right, null where there is none).
 
-    Right rows become half-open intervals up to the next one of the same key and are dealt to the buckets of
-    `width` that these touch, within the range of the left rows. A left row is in one bucket, so an outer equi-join on
-    bucket and key finds its interval, and AQE can split a busy bucket. The next row is looked for inside a
-    bucket first and then among the buckets' first rows, so no window sees all rows of a key. Of right rows
-    at the same place the greatest counts; null places and keys match nothing.
+    Places that are asked for or held are one row each for a key and lie in buckets of `width`. Inside a bucket a window carries the last
+    right row on; across buckets one over the buckets of a key does, of which there are never more than there are places. So the
+    work grows with the rows of both sides, however sparse they lie. The left rows then fetch what their place
+    was given by an outer equi-join that AQE can split. Of right rows at the same place the greatest counts; null places and keys match nothing.
     """
     names, key = [c for c in right.columns if c not in by], list(by)
-    bucket = lambda c: F.floor(c / width)
-    lo, hi = left.agg(F.min(left_at), F.max(left_at)).first()
-    rows = right.filter(F.col(right_at).isNotNull()).groupBy(*key, F.col(right_at).alias("__at")).agg(F.max(F.struct(*names)).alias("__r")).withColumn("__b", bucket(F.col("__at")))
-    firsts = rows.groupBy(*key, "__b").agg(F.min("__at").alias("__first"))
-    over = Window.partitionBy(*key).orderBy("__b") if key else Window.orderBy("__b")
-    following = firsts.select(*key, "__b", F.lead("__first").over(over).alias("__next"))
-    inside = F.lead("__at").over(Window.partitionBy(*key, "__b").orderBy("__at"))
-    spans = rows.withColumn("__inside", inside).join(following, [*key, "__b"], "left").withColumn("__until", F.coalesce("__inside", "__next"))
-    spans = spans.filter((F.col("__at") <= F.lit(hi)) & (F.col("__until").isNull() | (F.col("__until") > F.lit(lo))))
-    last = F.least(F.coalesce("__until", F.lit(hi)), F.lit(hi))
-    dealt = spans.withColumn("__bucket", F.explode(F.sequence(F.greatest(F.col("__b"), bucket(F.lit(lo))), bucket(last))))
-    l, r = left.withColumn("__left_bucket", bucket(F.col(left_at))).alias("l"), dealt.alias("r")
-    on = (F.col("l.__left_bucket") == F.col("r.__bucket")) & (F.col(f"l.{left_at}") >= F.col("r.__at")) & (F.col("r.__until").isNull() | (F.col(f"l.{left_at}") < F.col("r.__until")))
+    asked = left.select(*key, F.col(left_at).alias("__at"), F.lit(True).alias("__asked"), F.lit(None).cast(right.select(F.struct(*names)).schema[0].dataType).alias("__r"))
+    held = right.select(*key, F.col(right_at).alias("__at"), F.lit(False).alias("__asked"), F.struct(*names).alias("__r"))
+    rows = asked.unionByName(held).na.drop(subset=["__at", *key])
+    places = rows.groupBy(*key, "__at").agg(F.max("__asked").alias("__asked"), F.max("__r").alias("__r")).withColumn("__b", F.floor(F.col("__at") / width))
+    buckets = places.groupBy(*key, "__b").agg(F.max("__asked").alias("__asked"), F.max(F.when(F.col("__r").isNotNull(), F.struct("__at", "__r"))).alias("__last"))
+    over = (Window.partitionBy(*key) if key else Window).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = buckets.select(*key, "__b", "__asked", F.last("__last", True).over(over).alias("__before")).filter("__asked").select(*key, "__b", F.col("__before.__r").alias("__before"))
+    inside = F.last("__r", True).over(Window.partitionBy(*key, "__b").orderBy("__at"))
+    found = places.withColumn("__inside", inside).filter("__asked").join(before, [*key, "__b"]).select(*key, "__at", F.coalesce("__inside", "__before").alias("__r"))
+    l, r = left.alias("l"), found.alias("r")
+    on = F.col(f"l.`{left_at}`") == F.col("r.__at")
     for k in key:
-        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+        on = on & (F.col(f"l.`{k}`") == F.col(f"r.`{k}`"))
     return l.join(r, on, "left").select(*[F.col(f"l.`{c}`") for c in left.columns], *[F.col(f"r.__r.`{c}`").alias(c) for c in names])
 
 

@@ -179,6 +179,16 @@ def test_as_of_against_brute_force(spark, by):
     assert none.filter("v IS NULL").count() == len(left) == none.count()
 
 
+def test_as_of_of_sparse_keys(spark):
+    """Each key holds one right row, far before its only left row: as many rows as places come out of it, not one for each bucket between."""
+    n = 100_000
+    left = spark.range(n).select(F.col("id").alias("k"), F.lit(10**15).alias("at"))
+    right = spark.range(0, n, 2).select(F.col("id").alias("k"), (F.col("id") % 7).alias("since"), F.col("id").alias("v"))
+    got = intervals.as_of(left, right, "at", "since", ["k"], 16)
+    assert got.agg(F.count("*"), F.count("v"), F.sum((F.col("v") == F.col("k")).cast("int"))).first()[:] == (n, n // 2, n // 2)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_interval_join_by_key(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("aab"), lo, lo + rng.randint(0, 200)) for i in range(80) for lo in [rng.randint(1, 900)]]
