@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.llm import line_dedup, mixing, near_dup, packing, quality_rules
+from spanwright.llm.common import checkpointed
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage starts from a checkpoint of the one before it, so that its actions don't compute the earlier stages again, and
+    neither does the loss of an executor."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for place, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, checkpointed(docs) if place else docs, sf_dir)
     return docs
