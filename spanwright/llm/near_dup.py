@@ -1,11 +1,13 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of all words are counted over all documents. Words in at least `COMMON` of the
-   documents are kept, so their number is bounded by the mean count of distinct words over `COMMON` and does
-   not grow with the corpus; every other word has the highest inverse frequency.
+1. Document frequencies of all words are counted over all documents, into a table that stays in Spark. Words in
+   at least `COMMON` of the documents go to the tasks, so their number is bounded by the mean count of distinct
+   words over `COMMON` and does not grow with the corpus, and with them a sketch of `IDF_CELLS` sums of the others' counts.
 2. One scan hashes each whole text: its five-word shingles, weighted by term frequency times the mean
    inverse document frequency of their words, its consistent weighted samples in bands, and a key of its
-   words. Rows with the same key are one text from here on; its node is the least of their ids.
+   words. Rows with the same key are one text from here on; its node is the least of their ids. Here alone a rare
+   word's frequency is read from the sketch, which is never too low: it moves the chance that two texts meet a little, and no similarity.
+   Texts that met get the exact frequencies of their rare words by a join on the word, and their vectors from those.
 3. Texts that share a band's samples meet in that bucket. The leader of a bucket, the text whose buckets are
    the fullest, is compared with the others: pairs grow with the members, not with their square. Weighted
    Jaccard similarity of the whole shingle vectors decides; connected texts form a class.
@@ -43,6 +45,8 @@ BANDS, ROWS = 10, 3
 COMMON = 0.001
 #: Texts of a bucket whose pairs are listed, and in larger ones those that lead at once and that form a block.
 SMALL, LEADERS, BLOCK = 12, 128, 128
+#: Cells of the sketch of the other words' frequencies.
+IDF_CELLS = 1 << 20
 #: Words that a task remembers, and texts hashed together.
 WORD_MEMORY, TEXTS = 250_000, 64
 #: Cells of the sketch that says which shingles are rare; any order of shingles is right, the sketch's is a good one.
@@ -65,20 +69,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def inverse(counts: np.ndarray, n: int) -> np.ndarray:
+    return (1 + np.log(np.maximum(1, n / np.maximum(1, counts)))).astype(np.float32)
+
+
+def listed(hashes: np.ndarray, values: np.ndarray, h: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """The value of each of `h` in a list ordered by hash, or what stands in `otherwise`."""
+    if not len(hashes):
+        return otherwise
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return np.where(hashes[at] == h, values[at], otherwise)
+
+
 class Idf:
-    """Inverse document frequency by word hash; what is not listed is rare."""
+    """Inverse document frequency by word hash: of the common words exact, of others by the sketch or by a text's own list of counts."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, cells: np.ndarray | None = None):
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.values = (1 + np.log(np.maximum(1, n / np.maximum(1, counts[order])))).astype(np.float32)
-        self.rare = np.float32(1 + math.log(max(1.0, min(1 / COMMON, n))))
+        self.n, self.hashes, self.values = n, hashes[order], inverse(counts[order], n)
+        self.cells = np.full(IDF_CELLS, inverse(np.ones(1), n)[0]) if cells is None else inverse(np.minimum(cells, max(1, COMMON * n)), n)
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), self.rare, np.float32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.values[at], self.rare)
+        return listed(self.hashes, self.values, h, self.cells[(h % np.uint64(IDF_CELLS)).astype(np.int64)])
+
+    def rare(self, h: np.ndarray) -> np.ndarray:
+        """The words that are not common, each once."""
+        h = np.unique(h)
+        return h[~listed(self.hashes, np.ones(len(self.hashes), bool), h, np.zeros(len(h), bool))]
+
+    def exact(self, h: np.ndarray, rare: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """With the counts of the text's rare words; what is in neither list stands in one text alone."""
+        order = np.argsort(rare)
+        own = listed(rare[order], inverse(counts[order], self.n), h, np.full(len(h), inverse(np.ones(1), self.n)[0]))
+        return listed(self.hashes, self.values, h, own)
 
 
 class Words(dict):
@@ -161,18 +184,44 @@ def _sign(idf):
     return sign
 
 
+def _rare_words(idf):
+    def run(batches):
+        words = Words(idf.value)
+        for batch in batches:
+            found = [idf.value.rare(h) for h, _ in words.read(batch.column(1).to_pylist())]
+            sizes = [len(x) for x in found]
+            h = pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes), pa.int64()), h], names=["node", "h"])
+
+    return run
+
+
 def _vectors(idf):
     def run(batches):
         words = Words(idf.value)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(at, TEXTS)
-                found = [vector(*x) for x in words.read(some.column(1).to_pylist())]
+                found = []
+                for (h, _), rare, counts in zip(words.read(some.column(1).to_pylist()), some.column(2), some.column(3)):
+                    own = [np.asarray(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64) for x in (rare, counts)]
+                    found.append(vector(h, idf.value.exact(h, own[0].view(np.uint64), own[1])))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["node", "h", "w"])
 
     return run
 
 
+def weighted_vectors(texts: DataFrame, idf, counts: DataFrame) -> DataFrame:
+    """(node, h, w) of texts (node, text), one a node: full TF-IDF weights, from the table (h, n) of document frequencies.
+
+    The rare words of a text meet their frequencies by a join on the word. No key of it is hot, as common words take no part, and a word that
+    only one text has is not in the table.
+    """
+    rare = texts.mapInArrow(_rare_words(idf), "node long, h long").join(counts, "h")
+    own = rare.groupBy("node").agg(F.collect_list(F.struct("h", "n")).alias("rare")).select("node", F.col("rare.h").alias("rare"), F.col("rare.n").alias("counts"))
+    return texts.select("node", "text").join(own, "node", "left").select("node", "text", "rare", "counts").mapInArrow(_vectors(idf), "node long, h binary, w binary")
+
+
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
     at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
     both = hb[at] == ha
@@ -256,8 +305,8 @@ def split_buckets(vectors: DataFrame, threshold: float) -> DataFrame:
     return checkpointed(fitted(met.join(met.groupBy("node").agg(F.sum("n").alias("fill")), "node").select("bucket", "node", "fill"), rows))
 
 
-def word_idf(docs: DataFrame) -> Idf:
-    """Counted over all documents; what comes to the driver is bounded by `COMMON`."""
+def word_idf(docs: DataFrame) -> tuple[Idf, DataFrame]:
+    """What tasks know of the document frequencies, bounded by `COMMON` and `IDF_CELLS`, and the table (h, n) of those above 1."""
     n = docs.count()
 
     def count(batches):
@@ -275,9 +324,16 @@ def word_idf(docs: DataFrame) -> Idf:
                     seen.clear()
         yield rows()
 
-    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    common = counted.filter(F.col("n") >= max(2, COMMON * n)).toPandas()
-    return Idf(common["h"].to_numpy(dtype=np.int64).view(np.uint64), common["n"].to_numpy(dtype=np.float64), n)
+    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = checkpointed(counted)
+    frequent = F.col("n") >= max(2, COMMON * n)
+    common = counted.filter(frequent).toPandas()
+    others = counted.filter(~frequent)
+    # the remainder of the hash as it is without a sign
+    cell = F.col("h").bitwiseAND(IDF_CELLS - 1).alias("cell")
+    sums, cells = others.groupBy(cell).agg(F.sum("n").alias("n")).toPandas(), np.ones(IDF_CELLS)
+    cells[sums["cell"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.float64)
+    return Idf(common["h"].to_numpy(dtype=np.int64).view(np.uint64), common["n"].to_numpy(dtype=np.float64), n, cells), others
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,7 +345,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
 def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), no_text(text).alias("text"))
-    idf = spark.sparkContext.broadcast(word_idf(chosen))
+    known, counts = word_idf(chosen)
+    idf = spark.sparkContext.broadcast(known)
     signed = checkpointed(chosen.mapInArrow(_sign(idf), "doc_id long, key binary, bands array<long>"))
     keyed = signed.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     exact = keyed.groupBy("key").agg(F.min("doc_id").alias("node"))
@@ -302,8 +359,8 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
     met = fitted(met, rows)
     met = checkpointed(fitted(met.join(met.groupBy("node").agg(F.sum("n").alias("fill")), "node"), rows))
     wanted = met.select("node").distinct()
-    vectors = chosen.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_vectors(idf), "node long, h binary, w binary").dropDuplicates(["node"])
-    vectors = checkpointed(vectors)
+    one = checkpointed(chosen.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]))
+    vectors = checkpointed(weighted_vectors(one, idf, counts))
 
     def similar(pairs: DataFrame) -> DataFrame:
         a, b = (vectors.select(F.col("node").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}")) for s in "ab")

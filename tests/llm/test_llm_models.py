@@ -341,12 +341,11 @@ def test_toxicity_of_long_words_alone(text):
 
 
 def brute_classes(spark, docs):
-    words = near_dup.Words(near_dup.word_idf(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
-    vec = {}
-    for r in docs.collect():
-        h, w = words.read([r.text or ""])[0]
-        if len(h):
-            vec[r.doc_id] = near_dup.vector(h, w)
+    rows = {r.doc_id: (r.text or "").lower().split() for r in docs.collect()}
+    seen = collections.Counter(w for words in rows.values() for w in set(words))
+    idf = {w: 1 + math.log(len(rows) / n) for w, n in seen.items()}
+    code = {w: near_dup.xxhash.xxh64_intdigest(w.encode(), 42) for w in seen}
+    vec = {i: near_dup.vector(np.array([code[w] for w in words], np.uint64), np.array([idf[w] for w in words], np.float32)) for i, words in rows.items() if words}
     parent = {i: i for i in vec}
 
     def find(x):
@@ -354,13 +353,16 @@ def brute_classes(spark, docs):
             x = parent[x]
         return x
 
-    ids = sorted(vec)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if near_dup.weighted_jaccard(*vec[a], *vec[b]) >= near_dup.THRESHOLD:
+    holders = collections.defaultdict(set)
+    for i, (h, _) in vec.items():
+        for x in h.tolist():
+            holders[x].add(i)
+    for a in sorted(vec):
+        for b in set().union(*(holders[x] for x in vec[a][0].tolist())):
+            if a < b and near_dup.weighted_jaccard(*vec[a], *vec[b]) >= near_dup.THRESHOLD:
                 lo, hi = sorted((find(a), find(b)))
                 parent[hi] = lo
-    return {i: find(i) for i in ids}
+    return {i: find(i) for i in vec}
 
 
 def varied(seed: int, n: int, edits: int) -> list[str]:
@@ -383,6 +385,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(set(got.values())) == len(set(expected.values())) and got == expected
 
 
+def test_frequencies_of_rare_words_are_exact(spark):
+    """More documents than make all words common: pairs that a single frequency for all rare words would put on the other side of the threshold."""
+    rng = np.random.default_rng(11)
+    rows = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(6000)]
+    for i in range(150):
+        own, often = [f"r{i}x{j}" for j in range(60)], [f"w{x}" for x in rng.integers(0, 300, 40)]
+        share = int(rng.integers(2, 14))
+        rows += [" ".join(own + often), " ".join(own + often[share:] + [f"w{x}" for x in rng.integers(0, 300, share)])]
+        rows += [" ".join(own[:30] + often[:30])] * int(rng.integers(0, 2))
+        rows += [f"r{i}x59 r{i}x58 r{i}x57"] * int(rng.integers(0, 4))
+    docs = texts(spark, list(enumerate(rows))).repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    expected = brute_classes(spark, docs)
+    linked = [i for i, c in expected.items() if i >= 6000 and c != i]
+    assert 40 < len(linked) and got == expected
+    known, counts = near_dup.word_idf(docs)
+    seen = collections.Counter(w for t in rows for w in set(t.split()))
+    h = np.array([near_dup.xxhash.xxh64_intdigest(w.encode(), 42) for w in seen], np.uint64)
+    rare = {r.h: r.n for r in counts.collect()}
+    assert 0 < len(rare) and len(known.hashes) <= 300
+    own = np.array([rare.get(x, 1) for x in h.view(np.int64).tolist()])
+    assert np.allclose(known.exact(h, h, own), [1 + math.log(len(rows) / n) for n in seen.values()])
+    assert (known.of(h) <= known.exact(h, h, own) + 1e-6).all()
+
+
 def test_large_spread_group_loses_no_link(spark):
     """Near copies on both sides of the threshold, far more than a small bucket holds."""
     docs = texts(spark, list(enumerate(varied(8, 160, 10)))).repartition(4)
@@ -428,8 +455,8 @@ def test_rarest_shingles_meet(spark):
     assert near > 300
     passage = [f"common{i}" for i in range(60)]
     docs = spark.createDataFrame([(i, " ".join(passage + [f"own{i}x{j}" for j in range(60)])) for i in range(60)], "doc_id long, text string")
-    idf = spark.sparkContext.broadcast(near_dup.word_idf(docs))
-    vectors = docs.mapInArrow(near_dup._vectors(idf), "node long, h binary, w binary")
+    known, counts = near_dup.word_idf(docs)
+    vectors = near_dup.weighted_vectors(docs.withColumnRenamed("doc_id", "node"), spark.sparkContext.broadcast(known), counts)
     assert near_dup.split_buckets(vectors, 0.8).count() == 0
 
 
