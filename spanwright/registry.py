@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of the catalog, each with a list `Q` of queries.
-FAMILIES = ("intervals", "aggregates", "search", "spatial", "graph", "domain", "topology", "areas", "lines", "nearest", "reviewed", "overrides")
+FAMILIES = ("intervals", "aggregates", "search", "spatial", "graph", "domain", "topology", "areas", "lines", "nearest", "reviewed", "overrides", "noding")
 
 
 def all_queries() -> list:
