@@ -46,7 +46,7 @@ COMMON = 0.001
 #: Texts of a bucket whose pairs are listed, and in larger ones those that lead at once and that form a block.
 SMALL, LEADERS, BLOCK = 12, 128, 128
 #: Cells of the sketch of the other words' frequencies.
-IDF_CELLS = 1 << 20
+IDF_CELLS = 1 << 18
 #: Words that a task remembers, and texts hashed together.
 WORD_MEMORY, TEXTS = 250_000, 64
 #: Cells of the sketch that says which shingles are rare; any order of shingles is right, the sketch's is a good one.
@@ -331,8 +331,8 @@ def word_idf(docs: DataFrame) -> tuple[Idf, DataFrame]:
     others = counted.filter(~frequent)
     # the remainder of the hash as it is without a sign
     cell = F.col("h").bitwiseAND(IDF_CELLS - 1).alias("cell")
-    sums, cells = others.groupBy(cell).agg(F.sum("n").alias("n")).toPandas(), np.ones(IDF_CELLS)
-    cells[sums["cell"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.float64)
+    sums, cells = others.groupBy(cell).agg(F.sum("n").alias("n")).toPandas(), np.ones(IDF_CELLS, np.float32)
+    cells[sums["cell"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.float32)
     return Idf(common["h"].to_numpy(dtype=np.int64).view(np.uint64), common["n"].to_numpy(dtype=np.float64), n, cells), others
 
 
