@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwright.plans.materialise import checkpointed
+from spanwright.plans.materialise import checkpointed, sorted_side
 
 #: Vertices of a ring that one task holds together.
 BLOCK = 4096
@@ -22,7 +22,7 @@ def _renumbered(rows: DataFrame, *order: Column) -> DataFrame:
     before = F.coalesce(F.sum("n").over(of_ring.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("ring", "block", before.alias("before"), F.sum("n").over(of_ring).alias("size"))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("ring", "block").orderBy(*order)))
-    return rows.join(blocks, ["ring", "block"]).withColumn("place", F.col("before") + F.col("nth") - 1).drop("block", "before", "nth")
+    return rows.join(sorted_side(blocks), ["ring", "block"]).withColumn("place", F.col("before") + F.col("nth") - 1).drop("block", "before", "nth")
 
 
 def open_rings(points: DataFrame) -> DataFrame:
@@ -36,13 +36,13 @@ def open_rings(points: DataFrame) -> DataFrame:
     point = F.struct("at", "x", "y")
     ends = rows.groupBy("ring").agg(F.min(point).alias("a"), F.max(point).alias("b"))
     closing = ends.filter("a.at < b.at AND a.x = b.x AND a.y = b.y").select("ring", F.col("b.at").alias("at"))
-    return _renumbered(rows.join(closing, ["ring", "at"], "left_anti").withColumn("block", F.floor(F.col("at") / BLOCK)), F.col("at")).select("ring", "place", "x", "y", "size")
+    return _renumbered(rows.join(sorted_side(closing), ["ring", "at"], "left_anti").withColumn("block", F.floor(F.col("at") / BLOCK)), F.col("at")).select("ring", "place", "x", "y", "size")
 
 
 def sides(vertices: DataFrame) -> DataFrame:
     """(ring, place, ax, ay, bx, by): each vertex of open rings (ring, place, x, y, size) with the next one, by a join on the place."""
     after = vertices.select("ring", F.pmod(F.col("place") - 1, F.col("size")).alias("place"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return vertices.select("ring", "place", F.col("x").alias("ax"), F.col("y").alias("ay")).join(after, ["ring", "place"])
+    return vertices.select("ring", "place", F.col("x").alias("ax"), F.col("y").alias("ay")).join(sorted_side(after), ["ring", "place"])
 
 
 def noded(vertices: DataFrame, eps: float, end_eps: float | None = None, cell: float = 1.0) -> DataFrame:
@@ -71,7 +71,7 @@ def noded(vertices: DataFrame, eps: float, end_eps: float | None = None, cell: f
     ux, uy, px, py, qx, qy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), F.col("x") - F.col("bx"), F.col("y") - F.col("by")
     length2, along, across = ux * ux + uy * uy, px * ux + py * uy, ux * py - uy * px
     near = (along > 0) & (along < length2) & (across * across <= eps * eps * length2) & (px * px + py * py > far * far) & (qx * qx + qy * qy > far * far)
-    new = points.join(s, ["cx", "cy"]).filter(near).select("ring", "place", along.alias("along"), "x", "y")
+    new = points.join(sorted_side(s), ["cx", "cy"]).filter(near).select("ring", "place", along.alias("along"), "x", "y")
     rows = vertices.select("ring", "place", F.lit(0.0).alias("along"), "x", "y").unionByName(new).withColumn("block", F.floor(F.col("place") / BLOCK))
     return _renumbered(rows.withColumnRenamed("place", "at"), F.col("at"), F.col("along"), F.col("x"), F.col("y")).select("ring", "place", "x", "y", "size")
 
@@ -103,9 +103,12 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for b in batch.itertuples(index=False):
             k = _walked(b.xs, b.ys, b.whole)
-            out.append(pd.DataFrame({"ring": b.ring, "block": b.block, "at": b.places[k], "x": b.xs[k], "y": b.ys[k]}))
+            out.append((len(k), b.places[k], b.xs[k], b.ys[k]))
         if out:
-            yield pd.concat(out)
+            n, at, x, y = zip(*out)
+            of = np.repeat(np.arange(len(n)), n)
+            head = batch[["ring", "block"]].iloc[of].reset_index(drop=True)
+            yield head.assign(at=np.concatenate(at), x=np.concatenate(x), y=np.concatenate(y))
 
 
 def despiked(vertices: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -126,7 +129,7 @@ def despiked(vertices: DataFrame, block: int = BLOCK) -> DataFrame:
         listed = rows.groupBy("ring", "whole", F.floor(F.col("at") / block).alias("block")).agg(F.sort_array(F.collect_list(point)).alias("p"))
         listed = listed.select("ring", "whole", "block", F.col("p.at").alias("places"), F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
         left = _renumbered(listed.mapInPandas(_blocks, f"ring {kind}, block long, at long, x double, y double"), F.col("at"))
-        left = checkpointed(left.join(rows.filter("NOT whole").groupBy("ring").agg(F.max("size").alias("was")), "ring", "left"))
+        left = checkpointed(left.join(sorted_side(rows.filter("NOT whole").groupBy("ring").agg(F.max("size").alias("was"))), "ring", "left"))
         done.append(left.filter("was IS NULL").select("ring", "place", "x", "y", "size"))
         state = left.filter("was IS NOT NULL")
         idle = 0 if not state.filter("size < was").isEmpty() else idle + 1

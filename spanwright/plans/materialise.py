@@ -1,4 +1,4 @@
-"""Cutting lineage where a loop or a numbering needs it."""
+"""Cutting lineage where a loop or a numbering needs it, and joins that stay off the driver."""
 
 from __future__ import annotations
 
@@ -29,3 +29,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input. Spark takes a few columns of a file, exploded or in a loop, for smaller than they are and
+    would broadcast them through the driver; the join is a sort-merge join instead, whose hot keys AQE can split."""
+    return df.hint("merge")
