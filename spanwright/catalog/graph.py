@@ -10,6 +10,7 @@ from spanwright.functions import colour as C
 from spanwright.functions.text import fnv1a
 from spanwright.functions.years import to_astronomical
 from spanwright.operators import games, graph
+from spanwright.plans.materialise import sorted_side
 from spanwright.plans.packing import collected_costs, furthest_within
 from spanwright.sources.tables import RECORDS_SQL, records, table
 
@@ -33,7 +34,7 @@ def order_components(spark, d):
     """Parts bought together, counted by component."""
     x = table(spark, d, "lineitem")
     first = x.groupBy("l_orderkey").agg(F.min("l_partkey").alias("b"))
-    edges = x.join(first, "l_orderkey").select(F.col("l_partkey").alias("a"), "b")
+    edges = x.join(sorted_side(first), "l_orderkey").select(F.col("l_partkey").alias("a"), "b")
     return graph.components(edges).groupBy("component").agg(F.count("*").alias("parts"))
 
 

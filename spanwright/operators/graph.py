@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.plans.materialise import checkpointed
+from spanwright.plans.materialise import checkpointed, sorted_side
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,22 +16,22 @@ def components(edges: DataFrame) -> DataFrame:
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
     while True:
-        of_neighbours = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        lower = labels.join(of_neighbours, "node").select("node", F.least("component", "m").alias("component"))
+        of_neighbours = both.join(sorted_side(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        lower = labels.join(sorted_side(of_neighbours), "node").select("node", F.least("component", "m").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = checkpointed(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
-        if new.join(labels, ["node", "component"], "left_anti").isEmpty():
+        new = checkpointed(lower.join(sorted_side(jump), "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
+        if new.join(sorted_side(labels), ["node", "component"], "left_anti").isEmpty():
             return new
         labels = new
 
 
 def reachable(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(a, b): every b that a reaches over one edge or more; `start` limits the a's (column a). Cycles end it."""
-    found = checkpointed((edges if start is None else edges.join(start, "a", "left_semi")).select("a", "b").distinct())
+    found = checkpointed((edges if start is None else edges.join(sorted_side(start), "a", "left_semi")).select("a", "b").distinct())
     front = found
     step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
     while not front.isEmpty():
-        front = checkpointed(front.join(step, "b").select("a", F.col("c").alias("b")).distinct().join(found, ["a", "b"], "left_anti"))
+        front = checkpointed(front.join(sorted_side(step), "b").select("a", F.col("c").alias("b")).distinct().join(sorted_side(found), ["a", "b"], "left_anti"))
         found = checkpointed(found.unionByName(front))
     return found
 
@@ -42,12 +42,12 @@ def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     done, level = None, 0
     while True:
-        waiting = edges.join(left.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node"))
-        ready = checkpointed(left.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)))
+        waiting = edges.join(sorted_side(left.withColumnRenamed("node", "a")), "a", "left_semi").select(F.col("b").alias("node"))
+        ready = checkpointed(left.join(sorted_side(waiting), "node", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             return (done if done is not None else ready), left
         done = ready if done is None else done.unionByName(ready)
-        left, level = checkpointed(left.join(ready, "node", "left_anti")), level + 1
+        left, level = checkpointed(left.join(sorted_side(ready), "node", "left_anti")), level + 1
 
 
 def recipe_costs(recipes: DataFrame, known: DataFrame) -> DataFrame:
@@ -59,9 +59,9 @@ def recipe_costs(recipes: DataFrame, known: DataFrame) -> DataFrame:
     costs = checkpointed(known.select("item", F.lit(0).cast("long").alias("cost")))
     while True:
         x, y = costs.select(F.col("item").alias("x"), F.col("cost").alias("cx")), costs.select(F.col("item").alias("y"), F.col("cost").alias("cy"))
-        made = recipes.join(x, "x").join(y, "y").select(F.col("result").alias("item"), (1 + F.col("cx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("cy"))).alias("cost"))
+        made = recipes.join(sorted_side(x), "x").join(sorted_side(y), "y").select(F.col("result").alias("item"), (1 + F.col("cx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("cy"))).alias("cost"))
         new = checkpointed(costs.unionByName(made).groupBy("item").agg(F.min("cost").alias("cost")))
-        if new.join(costs, ["item", "cost"], "left_anti").isEmpty():
+        if new.join(sorted_side(costs), ["item", "cost"], "left_anti").isEmpty():
             return new
         costs = new
 
