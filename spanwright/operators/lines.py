@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from spanwright.plans.materialise import checkpointed
 
-#: Segments with at most so many inner points are finished in one task.
-BLOCK = 4096
+#: Segments with at most so many inner points are finished in one task: 50 MB of places and coordinates.
+BLOCK = 1 << 21
+#: Points of a run whose bounding box tells whether the farthest point may be among them.
+RUN = 1024
 
 
 def distance2(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -23,29 +25,85 @@ def distance2(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Colu
     return F.when((length2 == 0) | (along <= 0), px * px + py * py).when(along >= length2, qx * qx + qy * qy).otherwise(across * across / length2)
 
 
-def _distances2(x: np.ndarray, y: np.ndarray, i: int, j: int) -> np.ndarray:
-    ux, uy, px, py = x[j] - x[i], y[j] - y[i], x[i + 1 : j] - x[i], y[i + 1 : j] - y[i]
+def _distances2(x: np.ndarray, y: np.ndarray, ax: float, ay: float, bx: float, by: float) -> np.ndarray:
+    ux, uy, px, py = bx - ax, by - ay, x - ax, y - ay
     length2, along, across = ux * ux + uy * uy, px * ux + py * uy, ux * py - uy * px
-    qx, qy = x[i + 1 : j] - x[j], y[i + 1 : j] - y[j]
+    qx, qy = x - bx, y - by
     inner = across * across / (length2 or 1.0)
     return np.where((along <= 0) | (length2 == 0), px * px + py * py, np.where(along >= length2, qx * qx + qy * qy, inner))
 
 
+class _Runs:
+    """The farthest point of a segment without a look at all its points.
+
+    Distance from a segment is convex, so no point of a run is farther than a corner of the run's box. Runs are looked at by falling bounds
+    until none can hold a farther point. Bounds get room for rounding; where coordinates are whole and small the steps
+    are exact, and runs that can only equal an earlier point are left out too.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, run: int = RUN) -> None:
+        self.x, self.y, self.run = x, y, run
+        n = len(x) // run
+        boxes = [f(c[: n * run].reshape(n, run), axis=1) for c in (x, y) for f in (np.min, np.max)]
+        self.corners = np.stack([boxes[0], boxes[0], boxes[1], boxes[1]]), np.stack([boxes[2], boxes[3], boxes[2], boxes[3]])
+        self.extent = max(np.ptp(x), np.ptp(y), np.abs(x).max(), np.abs(y).max())
+        self.exact = bool(self.extent < 2**24 and (x == np.floor(x)).all() and (y == np.floor(y)).all())
+
+    def farthest(self, i: int, j: int) -> tuple[float, int]:
+        """The squared distance and the index of the farthest point between `i` and `j`, the first of equals."""
+        x, y, run = self.x, self.y, self.run
+        ends = x[i], y[i], x[j], y[j]
+        best, at = -1.0, -1
+
+        def look(lo: int, hi: int) -> None:
+            nonlocal best, at
+            if lo < hi:
+                d2 = _distances2(x[lo:hi], y[lo:hi], *ends)
+                k = int(d2.argmax())
+                if d2[k] > best or (d2[k] == best and lo + k < at):
+                    best, at = d2[k], lo + k
+
+        first, last = -(-(i + 1) // run), j // run
+        if last - first < 2:
+            look(i + 1, j)
+            return best, at
+        look(i + 1, first * run)
+        look(last * run, j)
+        cx, cy = (c[:, first:last] for c in self.corners)
+        bounds = _distances2(cx, cy, *ends).max(axis=0)
+        ux, uy = ends[2] - ends[0], ends[3] - ends[1]
+        length2 = ux * ux + uy * uy
+        start = np.arange(first, last) * run
+        if self.exact:
+            along = (cx - ends[0]) * ux + (cy - ends[1]) * uy
+            settled = ((along > 0) & (along < length2)).all(axis=0)
+            bounds = np.where(settled, bounds, bounds * (1 + 1e-9))
+        else:
+            room = 2.0**-46 * self.extent * (self.extent / np.sqrt(length2) if length2 > 0 else 1.0)
+            bounds, settled = (np.sqrt(bounds) * (1 + 1e-9) + room) ** 2, False
+        while True:
+            bounds[(bounds < best) | (settled & (bounds == best) & (start > at))] = -1.0
+            k = int(bounds.argmax())
+            if bounds[k] < 0:
+                return best, at
+            look(int(start[k]), int(start[k]) + run)
+            bounds[k] = -1.0
+
+
 def _finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The points to keep inside segments, each a row with its inner points in order."""
     for batch in batches:
         out = []
         for s in batch.itertuples(index=False):
             x, y = (np.concatenate(([a], inner, [b])) for a, inner, b in ((s.ax, s.xs, s.bx), (s.ay, s.ys, s.by)))
-            keep, todo = [], [(0, len(x) - 1, s.must)]
+            keep, todo, runs = [], [(0, len(x) - 1, s.must)], _Runs(x, y)
             while todo:
                 i, j, must = todo.pop()
                 if j - i > 1:
-                    d2 = _distances2(x, y, i, j)
-                    k = int(d2.argmax())  # the first of equals
-                    if d2[k] > s.tolerance * s.tolerance or (must > 0 and d2[k] > 0):
-                        keep.append(i + 1 + k)
-                        todo += [(i, i + 1 + k, must - 1), (i + 1 + k, j, must - 1)]
+                    d2, k = runs.farthest(i, j)
+                    if d2 > s.tolerance * s.tolerance or (must > 0 and d2 > 0):
+                        keep.append(k)
+                        todo += [(i, k, must - 1), (k, j, must - 1)]
             if keep:
                 k = np.array(sorted(keep))
                 out.append(pd.DataFrame({"line": s.line, "place": s.places[k - 1], "x": x[k], "y": y[k]}))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from spanwright import registry
-from spanwright.operators import graph, noding
+from spanwright.operators import graph, lines, noding
 from spanwright.plans import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,25 @@ def plans(monkeypatch):
 def test_growing_sides_are_not_broadcast(spark, plans, name):
     plans.append(_plan(registry.queries()[name](spark, SF)))
     assert not [p for p in plans if "BroadcastExchange" in p]
+
+
+@pytest.mark.parametrize("kind", ["whole", "flat", "steep", "real", "tiny"])
+def test_farthest_by_boxes_of_runs(kind):
+    rng = np.random.default_rng(3)
+    x = np.arange(900.0)
+    y = {"whole": rng.integers(0, 90, 900) * 1.0, "flat": rng.integers(0, 3, 900) * 1.0, "steep": rng.integers(0, 90, 900) * 100.0, "real": rng.normal(size=900), "tiny": 1e7 + rng.random(900) * 1e-3}[kind]
+    if kind in ("steep", "tiny"):
+        x = np.cumsum(rng.integers(-3, 4, 900)) * (1.0 if kind == "steep" else 1e-3)
+    runs = lines._Runs(x, y, 16)
+    for _ in range(400):
+        i, j = sorted(rng.choice(900, 2, replace=False))
+        if j - i > 1:
+            d2 = lines._distances2(x[i + 1 : j], y[i + 1 : j], x[i], y[i], x[j], y[j])
+            assert runs.farthest(i, j) == (d2.max(), i + 1 + d2.argmax())
+
+
+def test_a_line_that_parts_near_its_ends_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(lines, "checkpointed", lambda df: rounds.append(1) or materialise.checkpointed(df))
+    rows = spark.range(20_000).selectExpr("'a' AS line", "id AS place", "id AS x", "(id * 7919) % 100 AS y", "60.0 AS tolerance")
+    assert lines.simplified(rows).count() > 100 and len(rounds) < 6
