@@ -22,7 +22,7 @@ PTS = f"c AS (SELECT c_custkey AS id, {points_sql('c_custkey')} FROM customer),
 
 
 def cell_join(spark, d):
-    return S.within(_customers(spark, d), _suppliers(spark, d), 5.0).groupBy("r_id").agg(F.count("*").alias("n"), F.min("d2").alias("d2"), F.min("l_id").alias("first_id"))
+    return S.counted_within(_customers(spark, d), _suppliers(spark, d), 5.0)
 
 
 def knn_ratio(spark, d):

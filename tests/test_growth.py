@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from spanwright import registry
-from spanwright.operators import graph, lines, noding
+from spanwright.operators import graph, lines, noding, spatial
 from spanwright.plans import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,20 @@ def test_a_line_that_parts_near_its_ends_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(lines, "checkpointed", lambda df: rounds.append(1) or materialise.checkpointed(df))
     rows = spark.range(20_000).selectExpr("'a' AS line", "id AS place", "id AS x", "(id * 7919) % 100 AS y", "60.0 AS tolerance")
     assert lines.simplified(rows).count() > 100 and len(rounds) < 6
+
+
+def test_equal_points_meet_once_for_a_place(spark):
+    """Forty thousand points at four places: by points these were 400 million pairs."""
+    left = spark.range(20_000).selectExpr("id", "CAST(id % 4 AS double) AS lon", "0.0 AS lat")
+    right = spark.range(20_000).selectExpr("id", "CAST(id % 2 * 20 AS double) AS lon", "0.5 AS lat")
+    got = {r[:] for r in spatial.nearest_unless_ambiguous(left, right, 3.0, 1.5).select("nearest", "reason").distinct().collect()}
+    assert got == {(None, "ambiguous"), (None, "none")}
+    one = right.filter("id < 2")
+    got = {r[:] for r in spatial.nearest_unless_ambiguous(left, one, 3.0, 1.5).collect()}
+    assert got == {(i, 0 if i % 4 < 3 else None, "alone" if i % 4 < 3 else "none") for i in range(20_000)}
+    assert {r[1:] for r in spatial.counted_within(left, right, 2.5).collect()} == {(15_000, 0.25, 0)}
+
+
+def test_frames_meet_records_without_a_shuffle_of_records(spark):
+    plan = _plan(registry.queries()["frame_alive_join"](spark, SF))
+    assert "SortMergeJoin" not in plan and "hashpartitioning(__bucket" not in plan and "BroadcastHashJoin" in plan
