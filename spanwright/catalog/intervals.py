@@ -39,9 +39,11 @@ def alive_at_year(spark, d):
 
 def frame_alive_join(spark, d):
     f = _frames(spark, d).select(F.col("from_year").alias("f0"), F.col("to_year").alias("f1"), F.col("from_year").alias("at"))
-    alive = I.interval_join(records(spark, d), f, ("from_year", "to_year"), ("at", "at"))
+    # records of equal years are one row first, and frames begin in distinct years of [LO, HI]: what is joined is bounded by years, not by records
     top = F.max(F.struct(F.col("a"), (-F.col("id")).alias("minus"), F.col("pid"))).alias("top")
-    return alive.groupBy("f0", "f1").agg(F.count("*").alias("n_alive"), F.round(F.sum("a"), 2).alias("area"), top).select("f0", "f1", "n_alive", "area", F.col("top.pid").alias("top_pid"))
+    spans = records(spark, d).groupBy("from_year", "to_year").agg(F.count("*").alias("n"), F.sum("a").alias("a"), top)
+    alive = I.interval_join(spans, F.broadcast(f), ("from_year", "to_year"), ("at", "at")).groupBy("f0", "f1").agg(F.sum("n").alias("n_alive"), F.round(F.sum("a"), 2).alias("area"), F.max("top").alias("top"))
+    return alive.select("f0", "f1", "n_alive", "area", F.col("top.pid").alias("top_pid"))
 
 
 def _chunks(spark):

@@ -70,6 +70,7 @@ def test_equal_points_meet_once_for_a_place(spark):
     assert {r[1:] for r in spatial.counted_within(left, right, 2.5).collect()} == {(15_000, 0.25, 0)}
 
 
-def test_frames_meet_records_without_a_shuffle_of_records(spark):
-    plan = _plan(registry.queries()["frame_alive_join"](spark, SF))
-    assert "SortMergeJoin" not in plan and "hashpartitioning(__bucket" not in plan and "BroadcastHashJoin" in plan
+def test_frames_meet_years_and_not_records(spark):
+    plan = registry.queries()["frame_alive_join"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # from the top down: the last aggregate, the join, and below it the aggregate of records of equal years
+    assert "strategy=broadcast" in plan and plan.index("Join Inner") < plan.index("Aggregate [from_year")
