@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwright.plans.materialise import sorted_side
+
 #: Folders in order of application; units are read from the last.
 KINDS = ("early", "historical", "modern")
 _FILE = "kind string, region string, entries array<string>, units array<string>, _corrupt_record string"
@@ -63,7 +65,7 @@ def _with_first(items: DataFrame) -> DataFrame:
     """Each item with the first place and file of its id, by an aggregation and a join back that only repeated ids need."""
     at = F.struct("order", "file", "place")
     first = items.groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").select("id", "first")
-    return items.join(first, "id", "left").withColumn("later", F.coalesce(at != F.col("first"), F.lit(False)))
+    return items.join(sorted_side(first), "id", "left").withColumn("later", F.coalesce(at != F.col("first"), F.lit(False)))
 
 
 def overrides(files: DataFrame, present: int, kinds: Sequence[str] = KINDS) -> Overrides:
@@ -98,6 +100,6 @@ def overrides(files: DataFrame, present: int, kinds: Sequence[str] = KINDS) -> O
     size = lambda c: F.greatest(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))), F.lit(0)).cast("long")
     kept = units.filter("NOT later")
     in_file = kept.groupBy("file").agg(F.count("*").alias("n_units"))
-    heads = good.select("file", "kind", F.col("read.region").alias("region"), size("read.entries").alias("n_entries")).join(in_file, "file", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0).cast("long")))
+    heads = good.select("file", "kind", F.col("read.region").alias("region"), size("read.entries").alias("n_entries")).join(sorted_side(in_file), "file", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0).cast("long")))
     shown = ("file", "kind", "place", "id", "from_year", "to_year", "status", "error", "body")
     return Overrides(heads, entries.select(*shown), kept.select(*shown), problems)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
 from spanwright import registry
+from spanwright.catalog import overrides
 from spanwright.operators import graph, lines, noding, spatial
 from spanwright.plans import materialise
 
@@ -74,3 +77,9 @@ def test_frames_meet_years_and_not_records(spark):
     plan = registry.queries()["frame_alive_join"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     # from the top down: the last aggregate, the join, and below it the aggregate of records of equal years
     assert "strategy=broadcast" in plan and plan.index("Join Inner") < plan.index("Aggregate [from_year")
+
+
+def test_override_texts_do_not_take_a_file_each(spark):
+    folder = overrides.written(spark, "/root/testdata/sf0.01").removeprefix("file:")
+    files = [f for _, _, names in os.walk(folder) for f in names if f.startswith("part-")]
+    assert spark.read.parquet(folder).count() == 59 > len(files)
