@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions.years import overlaps
-from spanwright.plans.materialise import checkpointed
+from spanwright.plans.materialise import checkpointed, sorted_side
 
 SETS = ("union", "intersection", "difference")
+#: Operations over one child that a task joins with its cells.
+SHARE = 64
 
 
 def _leaves(nodes: DataFrame, named: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,21 +44,25 @@ def _leaves(nodes: DataFrame, named: DataFrame, records: DataFrame) -> tuple[Dat
 
 
 def _level(edges: DataFrame, areas: DataFrame) -> DataFrame:
-    """(key, x, y) of operations (key, op, child, base) over the areas of their children."""
-    of = edges.groupBy("key").agg(F.count_distinct("child").alias("children"), F.first("op").alias("op"))
-    met = edges.join(areas.withColumnRenamed("key", "child"), "child").groupBy("key", "x", "y").agg(F.count_distinct("child").alias("n"), F.max("base").alias("in_base"), F.max(~F.col("base")).alias("in_rest"))
-    keep = F.when(F.col("op") == "union", True).when(F.col("op") == "intersection", F.col("n") == F.col("children")).otherwise(F.col("in_base") & ~F.col("in_rest"))
-    return met.join(of, "key").filter(keep).select("key", "x", "y")
+    """(key, x, y) of operations (key, op, child, base) over the areas of their children.
 
+    A child that many operations share is dealt to several tasks: its operations by shares of SHARE, its cells to each share.
+    """
+    shares = checkpointed(edges.groupBy("child").agg(F.ceil(F.count("*") / SHARE).alias("shares")))
+    edges = edges.join(sorted_side(shares), "child").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares"))).drop("shares")
+    cells = areas.withColumnRenamed("key", "child").join(sorted_side(shares), "child").select("child", "x", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    of = edges.groupBy("key").agg(F.count_distinct("child").alias("children"))
+    # a child is at most once in the base and once in the rest of an operation, and cells of a child are distinct
+    met = edges.join(sorted_side(cells), ["child", "share"]).groupBy("key", "op", "x", "y").agg(F.count(F.when(~F.col("base"), 1)).alias("n"), F.max("base").alias("in_base"))
+    keep = F.when(F.col("op") == "union", True).when(F.col("op") == "intersection", F.col("n") == F.col("children")).otherwise(F.col("in_base") & (F.col("n") == 0))
+    return met.join(sorted_side(of), "key").filter(keep).select("key", "x", "y")
 
-def resolved(nodes: DataFrame, named: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((tree, x, y) of the trees without a problem, (tree, node, problem)).
 
-    `named` is (kind, code, x, y); `records` is (pid, from_year, to_year, x, y). A round takes the nodes whose children are known.
-    """
+def _keyed(nodes: DataFrame, named: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame], DataFrame]:
+    """Areas of leaves, (tree, key) of the trees without a problem, the sound operations by rounds, (tree, node, problem); none needs the areas of operations."""
     nodes = checkpointed(nodes.select("tree", "node", "parent", "place", "op", "kind", "codes", "pid", "year"))
     areas, leaves = _leaves(nodes, named, records)
-    areas, done = checkpointed(areas), checkpointed(leaves)
+    done, rounds = checkpointed(leaves), []
     inner = nodes.filter(F.col("op").isin(*SETS)).select("tree", "node", "op")
     child = nodes.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node"), F.col("node").alias("of"), "place")
     family = checkpointed(inner.join(child, ["tree", "node"], "left"))
@@ -81,12 +87,28 @@ def resolved(nodes: DataFrame, named: DataFrame, records: DataFrame) -> tuple[Da
         level = checkpointed(ready.select("tree", "node", "op", "base", "rest", F.sha2(F.concat_ws("(", "op", parts), 256).alias("key"), problem.alias("problem")))
         if level.isEmpty():
             break
-        sound = level.filter("problem IS NULL").dropDuplicates(["key"])
-        fresh = sound.join(areas.select("key").distinct(), "key", "left_anti")
-        edges = fresh.select("key", "op", F.explode("rest").alias("child"), F.lit(False).alias("base")).unionByName(fresh.filter("op = 'difference'").select("key", "op", F.col("base").alias("child"), F.lit(True).alias("base")))
-        areas = checkpointed(areas.unionByName(_level(edges, areas)))
+        rounds.append(level.filter("problem IS NULL").dropDuplicates(["key"]).select("key", "op", "base", "rest"))
         done = checkpointed(done.unionByName(level.select("tree", "node", "key", "problem")))
     unresolved = inner.join(done.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node", F.lit("below or on a cycle, or over a problem").alias("problem"))
     problems = checkpointed(done.filter("problem IS NOT NULL").select("tree", "node", "problem").unionByName(unknown_op).unionByName(lost).unionByName(roots).unionByName(unresolved))
     tops = nodes.filter("parent IS NULL").join(done.filter("problem IS NULL"), ["tree", "node"]).join(problems.select("tree").distinct(), "tree", "left_anti")
-    return tops.select("tree", "key").join(areas, "key").select("tree", "x", "y"), problems
+    return areas, tops.select("tree", "key"), rounds, problems
+
+
+def problems(nodes: DataFrame, named: DataFrame, records: DataFrame) -> DataFrame:
+    """(tree, node, problem), without the areas."""
+    return _keyed(nodes, named, records)[3]
+
+
+def resolved(nodes: DataFrame, named: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((tree, x, y) of the trees without a problem, (tree, node, problem)).
+
+    `named` is (kind, code, x, y); `records` is (pid, from_year, to_year, x, y). A round takes the nodes whose children are known.
+    """
+    areas, tops, rounds, wrong = _keyed(nodes, named, records)
+    areas = checkpointed(areas)
+    for sound in rounds:
+        fresh = checkpointed(sound.join(sorted_side(areas.select("key").distinct()), "key", "left_anti"))
+        edges = fresh.select("key", "op", F.explode("rest").alias("child"), F.lit(False).alias("base")).unionByName(fresh.filter("op = 'difference'").select("key", "op", F.col("base").alias("child"), F.lit(True).alias("base")))
+        areas = areas.unionByName(checkpointed(_level(edges, areas)))
+    return tops.join(sorted_side(areas), "key").select("tree", "x", "y"), wrong

@@ -9,7 +9,7 @@ import pytest
 
 from spanwright import registry
 from spanwright.catalog import overrides
-from spanwright.operators import graph, lines, noding, spatial
+from spanwright.operators import graph, lines, noding, spatial, specs
 from spanwright.plans import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,19 @@ def test_override_texts_do_not_take_a_file_each(spark):
     folder = overrides.written(spark, "/root/testdata/sf0.01").removeprefix("file:")
     files = [f for _, _, names in os.walk(folder) for f in names if f.startswith("part-")]
     assert spark.read.parquet(folder).count() == 59 > len(files)
+
+
+def test_problems_of_specifications_need_no_areas(spark, monkeypatch):
+    monkeypatch.setattr(specs, "_level", lambda *_: pytest.fail("areas of operations"))
+    assert registry.queries()["spec_problems"](spark, SF).count() > 0
+
+
+def test_a_child_of_many_operations_is_dealt_to_tasks(spark, monkeypatch):
+    plans: list[str] = []
+    monkeypatch.setattr(specs, "checkpointed", lambda df: plans.append(_plan(df)) or materialise.checkpointed(df))
+    edges = spark.range(1000).selectExpr("concat('k', id) AS key", "'difference' AS op", "IF(id % 2 = 0, 'p', 'q') AS child", "true AS base")
+    edges = edges.unionByName(edges.selectExpr("key", "op", "'q' AS child", "false AS base"))
+    areas = spark.createDataFrame([(k, x, 0) for k, x in (("p", 1), ("p", 2), ("q", 2), ("q", 3))], "key string, x int, y int")
+    got = {r[:] for r in specs._level(edges, areas).collect()}
+    assert got == {(f"k{i}", 1, 0) for i in range(0, 1000, 2)}
+    assert "share" in _plan(specs._level(edges, areas)) and not [p for p in plans if "BroadcastExchange" in p]
