@@ -8,10 +8,11 @@
    which holds at the first shingle that a similar pair shares.
 4. Of a bucket, the group whose buckets are fullest leads, and its pairs with the others are listed; buckets of at most `SMALL` groups list all
    candidate pairs. Pairs are expanded to the members of the groups, and so are pairs inside a group. Counts of
-   shingles by parts of their hash rule out most pairs before sets move. Whole sets of the leaders' pairs are compared
-   first and give classes; of the other pairs, those of different classes are compared after them, so that families of copies are not compared through.
+   shingles by parts of their hash, kept by the second scan, rule out most pairs before a text is read again. Whole sets of the leaders' pairs are
+   compared first and give classes; of the other pairs, those of different classes are compared after them, so that families of copies are not compared through.
 5. Links join sets to classes. In large buckets, all sets outside of the bucket's largest class still have to meet the sets of other
-   classes: both are dealt into blocks of bounded size, and a task counts the overlaps of two blocks by products of 0-1 matrices.
+   classes: both are dealt into blocks of bounded size. The counts by parts meet first; the sets that they leave meet whole, where
+   a task counts the overlaps of two blocks by products of 0-1 matrices.
    Only classes are joined there, so no pair of copies is listed. Groups of more than `SMALL` sets are such buckets too.
 
 What stays quadratic are large numbers of sets with a rare shingle in common that are similar to no other, a matrix product for two blocks.
@@ -32,16 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import checkpointed, fitted, no_text, table
+from spanwright.llm.common import checkpointed, fitted, no_text, table, thinned
 from spanwright.llm.graph import components
 
 SHINGLE, PERCENT = 4, 85
 #: Cells of the sketch; groups of a bucket whose pairs are listed; sets and shingles of a block; columns of a matrix.
 CELLS, SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 1 << 18, 32, 256, 1 << 20, 4096
-#: Bits of a broadcast table that keeps most rows without partner out of a shuffle; a full table only keeps fewer out.
-BITS = 1 << 24
-#: Parts of the hash by which shingles are counted before whole sets move.
-PARTS = 128
+#: Parts of the hash by which shingles are counted before whole sets move, as bytes, and sets whose counts form a block.
+PARTS, COUNTED = 128, 2048
 #: Words that a task remembers, texts hashed together.
 WORD_MEMORY, TEXTS = 250_000, 64
 
@@ -123,7 +122,8 @@ def _sign(counts, size: int, percent: int):
             first = [prefix(h, counts.value, percent) if len(h) else h for h in sets]
             n = np.array([len(h) for h in sets], np.int64)
             groups = named([np.append(f, m) if m else f for f, m in zip(first, n.astype(np.uint64))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), named(sets), groups, pa.array([h.view(np.int64) for h in first], pa.list_(pa.int64()))], names=["doc_id", "n", "node", "g", "prefix"])
+            counted = pa.array([by_part(h) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), named(sets), groups, pa.array([h.view(np.int64) for h in first], pa.list_(pa.int64())), counted], names=["doc_id", "n", "node", "g", "prefix", "counts"])
 
     return run
 
@@ -132,35 +132,55 @@ def _sets(size: int):
     def run(batches):
         for _, hashed in _read(batches, size, 0):
             sets = [np.unique(h) for h in hashed]
-            counts = [np.bincount((h >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS).astype(np.int32) for h in sets]
-            yield pa.RecordBatch.from_arrays([named(sets), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (sets, counts))], names=["node", "h", "counts"])
+            yield pa.RecordBatch.from_arrays([named(sets), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "h"])
 
     return run
 
 
+def by_part(h: np.ndarray) -> bytes:
+    """Shingles of a set by part of the hash, a byte each; 255 stands for any more too."""
+    return np.minimum(np.bincount((h >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
+def counts_allow(percent: int, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with the counts x and y may be similar: in a part, no more are common than the lesser count."""
+    least = np.minimum(x, y)
+    most = np.where((least == 255).any(axis=1), np.minimum(n, m), np.minimum(least.sum(axis=1, dtype=np.int64), np.minimum(n, m)))
+    return 100 * most >= percent * (n + m - most)
+
+
+def _counts(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, PARTS)
+
+
 def _may_be_similar(percent: int):
-    """Pairs whose counts of shingles by parts of the hash allow the similarity: in a part, no more are common than the lesser count."""
+    """The pairs whose counts allow the similarity."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(batch.num_rows, PARTS).astype(np.int64) for c in ("ca", "cb"))
-            most = np.minimum(x, y).sum(axis=1)
-            kept = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
+            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            kept = counts_allow(percent, *(_counts(batch.column(c).to_pylist()) for c in ("ca", "cb")), n, m)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "led")], names=["a", "b", "led"]).filter(pa.array(kept))
 
     return run
 
 
-def thinned(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be among `keys`: a table of `BITS` bits, in words of 64, is broadcast.
+def _may_meet(percent: int):
+    """(bucket, node) of the sets in two blocks that have one of another class whose counts allow the similarity."""
 
-    An exact join has to follow, an inner one: Spark moves a semi-join below this one.
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    at, mask = F.shiftright(bit, 6), F.expr("shiftleft(1L, cast(__bit % 64 AS int))")
-    table = keys.select(bit.alias("__bit")).select(F.shiftright("__bit", 6).alias("__at"), mask.alias("__mask")).groupBy("__at").agg(F.bit_or("__mask").alias("__bits"))
-    met = rows.withColumn("__at", at).withColumn("__bit", bit).join(F.broadcast(table), "__at")
-    return met.filter(F.col("__bits").bitwiseAND(mask) != 0).drop("__at", "__bit", "__bits")
+    def run(probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if probes.empty or members.empty:
+            return pd.DataFrame({"bucket": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64")})
+        (x, n, cx), (y, m, cy) = ((_counts(side["counts"]), side["n"].to_numpy(), side["class"].to_numpy()) for side in (probes, members))
+        left, right = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        for i in range(len(x)):
+            near = counts_allow(percent, x[i], y, n[i], m) & (cx[i] != cy)
+            left[i] = near.any()
+            right |= near
+        nodes = np.unique(np.concatenate([probes["node"].to_numpy()[left], members["node"].to_numpy()[right]]))
+        return pd.DataFrame({"bucket": np.full(len(nodes), probes["bucket"].iloc[0]), "node": nodes})
+
+    return run
 
 
 def _similar(percent: int):
@@ -236,7 +256,7 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     cells = chosen.select("text").mapInArrow(_count(size, CELLS), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
     sketch = spark.sparkContext.broadcast(counts)
-    signed = checkpointed(chosen.mapInArrow(_sign(sketch, size, percent), "doc_id long, n long, node long, g long, prefix array<long>"))
+    signed = checkpointed(chosen.mapInArrow(_sign(sketch, size, percent), "doc_id long, n long, node long, g long, prefix array<long>, counts binary"))
 
     # one row for each set, whatever its number of copies, and for each group how many sets it has and the first of them
     with_words = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
@@ -274,17 +294,30 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     open_sets = met.select("bucket", "g").join(open_buckets, "bucket", "left_semi").join(stands, "g").select("bucket", "node")
     open_sets = checkpointed(open_sets.unionByName(large.select(F.xxhash64("g", F.lit("group")).alias("bucket"), "node")))
 
-    wanted = expanded.select(F.explode(F.array("a", "b")).alias("node")).unionByName(open_sets.select("node")).distinct()
-    wanted = checkpointed(sets.join(wanted, "node", "left_semi").select("node", "doc_id", "n"))
-    ids = wanted.select("doc_id").distinct()
-    # where an id repeats, its other texts are read too and go
-    read = thinned(chosen, ids, "doc_id").join(ids, "doc_id").select("text").mapInArrow(_sets(size), "node long, h binary, counts binary")
-    vectors = checkpointed(read.join(wanted.select("node", "n"), "node").dropDuplicates(["node"]))
-
-    x, y = (vectors.select(F.col("node").alias(s), F.col("counts").alias(f"c{s}")) for s in "ab")
-    expanded = checkpointed(expanded.join(y, "b").join(x, "a").select("a", "b", "led", "ca", "cb").mapInArrow(_may_be_similar(percent), "a long, b long, led boolean"))
-    x, y = (vectors.select(F.col("node").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
-    linked = lambda some: checkpointed(some.join(y, "b").join(x, "a").select("a", "b", "ha", "hb").mapInArrow(_similar(percent), "a long, b long"))
+    nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def counted(nodes: DataFrame) -> DataFrame:
+        """(node, n, counts) of some sets, and of a few others."""
+        return thinned(signed.select("node", "n", "counts"), nodes, "node").dropDuplicates(["node"])
+
+    def vectors_of(nodes: DataFrame) -> DataFrame:
+        """(node, h) of some sets, from the whole text of the first document of each."""
+        wanted = checkpointed(sets.join(nodes, "node", "left_semi").select("node", "doc_id"))
+        ids = wanted.select("doc_id").distinct()
+        # where an id repeats, its other texts are read too and go
+        read = thinned(chosen, ids, "doc_id").join(ids, "doc_id").select("text").mapInArrow(_sets(size), "node long, h binary")
+        return checkpointed(read.join(wanted.select("node"), "node").dropDuplicates(["node"]))
+
+    met_counts = checkpointed(counted(nodes_of(expanded)))
+    x, y = (met_counts.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"c{s}")) for s in "ab")
+    expanded = checkpointed(expanded.join(y, "b").join(x, "a").select("a", "b", "led", "na", "nb", "ca", "cb").mapInArrow(_may_be_similar(percent), "a long, b long, led boolean"))
+    vectors = vectors_of(nodes_of(expanded))
+
+    def linked(some: DataFrame) -> DataFrame:
+        own = thinned(vectors, nodes_of(some), "node")
+        x, y = (own.select(F.col("node").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
+        return checkpointed(some.join(y, "b").join(x, "a").select("a", "b", "ha", "hb").mapInArrow(_similar(percent), "a long, b long"))
+
     found = components(linked(expanded.filter("led")))
     classes = checkpointed(sets.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class")))
 
@@ -300,18 +333,26 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     placed = open_sets.join(classes, "node")
     by_class = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     mixed = by_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("main")).filter("classes > 1").select("bucket", "main")
-    heavy = placed.join(mixed, "bucket").join(wanted.select("node", "n"), "node").select("bucket", "node", "class", "n", (F.col("class") != F.col("main")).alias("probe"))
-    heavy = checkpointed(heavy)
-    if not heavy.isEmpty():
-        blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-        shape = heavy.groupBy("bucket").agg(blocks.alias("mb")).join(heavy.filter("probe").groupBy("bucket").agg(blocks.alias("pb")), "bucket")
-        dealt = heavy.join(shape, "bucket").join(vectors.select("node", "h"), "node")
+    heavy = checkpointed(placed.join(mixed, "bucket").select("bucket", "node", "class", (F.col("class") != F.col("main")).alias("probe")))
+
+    def by_blocks(rows: DataFrame, sets_of_block: int, shingles: int, columns: list[str], function, schema: str) -> DataFrame:
+        """`function` of each block of a bucket's probes and each block of its sets."""
+        blocks = F.greatest(F.ceil(F.count("*") / sets_of_block), F.ceil(F.sum("n") / shingles)).cast("int")
+        shape = rows.groupBy("bucket").agg(blocks.alias("mb")).join(rows.filter("probe").groupBy("bucket").agg(blocks.alias("pb")), "bucket")
+        dealt = rows.join(shape, "bucket")
         to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
-        part = lambda rows, p, m: rows.select(F.col("bucket").alias("bucket"), p.alias("p"), m.alias("m"), F.col("class").alias("class"), F.col("h").alias("h")).groupBy("bucket", "p", "m")
+        part = lambda some, p, m: some.select(p.alias("p"), m.alias("m"), *[F.col(c).alias(c) for c in ("bucket", *columns)]).groupBy("bucket", "p", "m")
         probes, others = part(dealt.filter("probe"), own("pb", 1), to_all("mb")), part(dealt, to_all("pb"), own("mb", 2))
-        more = probes.cogroup(others).applyInPandas(_joined(percent), "a long, b long")
-        classes = merged(classes, more)
+        return probes.cogroup(others).applyInPandas(function, schema)
+
+    if not heavy.isEmpty():
+        rows = heavy.join(counted(heavy.select("node").distinct()), "node")
+        near = by_blocks(rows, COUNTED, COUNTED * BLOCK_SHINGLES, ["node", "class", "n", "counts"], _may_meet(percent), "bucket long, node long").distinct()
+        heavy = checkpointed(heavy.join(near, ["bucket", "node"]).join(sets.select("node", "n"), "node"))
+    if not heavy.isEmpty():
+        rows = heavy.join(vectors_of(heavy.select("node").distinct()), "node")
+        classes = merged(classes, by_blocks(rows, BLOCK, BLOCK_SHINGLES, ["class", "h"], _joined(percent), "a long, b long"))
 
     of_set = sets.select("node", "doc_id", "copies").join(classes, "node")
     least = of_set.groupBy("class").agg(F.min("doc_id").alias("component_id"))

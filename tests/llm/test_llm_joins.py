@@ -130,6 +130,39 @@ def test_jaccard_join_of_one_large_group(spark, monkeypatch):
     against_sql(documents(spark, rows), "documents", lambda d: jaccard_join.similar_classes(d, small=2), jaccard_join.SQL)
 
 
+def test_sets_that_counts_rule_out_are_not_read_again(spark, monkeypatch):
+    """Texts with a long passage in common and nothing else: all of them were read again, and moved whole for their pairs and blocks."""
+    monkeypatch.setattr(jaccard_join, "CELLS", 1)
+    whole, before = [], jaccard_join.checkpointed
+
+    def noted(df):
+        done = before(df)
+        if "h" in done.columns:
+            whole.append(done.count())
+        return done
+
+    monkeypatch.setattr(jaccard_join, "checkpointed", noted)
+    rng = random.Random(6)
+    passage = [rng.choice(WORDS) for _ in range(60)]
+    rows = [(i, " ".join(passage + [rng.choice(WORDS) for _ in range(45)])) for i in range(50)]
+    rows += [(60, rows[7][1].upper()), (61, rows[8][1] + " end")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_classes(documents(spark, rows), small=4).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {60: 7, 61: 8} and len(got) == 52
+    assert sum(whole) <= 4
+
+
+def test_counts_by_part_lose_no_similar_set():
+    rng = np.random.default_rng(8)
+    for n in (1, 7, 90, 700, 60_000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for k in (0, 1, n // 14, n // 12, n // 8, n // 2):
+            y = np.unique(np.concatenate([x[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)]))
+            shared = len(np.intersect1d(x, y))
+            counts = (np.frombuffer(jaccard_join.by_part(h), np.uint8)[None] for h in (x, y))
+            if 100 * shared >= 85 * (len(x) + len(y) - shared):
+                assert jaccard_join.counts_allow(85, *counts, np.array([len(x)]), np.array([len(y)])).all()
+
+
 def test_overlaps_of_blocks():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(1, 200, 30)]
