@@ -152,11 +152,7 @@ def sequential_rids(spark, d):
 
 
 def year_expansion_recompact(spark, d):
-    per_year = I.expanded(records(spark, d)).groupBy("pid", "astro").agg(F.max(F.struct("from_year", "id", "kind")).alias("top"))
-    w = Window.partitionBy("pid", F.col("top.kind")).orderBy("astro")
-    islands = per_year.withColumn("grp", F.col("astro") - F.row_number().over(w))
-    out = islands.groupBy("pid", F.col("top.kind").alias("kind"), "grp").agg(F.min("astro").alias("x"), F.max("astro").alias("y"))
-    return out.select("pid", "kind", Y.from_astronomical(F.col("x")).cast("int").alias("from_year"), Y.from_astronomical(F.col("y")).cast("int").alias("to_year"))
+    return I.holders(records(spark, d), "pid", ["from_year", "id"], "kind")
 
 
 def coverage_check(spark, d):

@@ -9,7 +9,7 @@ import pytest
 
 from spanwright import registry
 from spanwright.catalog import overrides
-from spanwright.operators import graph, lines, noding, spatial, specs
+from spanwright.operators import graph, intervals, lines, noding, spatial, specs
 from spanwright.plans import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +99,36 @@ def test_a_child_of_many_operations_is_dealt_to_tasks(spark, monkeypatch):
     got = {r[:] for r in specs._level(edges, areas).collect()}
     assert got == {(f"k{i}", 1, 0) for i in range(0, 1000, 2)}
     assert "share" in _plan(specs._level(edges, areas)) and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_holders_meet_change_points_and_not_years(spark):
+    """Lives of a million years each, and rows around the missing year 0: a row for each year would be 400 million."""
+    rows = spark.range(400).selectExpr("IF(id % 2 = 0, 'a', 'b') AS key", "id", "CAST(-1000000 + id AS int) AS from_year", "CAST(10 + id AS int) AS to_year", "IF(id < 200, 'x', 'y') AS kind")
+    got = {r[:] for r in intervals.holders(rows, "key", ["from_year", "id"], "kind").collect()}
+    assert got == {("a", "x", -1000000, -999801), ("a", "y", -999800, 408), ("b", "x", -999999, -999800), ("b", "y", -999799, 409)}
+
+
+def test_holders_as_year_by_year(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(400):
+        a = int(rng.integers(-40, 40))
+        b = a + int(rng.integers(-2, 25))
+        rows.append((f"k{rng.integers(0, 9)}", i // 2, *(y - 1 if y <= 0 else y for y in (a, b)), "xyz"[rng.integers(0, 3)]))
+    rows += [("k1", None, 1, 5, "x"), ("k1", 9, None, 5, "x"), ("k2", 900, 100, 100, None)]
+    held: dict = {}
+    for key, i, a, b, kind in rows:
+        if a is not None:
+            for y in (y for y in range(a, b + 1) if y):
+                top = (a, i is not None, i or 0, kind is not None, kind or "")
+                held[key, y] = max(held.get((key, y), top), top)
+    wanted, last = [], None
+    for (key, y), top in sorted(held.items()):
+        kind = top[4] or None
+        if last and last[:2] == [key, kind] and last[3] == (y - 1 or -1):
+            last[3] = y
+        else:
+            last = [key, kind, y, y]
+            wanted.append(last)
+    df = spark.createDataFrame(rows, "key string, id int, from_year int, to_year int, kind string")
+    assert {r[:] for r in intervals.holders(df, "key", ["from_year", "id"], "kind").collect()} == {tuple(w) for w in wanted}
