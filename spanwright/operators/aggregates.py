@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,9 @@ from pyspark.sql.window import Window
 from spanwright.functions.years import span_years
 from spanwright.operators.intervals import coalesced
 
+#: Rows whose pairs one task makes and adds up.
+ROWS_OF_A_TASK = 200_000
+
 
 def argmax(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[Column, bool]], take: Sequence[str]) -> DataFrame:
     """Of each key the row that comes first by `order` (column, descending?), in one aggregation without a sort.
@@ -34,13 +38,15 @@ def polity_index(records: DataFrame) -> DataFrame:
 def pair_weights(df: DataFrame, group: str, item: str, weight: str) -> DataFrame:
     """(a, b, n_groups, weight): unordered pairs of items that share a group, and the lesser of their weights summed.
 
-    Items of a group are pre-aggregated; groups must be small by nature, as lines of an order are.
+    Items of a group are pre-aggregated; groups must be small by nature, as lines of an order are. Pairs are more than the rows
+    that Spark sizes tasks by, so the number of tasks is that of the rows: what one task holds does not grow with them.
     """
-    one = df.groupBy(group, item).agg(F.sum(weight).alias("w"))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / ROWS_OF_A_TASK))
+    one = df.select(group, item, weight).repartition(tasks, group).groupBy(group, item).agg(F.sum(weight).alias("w"))
     left = one.select(group, F.col(item).alias("a"), F.col("w").alias("wa"))
     right = one.select(group, F.col(item).alias("b"), F.col("w").alias("wb"))
     pairs = left.join(right, group).filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_groups"), F.sum(F.least("wa", "wb")).alias("weight"))
+    return pairs.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n_groups"), F.sum(F.least("wa", "wb")).alias("weight"))
 
 
 def majority(df: DataFrame, key: str, part: str, weight: str, least: float = 0.5, others: float = 0.1) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 from spanwright import registry
 from spanwright.catalog import overrides
-from spanwright.operators import graph, intervals, lines, noding, spatial, specs
+from spanwright.operators import aggregates, graph, intervals, lines, noding, spatial, specs
 from spanwright.plans import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +132,10 @@ def test_holders_as_year_by_year(spark):
             wanted.append(last)
     df = spark.createDataFrame(rows, "key string, id int, from_year int, to_year int, kind string")
     assert {r[:] for r in intervals.holders(df, "key", ["from_year", "id"], "kind").collect()} == {tuple(w) for w in wanted}
+
+
+def test_tasks_of_pairs_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "ROWS_OF_A_TASK", 100, raising=False)
+    rows = spark.range(3000).selectExpr("id DIV 4 AS k", "id AS p", "1.0 AS w")
+    pairs = aggregates.pair_weights(rows, "k", "p", "w")
+    assert pairs.count() == 4500 and pairs.rdd.getNumPartitions() == 30
