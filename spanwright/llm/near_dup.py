@@ -16,7 +16,8 @@
    compared. Larger ones, as a passage that many texts share makes them, are split without loss: two texts
    at the threshold share a shingle among each one's rarest, those that hold the first 1 - threshold of its weight, so
    these shingles are the new buckets. Where one of those is large too, the fullest texts of each class lead, from 16 up to
-   `LEADERS` together, against blocks of the members, so that a member's vector moves once a round and not once a pair.
+   `LEADERS` together, against blocks of the members, so that a member's vector moves once a round and not once a pair. Weights summed by parts of the
+   hash meet first, as they bound the similarity; only vectors of texts that they leave move.
 
 Defined results: a text of fewer than five words is one shingle of all its words; null texts and texts
 without a word are in no class but their own; repeated rows share a class; rows with a null id have a null
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import arrow_rows, checkpointed, fitted, no_text, table
+from spanwright.llm.common import arrow_rows, checkpointed, fitted, no_text, table, thinned
 from spanwright.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -45,6 +46,8 @@ BANDS, ROWS = 10, 3
 COMMON = 0.001
 #: Texts of a bucket whose pairs are listed, and in larger ones those that lead at once and that form a block.
 SMALL, LEADERS, BLOCK = 12, 128, 128
+#: Parts of the hash by which weights are summed before whole vectors move.
+PARTS = 256
 #: Cells of the sketch of the other words' frequencies.
 IDF_CELLS = 1 << 18
 #: Words that a task remembers, and texts hashed together.
@@ -236,6 +239,43 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([a, b, pa.array([of(i) for i in range(batch.num_rows)], pa.float64())], names=["a", "b", "similarity"])
 
 
+def by_part(h: np.ndarray, w: np.ndarray) -> bytes:
+    """Weight of a vector by part of the hash."""
+    return np.bincount((h >> np.uint64(40)).astype(np.int64) % PARTS, w, PARTS).astype(np.float32).tobytes()
+
+
+def _by_part(batches):
+    for batch in batches:
+        sums = [by_part(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32)) for h, w in zip(batch.column(1), batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary())], names=["node", "sums"])
+
+
+def at_most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A bound of the similarities of a vector and of each of others, from their sums by part: in a part no more is shared than the lesser sum."""
+    shared = np.minimum(x, y).sum(axis=1, dtype=np.float64)
+    return shared / (x.sum(dtype=np.float64) + y.sum(axis=1, dtype=np.float64) - shared)
+
+
+def _may_meet(threshold: float):
+    """(bucket, node) of the leaders and the members of a block that may be similar to one of another class."""
+    # sums are in single precision
+    least = threshold - 1e-4
+
+    def run(leaders: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if leaders.empty or members.empty:
+            return pd.DataFrame({"bucket": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64")})
+        (x, cx), (y, cy) = ((np.frombuffer(b"".join(side["sums"]), np.float32).reshape(-1, PARTS), side["component"].to_numpy()) for side in (leaders, members))
+        left, right = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        for i in range(len(x)):
+            near = (at_most(x[i], y) >= least) & (cx[i] != cy)
+            left[i] = near.any()
+            right |= near
+        nodes = np.unique(np.concatenate([leaders["node"].to_numpy()[left], members["node"].to_numpy()[right]]))
+        return pd.DataFrame({"bucket": np.full(len(nodes), members["bucket"].iloc[0]), "node": nodes})
+
+    return run
+
+
 def _led(threshold: float):
     """Similar (a, b) of different classes among a bucket's leaders and a block of its members."""
     # the similarity is at most the lesser total weight over the greater
@@ -363,7 +403,8 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
     vectors = checkpointed(weighted_vectors(one, idf, counts))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        a, b = (vectors.select(F.col("node").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}")) for s in "ab")
+        own = thinned(vectors, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+        a, b = (own.select(F.col("node").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}")) for s in "ab")
         joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ha", "wa", "hb", "wb")
         return joined.mapInArrow(_verify, "a long, b long, similarity double").filter(F.col("similarity") >= threshold).select("a", "b")
 
@@ -373,6 +414,14 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
         merged = components(found.join(a, "a").join(b, "b").select("ca", "cb"), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("least"))
         return checkpointed(fitted(classes.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component")), rows))
 
+    def by_blocks(leaders: DataFrame, members: DataFrame, values: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
+        """`function` of a bucket's leaders and each block of its members, with `columns` of `values` beside them."""
+        blocks = F.ceil(F.col("n") / BLOCK)
+        taken = lambda rows, bucket, block: rows.join(values, "node").select(F.col("bucket").alias(bucket), block, *[F.col(c).alias(c) for c in ("node", "component", *columns)])
+        heads = taken(leaders, "of", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("part"))
+        others = taken(members, "bucket", F.pmod(F.xxhash64("node"), blocks).alias("block"))
+        return heads.groupBy("of", "part").cogroup(others.groupBy("bucket", "block")).applyInPandas(function, schema)
+
     # the fullest text of a bucket leads, the least id among equals
     standing = F.struct(F.col("fill"), (-F.col("node")).alias("minus"))
     leaders = met.groupBy("bucket").agg(F.max(standing).alias("top"))
@@ -396,17 +445,16 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
             links, classes = links.unionByName(found), joined(classes, found)
             if large.isEmpty():
                 break
+            sums = checkpointed(vectors.select("node", "h", "w").mapInArrow(_by_part, "node long, sums binary"))
             waiting = split_buckets(vectors.join(large.select("node").distinct(), "node", "left_semi"), threshold)
             continue
         turn = large.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "component").orderBy(standing.desc()))).filter(F.col("turn") <= share)
         turn = turn.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", standing.desc()))).filter(F.col("place") <= min(LEADERS, 16 * share))
         turn = checkpointed(fitted(turn.select("bucket", "node", "component", "n"), rows))
         if not turn.isEmpty():
-            blocks = F.ceil(F.col("n") / BLOCK)
-            members = large.join(vectors, "node").select("bucket", F.pmod(F.xxhash64("node"), blocks).alias("block"), *[F.col(c).alias(c) for c in ("node", "component", "h", "w")])
-            first, last = F.lit(0).cast("long"), blocks.cast("long") - 1
-            heads = turn.join(vectors, "node").select(F.col("bucket").alias("of"), F.explode(F.sequence(first, last)).alias("part"), *[F.col(c).alias(c) for c in ("node", "component", "h", "w")])
-            led = heads.groupBy("of", "part").cogroup(members.groupBy("bucket", "block")).applyInPandas(_led(threshold), "a long, b long")
+            near = checkpointed(by_blocks(turn, large, sums, ["sums"], _may_meet(threshold), "bucket long, node long").distinct())
+            own = thinned(vectors, near.select("node").distinct(), "node")
+            led = by_blocks(turn.join(near, ["bucket", "node"]), large.join(near, ["bucket", "node"]), own, ["h", "w"], _led(threshold), "a long, b long")
             found = found.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         found = checkpointed(fitted(found.distinct(), rows))
         links, classes = links.unionByName(found), joined(classes, found)
