@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import math
 import tempfile
 
@@ -31,6 +32,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """To be called between the rounds of a loop. Spark removes shuffle files, broadcasts and checkpoints when the driver collects what
+    refers to them, and a driver whose heap fills with the plans of past rounds does so late: until then disk and heap only grow."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once a row, however often and wherever the body uses it."""
     return F.transform(F.array(value), body).getItem(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import checkpointed, fitted
+from spanwright.llm.common import checkpointed, fitted, released
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,3 +31,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = now
+        released(e.sparkSession)

@@ -17,7 +17,7 @@
    at the threshold share a shingle among each one's rarest, those that hold the first 1 - threshold of its weight, so
    these shingles are the new buckets. Where one of those is large too, the fullest texts of each class lead, from 16 up to
    `LEADERS` together, against blocks of the members, so that a member's vector moves once a round and not once a pair. Weights summed by parts of the
-   hash meet first, as they bound the similarity; only vectors of texts that they leave move.
+   hash, the more the longer the text, meet first in blocks and in pairs, as they bound the similarity; only vectors that they leave move.
 
 Defined results: a text of fewer than five words is one shingle of all its words; null texts and texts
 without a word are in no class but their own; repeated rows share a class; rows with a null id have a null
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import arrow_rows, checkpointed, fitted, no_text, table, thinned
+from spanwright.llm.common import arrow_rows, checkpointed, fitted, no_text, released, table, thinned
 from spanwright.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -46,8 +46,11 @@ BANDS, ROWS = 10, 3
 COMMON = 0.001
 #: Texts of a bucket whose pairs are listed, and in larger ones those that lead at once and that form a block.
 SMALL, LEADERS, BLOCK = 12, 128, 128
-#: Parts of the hash by which weights are summed before whole vectors move.
-PARTS = 256
+#: Parts of the hash by which weights are summed before whole vectors move: a power of two that leaves a part `EACH` shingle at most on average, within limits.
+PARTS, LEAST_PARTS, MOST_PARTS, EACH = 256, 32, 1 << 16, 1
+#: What a byte of a sketch stands for: nothing, powers of `STEP` from 1 on, or any more.
+STEP = 1.02
+LEVELS = np.concatenate([[0], 1.000001 * STEP ** np.arange(254), [np.inf]]).astype(np.float32)
 #: Cells of the sketch of the other words' frequencies.
 IDF_CELLS = 1 << 18
 #: Words that a task remembers, and texts hashed together.
@@ -239,39 +242,87 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([a, b, pa.array([of(i) for i in range(batch.num_rows)], pa.float64())], names=["a", "b", "similarity"])
 
 
-def by_part(h: np.ndarray, w: np.ndarray) -> bytes:
+def by_part(h: np.ndarray, w: np.ndarray, parts: int = PARTS) -> bytes:
     """Weight of a vector by part of the hash."""
-    return np.bincount((h >> np.uint64(40)).astype(np.int64) % PARTS, w, PARTS).astype(np.float32).tobytes()
+    return np.bincount((h >> np.uint64(40)).astype(np.int64) % parts, w, parts).astype(np.float32).tobytes()
+
+
+def parts_of(n: int) -> int:
+    """Parts for n shingles. With as many for texts of any length, a part of a long text holds so many shingles that all long texts look alike."""
+    return min(MOST_PARTS, max(LEAST_PARTS, 1 << (n // EACH).bit_length()))
+
+
+def sketched(h: np.ndarray, w: np.ndarray) -> bytes:
+    """Weight by part as a byte for one of `LEVELS`, never less than it is."""
+    sums = np.frombuffer(by_part(h, w, parts_of(len(h))), np.float32)
+    return np.searchsorted(LEVELS, sums).astype(np.uint8).tobytes()
+
+
+def merged_parts(sums: np.ndarray, parts: int) -> np.ndarray:
+    """The last axis for fewer parts; both numbers are powers of two."""
+    return sums.reshape(*sums.shape[:-1], -1, parts).sum(axis=-2)
 
 
 def _by_part(batches):
     for batch in batches:
-        sums = [by_part(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32)) for h, w in zip(batch.column(1), batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary())], names=["node", "sums"])
+        vectors = [(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32)) for h, w in zip(batch.column(1), batch.column(2))]
+        totals = pa.array([float(w.sum(dtype=np.float64)) for _, w in vectors], pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), totals, pa.array([sketched(*v) for v in vectors], pa.binary())], names=["node", "total", "sums"])
 
 
 def at_most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A bound of the similarities of a vector and of each of others, from their sums by part: in a part no more is shared than the lesser sum."""
-    shared = np.minimum(x, y).sum(axis=1, dtype=np.float64)
-    return shared / (x.sum(dtype=np.float64) + y.sum(axis=1, dtype=np.float64) - shared)
+    return bound(x, y, x.sum(dtype=np.float64), y.sum(axis=1, dtype=np.float64))
+
+
+def bound(x: np.ndarray, y: np.ndarray, of_x: float, of_y: np.ndarray) -> np.ndarray:
+    """`at_most` where sums are rounded up and the whole weights are at hand; parts may differ in number."""
+    parts = min(x.shape[-1], y.shape[-1])
+    x, y = (s if s.shape[-1] == parts else merged_parts(s, parts) for s in (x, y))
+    shared = np.minimum(np.minimum(x, y).sum(axis=1, dtype=np.float64), np.minimum(of_x, of_y))
+    return shared / (of_x + of_y - shared)
+
+
+def _sums(column) -> list[np.ndarray]:
+    return [LEVELS[np.frombuffer(s, np.uint8)] for s in column]
+
+
+def _may_be_similar(threshold: float):
+    """The pairs whose sums allow the similarity."""
+    # sums are in single precision
+    least = threshold - 1e-4
+
+    def run(batches):
+        for batch in batches:
+            x, y = (_sums(batch.column(c).to_pylist()) for c in ("sa", "sb"))
+            of_x, of_y = (batch.column(c).to_numpy() for c in ("ta", "tb"))
+            near = [bound(x[i], y[i][None], of_x[i], of_y[i : i + 1])[0] >= least for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
 
 
 def _may_meet(threshold: float):
-    """(bucket, node) of the leaders and the members of a block that may be similar to one of another class."""
+    """(bucket, part, node) of the leaders and the members of a block that may be similar to one of another class."""
     # sums are in single precision
     least = threshold - 1e-4
 
     def run(leaders: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if leaders.empty or members.empty:
-            return pd.DataFrame({"bucket": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64")})
-        (x, cx), (y, cy) = ((np.frombuffer(b"".join(side["sums"]), np.float32).reshape(-1, PARTS), side["component"].to_numpy()) for side in (leaders, members))
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("bucket", "part", "node")})
+        (x, of_x, cx), (y, of_y, cy) = ((_sums(side["sums"]), side["total"].to_numpy(), side["component"].to_numpy()) for side in (leaders, members))
         left, right = np.zeros(len(x), bool), np.zeros(len(y), bool)
-        for i in range(len(x)):
-            near = (at_most(x[i], y) >= least) & (cx[i] != cy)
-            left[i] = near.any()
-            right |= near
+        sizes = np.array([len(s) for s in y])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            block = np.stack([y[j] for j in at])
+            for i in range(len(x)):
+                may = np.flatnonzero((cx[i] != cy[at]) & (least * of_x[i] <= of_y[at]) & (least * of_y[at] <= of_x[i]))
+                near = at[may[bound(x[i], block[may], of_x[i], of_y[at[may]]) >= least]]
+                left[i] |= len(near) > 0
+                right[near] = True
         nodes = np.unique(np.concatenate([leaders["node"].to_numpy()[left], members["node"].to_numpy()[right]]))
-        return pd.DataFrame({"bucket": np.full(len(nodes), members["bucket"].iloc[0]), "node": nodes})
+        return pd.DataFrame({"bucket": np.full(len(nodes), members["bucket"].iloc[0]), "part": np.full(len(nodes), members["part"].iloc[0]), "node": nodes})
 
     return run
 
@@ -332,9 +383,9 @@ def _rarest(counts, threshold: float):
 
 def split_buckets(vectors: DataFrame, threshold: float) -> DataFrame:
     """(bucket, node, fill) of vectors (node, h, w): two at the threshold meet in a bucket, those that share frequent shingles alone do not."""
-    cells = vectors.select("h").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = vectors.select("h").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
-    counts[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy(dtype=np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     shared = vectors.sparkSession.sparkContext.broadcast(counts)
     placed = checkpointed(vectors.mapInArrow(_rarest(shared, threshold), "bucket long, node long"))
     # buckets of the same texts are one
@@ -367,13 +418,13 @@ def word_idf(docs: DataFrame) -> tuple[Idf, DataFrame]:
     counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     counted = checkpointed(counted)
     frequent = F.col("n") >= max(2, COMMON * n)
-    common = counted.filter(frequent).toPandas()
+    common = counted.filter(frequent).toArrow()
     others = counted.filter(~frequent)
     # the remainder of the hash as it is without a sign
     cell = F.col("h").bitwiseAND(IDF_CELLS - 1).alias("cell")
-    sums, cells = others.groupBy(cell).agg(F.sum("n").alias("n")).toPandas(), np.ones(IDF_CELLS, np.float32)
-    cells[sums["cell"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.float32)
-    return Idf(common["h"].to_numpy(dtype=np.int64).view(np.uint64), common["n"].to_numpy(dtype=np.float64), n, cells), others
+    sums, cells = others.groupBy(cell).agg(F.sum("n").alias("n")).toArrow(), np.ones(IDF_CELLS, np.float32)
+    cells[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return Idf(common["h"].to_numpy().view(np.uint64), common["n"].to_numpy().astype(np.float64), n, cells), others
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -399,8 +450,9 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
     met = fitted(met, rows)
     met = checkpointed(fitted(met.join(met.groupBy("node").agg(F.sum("n").alias("fill")), "node"), rows))
     wanted = met.select("node").distinct()
-    one = checkpointed(chosen.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]))
+    one = checkpointed(thinned(chosen.select(F.col("doc_id").alias("node"), "text"), wanted, "node").join(wanted, "node").dropDuplicates(["node"]))
     vectors = checkpointed(weighted_vectors(one, idf, counts))
+    sums = checkpointed(vectors.select("node", "h", "w").mapInArrow(_by_part, "node long, total double, sums binary"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         own = thinned(vectors, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
@@ -408,19 +460,28 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
         joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ha", "wa", "hb", "wb")
         return joined.mapInArrow(_verify, "a long, b long, similarity double").filter(F.col("similarity") >= threshold).select("a", "b")
 
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sums by part allow the similarity."""
+        a, b = (sums.select(F.col("node").alias(s), F.col("total").alias(f"t{s}"), F.col("sums").alias(f"s{s}")) for s in "ab")
+        wide = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb", "sa", "sb")
+        return checkpointed(wide.mapInArrow(_may_be_similar(threshold), "a long, b long"))
+
     def joined(classes: DataFrame, found: DataFrame) -> DataFrame:
         """`classes` after further links; what was joined before is not looked at again."""
         a, b = (classes.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
         merged = components(found.join(a, "a").join(b, "b").select("ca", "cb"), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("least"))
         return checkpointed(fitted(classes.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component")), rows))
 
-    def by_blocks(leaders: DataFrame, members: DataFrame, values: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
-        """`function` of a bucket's leaders and each block of its members, with `columns` of `values` beside them."""
-        blocks = F.ceil(F.col("n") / BLOCK)
-        taken = lambda rows, bucket, block: rows.join(values, "node").select(F.col("bucket").alias(bucket), block, *[F.col(c).alias(c) for c in ("node", "component", *columns)])
-        heads = taken(leaders, "of", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("part"))
-        others = taken(members, "bucket", F.pmod(F.xxhash64("node"), blocks).alias("block"))
-        return heads.groupBy("of", "part").cogroup(others.groupBy("bucket", "block")).applyInPandas(function, schema)
+    def by_blocks(leaders: DataFrame, members: DataFrame, values: DataFrame, columns: list[str], function, schema: str, kept: DataFrame | None = None) -> DataFrame:
+        """`function` of a bucket's leaders and each block of its members, those in `kept` (bucket, part, node) alone, with `columns` of `values` beside them."""
+        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+        taken = lambda rows, part: rows.select("bucket", part.alias("part"), "node", "component")
+        heads, others = taken(leaders, F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))), taken(members, F.pmod(F.xxhash64("node"), blocks))
+        if kept is not None:
+            heads, others = (rows.join(kept, ["bucket", "part", "node"]) for rows in (heads, others))
+        own = [F.col(c).alias(c) for c in ("bucket", "part", "node", "component", *columns)]
+        heads, others = (rows.join(values, "node").select(*own).groupBy("bucket", "part") for rows in (heads, others))
+        return heads.cogroup(others).applyInPandas(function, schema)
 
     # the fullest text of a bucket leads, the least id among equals
     standing = F.struct(F.col("fill"), (-F.col("node")).alias("minus"))
@@ -430,6 +491,7 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
     waiting = met.join(leaders, "bucket").filter(F.col("node") != -F.col("top.minus")).select("bucket", "node", "fill")
     classes = checkpointed(fitted(vectors.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), rows))
     share, bands_alone = 1, True
+    released(spark)
     while True:
         placed = waiting.join(classes, "node")
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", "n")
@@ -439,27 +501,29 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
         few, large = placed.filter(F.col("n") <= SMALL).select("bucket", "node", "component"), placed.filter(F.col("n") > SMALL)
         other = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("own"))
         pairs = few.join(other, "bucket").filter("a < node AND component <> own").select("a", F.col("node").alias("b"))
-        found = similar(fitted(pairs.distinct(), rows))
+        found = similar(close(fitted(pairs.distinct(), rows)))
         if bands_alone:
             found, bands_alone = checkpointed(found), False
             links, classes = links.unionByName(found), joined(classes, found)
             if large.isEmpty():
                 break
-            sums = checkpointed(vectors.select("node", "h", "w").mapInArrow(_by_part, "node long, sums binary"))
             waiting = split_buckets(vectors.join(large.select("node").distinct(), "node", "left_semi"), threshold)
+            released(spark)
             continue
         turn = large.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "component").orderBy(standing.desc()))).filter(F.col("turn") <= share)
         turn = turn.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", standing.desc()))).filter(F.col("place") <= min(LEADERS, 16 * share))
         turn = checkpointed(fitted(turn.select("bucket", "node", "component", "n"), rows))
         if not turn.isEmpty():
-            near = checkpointed(by_blocks(turn, large, sums, ["sums"], _may_meet(threshold), "bucket long, node long").distinct())
+            near = checkpointed(by_blocks(turn, large, sums, ["total", "sums"], _may_meet(threshold), "bucket long, part long, node long"))
+            released(spark)
             own = thinned(vectors, near.select("node").distinct(), "node")
-            led = by_blocks(turn.join(near, ["bucket", "node"]), large.join(near, ["bucket", "node"]), own, ["h", "w"], _led(threshold), "a long, b long")
+            led = by_blocks(turn, large, own, ["h", "w"], _led(threshold), "a long, b long", near)
             found = found.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         found = checkpointed(fitted(found.distinct(), rows))
         links, classes = links.unionByName(found), joined(classes, found)
         waiting = checkpointed(fitted(large.join(turn, ["bucket", "node"], "left_anti").select("bucket", "node", "fill"), rows))
         share = min(LEADERS, 4 * share)
+        released(spark)
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     per_text = exact.join(classes, "node", "left").join(degree, "node", "left").select("key", F.coalesce("component", "node").alias("__class"), F.coalesce("links", F.lit(0)).cast("long").alias("__links"))

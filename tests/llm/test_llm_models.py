@@ -483,6 +483,26 @@ def test_sums_by_part_bound_the_similarity():
             assert n != 700 or k < n // 2 or k == n // 2 or bound < 0.8
 
 
+def test_sketches_of_long_texts_rule_out_pairs():
+    """Of texts of any lengths none at the threshold is lost; long ones that share half their shingles were not ruled out by 256 parts."""
+    rng = np.random.default_rng(22)
+    for n in (1, 90, 3000, 4300, 30_000):
+        h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        w = rng.gamma(1.0, 3.0, len(h)).astype(np.float32)
+        w[0] *= 1e6
+        for k in (0, n // 20, n // 9, n // 2):
+            for more in (0, n // 20):
+                other = np.unique(np.concatenate([h[k:], rng.integers(0, 1 << 63, k + more).astype(np.uint64)]))
+                wo = near_dup.listed(h, w, other, rng.gamma(1.0, 3.0, len(other)).astype(np.float32))
+                x, y = near_dup._sums([near_dup.sketched(h, w), near_dup.sketched(other, wo)])
+                totals = (float(v.sum(dtype=np.float64)) for v in (w, wo))
+                assert near_dup.bound(x, y[None], next(totals), np.array([next(totals)]))[0] >= near_dup.weighted_jaccard(h, w, other, wo) - 1e-5
+        h, other = (np.unique(np.concatenate([h[: n // 2], rng.integers(0, 1 << 63, n - n // 2).astype(np.uint64)])) for _ in range(2))
+        v = [(x, np.ones(len(x), np.float32)) for x in (h, other)]
+        x, y = near_dup._sums(near_dup.sketched(*s) for s in v)
+        assert n < 90 or near_dup.bound(x, y[None], float(len(h)), np.array([float(len(other))]))[0] < 0.8
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
