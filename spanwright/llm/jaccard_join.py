@@ -8,7 +8,7 @@
    which holds at the first shingle that a similar pair shares.
 4. Of a bucket, the group whose buckets are fullest leads, and its pairs with the others are listed; buckets of at most `SMALL` groups list all
    candidate pairs. Pairs are expanded to the members of the groups, and so are pairs inside a group. Counts of
-   shingles by parts of their hash, kept by the second scan, rule out most pairs before a text is read again. Whole sets of the leaders' pairs are
+   shingles by parts of their hash, the more the larger the set, kept by the second scan, rule out most pairs before a text is read again. Whole sets of the leaders' pairs are
    compared first and give classes; of the other pairs, those of different classes are compared after them, so that families of copies are not compared through.
 5. Links join sets to classes. In large buckets, all sets outside of the bucket's largest class still have to meet the sets of other
    classes: both are dealt into blocks of bounded size. The counts by parts meet first; the sets that they leave meet whole, where
@@ -33,14 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import checkpointed, fitted, no_text, table, thinned
+from spanwright.llm.common import checkpointed, fitted, no_text, released, table, thinned
 from spanwright.llm.graph import components
 
 SHINGLE, PERCENT = 4, 85
 #: Cells of the sketch; groups of a bucket whose pairs are listed; sets and shingles of a block; columns of a matrix.
 CELLS, SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 1 << 18, 32, 256, 1 << 20, 4096
-#: Parts of the hash by which shingles are counted before whole sets move, as bytes, and sets whose counts form a block.
-PARTS, COUNTED = 128, 2048
+#: Parts of the hash by which shingles are counted before whole sets move, as bytes: a power of two that leaves a part `EACH` shingles at most on
+#: average, within limits. Sets whose counts form a block, and their shingles.
+PARTS, MOST_PARTS, EACH = 128, 1 << 16, 1
+COUNTED, COUNTED_SHINGLES = 2048, 1 << 24
 #: Words that a task remembers, texts hashed together.
 WORD_MEMORY, TEXTS = 250_000, 64
 
@@ -122,7 +124,7 @@ def _sign(counts, size: int, percent: int):
             first = [prefix(h, counts.value, percent) if len(h) else h for h in sets]
             n = np.array([len(h) for h in sets], np.int64)
             groups = named([np.append(f, m) if m else f for f, m in zip(first, n.astype(np.uint64))])
-            counted = pa.array([by_part(h) for h in sets], pa.binary())
+            counted = pa.array([by_part(h, parts_of(len(h))) for h in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), named(sets), groups, pa.array([h.view(np.int64) for h in first], pa.list_(pa.int64())), counted], names=["doc_id", "n", "node", "g", "prefix", "counts"])
 
     return run
@@ -137,20 +139,38 @@ def _sets(size: int):
     return run
 
 
-def by_part(h: np.ndarray) -> bytes:
+def by_part(h: np.ndarray, parts: int = PARTS) -> bytes:
     """Shingles of a set by part of the hash, a byte each; 255 stands for any more too."""
-    return np.minimum(np.bincount((h >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((h >> np.uint64(40)).astype(np.int64) % parts, minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def parts_of(n: int) -> int:
+    """Parts for n shingles. With as many for sets of any size, a part of a large set holds so many shingles that all large sets look alike."""
+    return min(MOST_PARTS, max(PARTS, 1 << (n // EACH).bit_length()))
+
+
+def merged_parts(counts: np.ndarray, parts: int) -> np.ndarray:
+    """Rows of counts for fewer parts; both numbers are powers of two."""
+    counts = counts.reshape(len(counts), -1, parts)
+    return np.where((counts == 255).any(axis=1), 255, np.minimum(counts.sum(axis=1, dtype=np.int64), 255)).astype(np.uint8)
 
 
 def counts_allow(percent: int, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether sets of n and m shingles with the counts x and y may be similar: in a part, no more are common than the lesser count."""
     least = np.minimum(x, y)
-    most = np.where((least == 255).any(axis=1), np.minimum(n, m), np.minimum(least.sum(axis=1, dtype=np.int64), np.minimum(n, m)))
+    most = np.where((least == 255).any(axis=1), np.minimum(n, m), np.minimum(least.sum(axis=1, dtype=np.uint32).astype(np.int64), np.minimum(n, m)))
     return 100 * most >= percent * (n + m - most)
 
 
-def _counts(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, PARTS)
+def allowed(percent: int, x: np.ndarray, y: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
+    """`counts_allow` of a set and others, whose parts may differ in number from its own."""
+    parts = min(x.shape[1], y.shape[1])
+    x, y = (c if c.shape[1] == parts else merged_parts(c, parts) for c in (x, y))
+    return counts_allow(percent, x, y, n, m)
+
+
+def _counts(column) -> list[np.ndarray]:
+    return [np.frombuffer(c, np.uint8)[None] for c in column]
 
 
 def _may_be_similar(percent: int):
@@ -159,8 +179,9 @@ def _may_be_similar(percent: int):
     def run(batches):
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            kept = counts_allow(percent, *(_counts(batch.column(c).to_pylist()) for c in ("ca", "cb")), n, m)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "led")], names=["a", "b", "led"]).filter(pa.array(kept))
+            x, y = (_counts(batch.column(c).to_pylist()) for c in ("ca", "cb"))
+            kept = [bool(allowed(percent, x[i], y[i], n[i], m[i : i + 1])[0]) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "led")], names=["a", "b", "led"]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
@@ -170,13 +191,24 @@ def _may_meet(percent: int):
 
     def run(probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if probes.empty or members.empty:
-            return pd.DataFrame({"bucket": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64")})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("bucket", "node")})
         (x, n, cx), (y, m, cy) = ((_counts(side["counts"]), side["n"].to_numpy(), side["class"].to_numpy()) for side in (probes, members))
         left, right = np.zeros(len(x), bool), np.zeros(len(y), bool)
-        for i in range(len(x)):
-            near = counts_allow(percent, x[i], y, n[i], m) & (cx[i] != cy)
-            left[i] = near.any()
-            right |= near
+        # few parts are compared first, all parts of those that they leave then
+        short_x, short_y = (np.concatenate([merged_parts(c, PARTS) for c in side]) for side in (x, y))
+        sizes = np.array([c.shape[1] for c in y])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            block, short = np.concatenate([y[j] for j in at]), short_y[at]
+            for i in range(len(x)):
+                may = np.flatnonzero((cx[i] != cy[at]) & (100 * np.minimum(n[i], m[at]) >= percent * np.maximum(n[i], m[at])))
+                may = may[counts_allow(percent, short_x[i], short[may], n[i], m[at[may]])]
+                if left[i]:  # what is known to meet need not be found again
+                    may = may[~right[at[may]]]
+                if len(may):
+                    near = at[may[allowed(percent, x[i], block[may], n[i], m[at[may]])]]
+                    left[i] |= len(near) > 0
+                    right[near] = True
         nodes = np.unique(np.concatenate([probes["node"].to_numpy()[left], members["node"].to_numpy()[right]]))
         return pd.DataFrame({"bucket": np.full(len(nodes), probes["bucket"].iloc[0]), "node": nodes})
 
@@ -311,6 +343,7 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     met_counts = checkpointed(counted(nodes_of(expanded)))
     x, y = (met_counts.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"c{s}")) for s in "ab")
     expanded = checkpointed(expanded.join(y, "b").join(x, "a").select("a", "b", "led", "na", "nb", "ca", "cb").mapInArrow(_may_be_similar(percent), "a long, b long, led boolean"))
+    released(spark)
     vectors = vectors_of(nodes_of(expanded))
 
     def linked(some: DataFrame) -> DataFrame:
@@ -348,8 +381,9 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     if not heavy.isEmpty():
         rows = heavy.join(counted(heavy.select("node").distinct()), "node")
-        near = by_blocks(rows, COUNTED, COUNTED * BLOCK_SHINGLES, ["node", "class", "n", "counts"], _may_meet(percent), "bucket long, node long").distinct()
+        near = by_blocks(rows, COUNTED, COUNTED_SHINGLES, ["node", "class", "n", "counts"], _may_meet(percent), "bucket long, node long").distinct()
         heavy = checkpointed(heavy.join(near, ["bucket", "node"]).join(sets.select("node", "n"), "node"))
+    released(spark)
     if not heavy.isEmpty():
         rows = heavy.join(vectors_of(heavy.select("node").distinct()), "node")
         classes = merged(classes, by_blocks(rows, BLOCK, BLOCK_SHINGLES, ["class", "h"], _joined(percent), "a long, b long"))

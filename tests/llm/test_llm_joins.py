@@ -163,6 +163,23 @@ def test_counts_by_part_lose_no_similar_set():
                 assert jaccard_join.counts_allow(85, *counts, np.array([len(x)]), np.array([len(y)])).all()
 
 
+def test_counts_of_large_sets_rule_out_pairs():
+    """No similar set of any size is lost; large sets that share half their shingles were not ruled out by 128 parts."""
+    rng = np.random.default_rng(9)
+    draw = lambda k: rng.integers(0, 1 << 63, k).astype(np.uint64)
+    allow = lambda x, y: jaccard_join.allowed(85, *(jaccard_join._counts([jaccard_join.by_part(h, jaccard_join.parts_of(len(h)))])[0] for h in (x, y)), len(x), np.array([len(y)]))[0]
+    for n in (1, 63, 64, 1030, 4100, 70_000):
+        x = np.unique(draw(n))
+        for k, more in ((0, 0), (0, n // 8), (n // 14, 0), (n // 7, 0), (n // 20, n // 20)):
+            y = np.unique(np.concatenate([x[k:], draw(more)]))
+            if 100 * (shared := len(np.intersect1d(x, y))) >= 85 * (len(x) + len(y) - shared):
+                assert allow(x, y) and allow(y, x)
+        if n > 1000:
+            assert not allow(x, np.unique(np.concatenate([x[n // 2 :], draw(n // 2)])))
+    full = np.full((1, 8), 255, np.uint8)
+    assert (jaccard_join.merged_parts(full, 4) == 255).all() and (jaccard_join.merged_parts(np.full((1, 8), 200, np.uint8), 4) == 255).all()
+
+
 def test_overlaps_of_blocks():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(1, 200, 30)]
