@@ -259,8 +259,8 @@ def sketched(h: np.ndarray, w: np.ndarray) -> bytes:
 
 
 def merged_parts(sums: np.ndarray, parts: int) -> np.ndarray:
-    """The last axis for fewer parts; both numbers are powers of two."""
-    return sums.reshape(*sums.shape[:-1], -1, parts).sum(axis=-2)
+    """The last axis for fewer parts; both numbers are powers of two. There may be no rows, so that no length can be left to numpy."""
+    return sums.reshape(*sums.shape[:-1], sums.shape[-1] // parts, parts).sum(axis=-2)
 
 
 def _by_part(batches):

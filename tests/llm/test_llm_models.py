@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -503,6 +504,23 @@ def test_sketches_of_long_texts_rule_out_pairs():
         assert n < 90 or near_dup.bound(x, y[None], float(len(h)), np.array([float(len(other))]))[0] < 0.8
 
 
+def test_blocks_where_no_weight_fits_a_leader():
+    """Leaders and members of sketches of unlike lengths, of which none may be similar by their whole weights alone."""
+    rng = np.random.default_rng(8)
+
+    def side(nodes, shingles):
+        v = [(np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)), np.ones(n, np.float32)) for n in shingles]
+        sums = [near_dup.sketched(*x) for x in v]
+        return pd.DataFrame({"bucket": 7, "part": 0, "node": nodes, "component": nodes, "total": [float(n) for n in shingles], "sums": sums})
+
+    for short, long in ((20, 300), (300, 20)):
+        leaders, members = side([1, 2], [short, short]), side([3, 4], [long, long])
+        assert len(near_dup._may_meet(0.8)(leaders, members)) == 0
+        like = members.assign(node=[5, 6], component=[5, 6])
+        got = near_dup._may_meet(0.8)(pd.concat([leaders, like]), members)
+        assert got["node"].tolist() == [3, 4, 5, 6] and set(got["bucket"]) == {7}
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
