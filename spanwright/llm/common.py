@@ -29,7 +29,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    return resized(df.checkpoint())
+
+
+#: Bits of a size in bytes that Spark may estimate; it takes 2^63 - 1 for what it has no estimate of.
+SIZE_BITS = 63
+
+
+def resized(df: DataFrame) -> DataFrame:
+    """A checkpoint, without Spark's estimate of its size if that is beyond all measure.
+
+    The estimate of a join is the product of those of its sides, and a checkpoint carries it on. In a loop of joins and checkpoints
+    its digits double from round to round, until these numbers alone fill the driver.
+    """
+    plan = df._jdf.queryExecution().logical()
+    # a number of more digits than Python reads is a ValueError
+    with contextlib.suppress(ValueError):
+        if plan.stats().sizeInBytes() < 1 << SIZE_BITS:
+            return df
+    spark = df.sparkSession
+    return type(df)(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), df._jdf.schema(), False), spark)
 
 
 def released(spark: SparkSession) -> None:

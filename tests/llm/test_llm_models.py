@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwright.llm import html_extract, lm_scoring, near_dup, packing, toxicity
+from spanwright.llm.common import checkpointed
 
 SF = "/root/testdata/sf0.01"
 
@@ -521,6 +522,17 @@ def test_blocks_where_no_weight_fits_a_leader():
         assert got["node"].tolist() == [3, 4, 5, 6] and set(got["bucket"]) == {7}
 
 
+def test_size_estimates_of_checkpoints_stay_bounded(spark):
+    """The product of the sides' sizes, carried from round to round, had hundreds of digits after these rounds."""
+    df = spark.range(40).select(F.col("id").alias("node"), (F.col("id") % 4).alias("component"))
+    for _ in range(8):
+        other = df.select("node", F.col("component").alias("own"))
+        df = checkpointed(df.join(other, "node").select("node", F.least("component", "own").alias("component")))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+    assert sorted(map(tuple, df.collect())) == [(i, i % 4) for i in range(40)]
+    assert df.schema["node"].dataType.simpleString() == "bigint"
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
