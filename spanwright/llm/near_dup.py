@@ -453,6 +453,7 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
     one = checkpointed(thinned(chosen.select(F.col("doc_id").alias("node"), "text"), wanted, "node").join(wanted, "node").dropDuplicates(["node"]))
     vectors = checkpointed(weighted_vectors(one, idf, counts))
     sums = checkpointed(vectors.select("node", "h", "w").mapInArrow(_by_part, "node long, total double, sums binary"))
+    del one  # else the copy of these texts stays on disk during the rounds
 
     def similar(pairs: DataFrame) -> DataFrame:
         own = thinned(vectors, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
